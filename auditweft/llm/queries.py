@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, topk
+from . import ngram_join, packing, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, length=4096)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_packing": op3_packing,
+    "op5_secret_scan": op5_secret_scan,
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_top_k": OP2_SQL}
