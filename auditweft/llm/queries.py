@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ngram_join, packing, secrets, topk
+from . import linededup, ngram_join, packing, pii, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op7_pii": op7_pii,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_top_k": OP2_SQL}
