@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ngram_join, packing, pii, secrets, topk
+from . import langid, linededup, ngram_join, packing, pii, secrets, topk
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
+def fold(k: int, r: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text has remainder r by k."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % k == r, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(read(spark, sf_dir, "documents"), ~fold(4, 2))
+    return out.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -77,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
     "op7_pii": op7_pii,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_exact_top_k": OP2_SQL}
