@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, ngram_join, packing, pii, secrets, topk
+from . import langid, linededup, ngram_join, packing, pii, secrets, topk, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,13 @@ def fold(k: int, r: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % k == r, F.lit(False))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~fold(3, 1))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(read(spark, sf_dir, "documents"), ~fold(4, 2))
     return out.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
