@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, ngram_join, packing, pii, secrets, topk, toxicity
+from . import html_wrapper, langid, linededup, ngram_join, packing, pii, secrets, topk, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_top_k": op2_exact_top_k,
     "op3_packing": op3_packing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
