@@ -13,8 +13,9 @@ The result is exact and names, per document, the component of its links.
    prefix and the more shared prefix shingles a candidate needs (the lesser l of the two classes).
 4. Groups of near copies are contracted before pairs are formed: every class is verified against
    one leading class of the shingles it shares, and joins its component. Pairs are then formed only
-   between classes of different components, with size, position and match-count filters, and
-   verified on whole sets. A link inside a component can't change it, so none is lost.
+   between classes of different components, at the first prefix shingle they share and only if
+   enough prefix shingles are shared (what lies behind the prefixes bounds the rest), and verified
+   on whole sets. A link inside a component can't change it, so none is lost.
 """
 
 from __future__ import annotations
@@ -173,23 +174,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     left = posts.join(comp, "id")
     mixed = left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("tok")
-    left = left.join(mixed, "tok")
+    heads = posts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("head")).select("id", F.col("head.tok").alias("head"))
+    left = left.join(mixed, "tok").join(heads, "id")
     x, y = left.alias("x"), left.alias("y")
     i, j = F.col("x.i"), F.col("y.i")
-    common = F.least(i, j) + F.least(F.col("x.m") - i, F.col("y.m") - j)
-    pairs = (
-        x.join(
-            y,
-            (F.col("x.tok") == F.col("y.tok"))
-            & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.comp") != F.col("y.comp"))
-            & _bound(F.col("x.n"), F.col("x.m"), F.col("y.n"), F.col("y.m"), num, den)
-            & _close(F.col("x.n"), F.col("y.n"), common, num, den),
-        )
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .agg(F.count("*").alias("c"), F.first(F.least("x.ell", "y.ell")).alias("need"))
-        .filter("c >= need")
-    )
+    at_most = F.least(i, j) + F.least(F.col("x.m") - i, F.col("y.m") - j)
+    rest = F.greatest(F.col("x.m") - F.size("x.head"), F.col("y.m") - F.size("y.head"))
+    pairs = x.join(
+        y,
+        (F.col("x.tok") == F.col("y.tok"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & _bound(F.col("x.n"), F.col("x.m"), F.col("y.n"), F.col("y.m"), num, den)
+        & _close(F.col("x.n"), F.col("y.n"), at_most, num, den)
+        & F.exists(
+            F.array(F.array_intersect("x.head", "y.head")),  # evaluated once
+            lambda both: (F.size(both) >= F.least("x.ell", "y.ell"))
+            & _close(F.col("x.n"), F.col("y.n"), F.size(both) + rest, num, den)
+            & (F.element_at(both, 1) == F.col("x.tok")),
+        ),
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     found = persisted(_verify(pairs.select("a", "b"), sets, num, den), "links")
     edges = found if edges is None else edges.union(found)
     comp = _labelled(sets, edges)
