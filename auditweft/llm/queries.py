@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_wrapper, langid, linededup, ngram_join, packing, pii, secrets, topk, toxicity
+from . import decontam, html_wrapper, langid, linededup, ngram_join, packing, pii, secrets, topk, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file(), end_id=2, length=4096)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_packing": op3_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_html_extraction": op6_html_extraction,
     "op7_pii": op7_pii,

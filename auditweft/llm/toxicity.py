@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 from .gru import BUCKETS, Network, inputs_of, sigmoid
@@ -154,21 +155,20 @@ def train(
 _TABLES: dict[int, tuple[object, WordTable]] = {}
 
 
-def score(docs: DataFrame, model: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id and score (0 to 1, higher: likelier toxic), over all overlapping windows.
-
-    Words are what white space parts, reduced to lower-case letters. Null and empty texts have one
-    window without words. Null ids and repeated rows are scored like others; other columns are
-    ignored. Without a model (a label was missing) the score is 0.
-    """
+def scored(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """``docs`` with the score of each row's whole text appended; all rows and columns are kept."""
+    own = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    fields = [f for f in own.schema.fields if f.name != out_col]
+    own = own.select(*(f"`{f.name}`" for f in fields))
+    place = [f.name for f in fields].index(text_col)
 
     def run(batches):
         if model is not None and _TABLES.get(0, (None,))[0] is not model:
             _TABLES[0] = (model, WordTable(model.net.word_rows, cap=150_000))
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for a, b in slices(batch.column(1), 1 << 19) if model is not None else ():
-                data, bounds = raw_bytes(batch.column(1).slice(a, b - a))
+            out, text = np.zeros(batch.num_rows), batch.column(place)
+            for a, b in slices(text, 1 << 19) if model is not None else ():
+                data, bounds = raw_bytes(text.slice(a, b - a))
                 starts, ends, rows = word_bounds(data, bounds)
                 table, word = _TABLES[0][1].index(data, starts, ends) if len(starts) else (np.zeros((1, 48), np.float32), np.zeros(0, np.int64))
                 owner, begin, size = windows(np.bincount(rows, minlength=b - a))
@@ -177,7 +177,17 @@ def score(docs: DataFrame, model: Scorer | None, id_col: str = "doc_id", text_co
                     at, mask = _places(begin[lo : lo + 2048], size[lo : lo + 2048], word)
                     logit[lo : lo + 2048] = model.net.logits(table, at, mask)
                 out[a:b] = sigmoid(model.documents(logit, owner, b - a) @ model.layer)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, out_col])
+
+    return own.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.DoubleType())]))
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id and score (0 to 1, higher: likelier toxic), over all overlapping windows.
+
+    Words are what white space parts, reduced to lower-case letters. Null and empty texts have one
+    window without words. Null ids and repeated rows are scored like others; other columns are
+    ignored. Without a model (a label was missing) the score is 0.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scored(own, model).select("doc_id", "score")
