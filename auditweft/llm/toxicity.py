@@ -60,13 +60,14 @@ def _fit_layer(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60, rid
     return b
 
 
-def fit(texts: list[list[str]], y: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 5) -> Scorer:
-    """Train on tokenised texts. One in five is left out of the network's training for calibration."""
+def fit(texts: list[str], y: np.ndarray, clean_weight: float = 1.0, epochs: int = 5, batch: int = 256, seed: int = 5) -> Scorer:
+    """Train on texts of words parted by blanks (_: no letters). One in five is left out of the network's
+    training for calibration, where each clean text stands for ``clean_weight`` of its kind."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {"": 0}
-    flat = np.array([vocab.setdefault(w, len(vocab)) for t in texts for w in t], np.int64)
+    parts = [np.array([vocab.setdefault(w if w != "_" else "", len(vocab)) for w in t.split()], np.int64) for t in texts]
+    flat, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
     words = list(vocab)
-    counts = np.array([len(t) for t in texts], np.int64)
     owner, begin, size = windows(counts)
     at, mask = _places(begin, size, flat)
     held = rng.random(len(texts)) < 0.2
@@ -95,30 +96,40 @@ def fit(texts: list[list[str]], y: np.ndarray, epochs: int = 5, batch: int = 256
     out = Scorer(net, np.zeros(4), float(y.mean()))
     x = out.documents(logit, owner, len(texts))
     on = held if held.any() else np.ones(len(texts), bool)
-    out.layer = _fit_layer(x[on], y[on].astype(float), np.ones(on.sum()))
+    out.layer = _fit_layer(x[on], y[on].astype(float), np.where(y[on] == 0, clean_weight, 1.0))
     return out
 
 
 def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.ndarray, y: np.ndarray, use: np.ndarray) -> None:
     """Starts the first input dimension at the shrunken log-odds of each bucket over training texts."""
-    pair = np.unique(np.stack([doc[use[doc]], flat[use[doc]]]), axis=1) if use[doc].any() else np.zeros((2, 0), np.int64)
     toxic = max(1, int((y[use] == 1).sum()))
     clean = max(1, int((y[use] == 0).sum()))
-    for k, (ids, first) in enumerate(inputs_of(words)):
-        n = np.diff(np.append(first, len(ids)))
-        size = n[pair[1]]
-        begin = np.repeat(first[pair[1]], size)
-        inner = np.arange(len(begin)) - np.repeat(np.cumsum(size) - size, size)
-        bucket, owner = ids[begin + inner], np.repeat(pair[0], size)
-        seen = np.unique(owner * BUCKETS + bucket)
-        lab, b = y[seen // BUCKETS], seen % BUCKETS
-        t, c = np.bincount(b[lab == 1], minlength=BUCKETS), np.bincount(b[lab == 0], minlength=BUCKETS)
+    seen = np.zeros((2, 3, BUCKETS), np.int64)
+    for a in range(0, len(use), 128):  # some texts at a time: their n-grams fit in memory
+        lo, hi = np.searchsorted(doc, [a, a + 128])
+        pair = np.unique(doc[lo:hi] * np.int64(len(words)) + flat[lo:hi])
+        own, word = pair // len(words), pair % len(words)
+        own, word = own[use[own]], word[use[own]]
+        if not len(word):
+            continue
+        used, local = np.unique(word, return_inverse=True)
+        for k, (ids, first) in enumerate(inputs_of([words[w] for w in used])):
+            n = np.diff(np.append(first, len(ids)))
+            size = n[local]
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            bucket = ids[np.repeat(first[local], size) + inner]
+            both = np.unique(np.repeat(own, size) * BUCKETS + bucket)
+            lab, b = y[both // BUCKETS], both % BUCKETS
+            for label in (0, 1):
+                seen[label, k] += np.bincount(b[lab == label], minlength=BUCKETS)
+    for k in range(3):
+        c, t = seen[:, k]
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         net.p["emb"][k, :, 0] = np.clip(odds * (t + c) / (t + c + 6.0), -1, 4) / 2
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 2000, windows_per_doc: int = 48
+    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 1500, windows_per_doc: int = 40
 ) -> Scorer | None:
     """Fit on at most about ``docs_per_label`` labelled documents per label, chosen by a hash of the
     id among the rows where ``rows`` holds, and on ``windows_per_doc`` windows' worth of words of each
@@ -129,7 +140,8 @@ def train(
     counts = {r["_y"]: r["count"] for r in lab.groupBy("_y").count().collect()}
     if len(counts) < 2:
         return None
-    share = F.when(F.col("_y") == 1, F.lit(int(1e6 * min(1, 1.6 * docs_per_label / counts[1])))).otherwise(F.lit(int(1e6 * min(1, 1.6 * docs_per_label / counts[0]))))
+    rate = {k: min(1, 1.5 * docs_per_label / v) for k, v in counts.items()}
+    share = F.when(F.col("_y") == 1, F.lit(int(1e6 * rate[1]))).otherwise(F.lit(int(1e6 * rate[0])))
     chosen = chosen.filter(F.pmod("_h", F.lit(1_000_000)) <= share)
     most = windows_per_doc * STRIDE
 
@@ -141,15 +153,15 @@ def train(
                 if len(words) > most:
                     step = len(words) // (most // 96)
                     words = [w for a in range(0, len(words) - 96, step) for w in words[a : a + 96]][:most]
-                out.append(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["y", "h", "words"])
+                out.append(" ".join(w or "_" for w in words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["y", "h", "words"])
 
-    sample = own.join(chosen, "_id").select("_y", "_h", "t").mapInArrow(run, "y int, h long, words array<string>")
+    sample = own.join(chosen, "_id").select("_y", "_h", "t").mapInArrow(run, "y int, h long, words string")
     got = sample.orderBy("h", "y").limit(3 * docs_per_label).collect()
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fit([r["words"] for r in got], y)
+    return fit([r["words"] for r in got], y, rate[1] / rate[0])
 
 
 _TABLES: dict[int, tuple[object, WordTable]] = {}
