@@ -142,7 +142,7 @@ def train(
         return None
     rate = {k: min(1, 1.5 * docs_per_label / v) for k, v in counts.items()}
     share = F.when(F.col("_y") == 1, F.lit(int(1e6 * rate[1]))).otherwise(F.lit(int(1e6 * rate[0])))
-    chosen = chosen.filter(F.pmod("_h", F.lit(1_000_000)) <= share)
+    chosen = chosen.filter(F.pmod("_h", F.lit(1_000_000)) <= share).orderBy("_h").limit(3 * docs_per_label)  # so many rows at any size
     most = windows_per_doc * STRIDE
 
     def run(batches):
@@ -156,7 +156,7 @@ def train(
                 out.append(" ".join(w or "_" for w in words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["y", "h", "words"])
 
-    sample = own.join(chosen, "_id").select("_y", "_h", "t").mapInArrow(run, "y int, h long, words string")
+    sample = own.join(F.broadcast(chosen), "_id").select("_y", "_h", "t").mapInArrow(run, "y int, h long, words string")
     got = sample.orderBy("h", "y").limit(3 * docs_per_label).collect()
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
