@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ..operators import admin, alerts, correlate, dedup, fleet, hydrate, normalize, reports, timeline
-from ..sources import writers
+from ..sources import readers, writers
 from ..streaming import jobs
 from .adapter import audit_events, collected_events
 from .derived import DERIVED, admin_entries, alert_rows, heartbeats, monitored_paths
@@ -461,3 +461,61 @@ def stream_alerts(spark, d):
         return jobs.run_available(live, path, checkpoint).filter("server <> 'end'")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query("read_collected", feed("""SELECT cursor_type, coalesce(record_id, usn) AS number, path, "user", us FROM feed"""))
+def read_collected(spark, d):
+    path, _ = _scratch(spark, "feed")
+    collected_events(spark, d).withColumn("timestamp_utc", F.date_format("timestamp_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
+    return readers.read_collected(spark, path).select("cursor_type", F.coalesce("record_id", "usn").alias("number"), "path", "user", us("timestamp_utc", "us"))
+
+
+@query(
+    "read_usn_csv",
+    audit("""SELECT event_id AS usn, 'D:' AS volume, CAST(us // 1000000 * 1000000 AS BIGINT) AS us, CASE k % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' ELSE 'modified' END AS action, 'f' || k AS file_id, 'file, ' || k AS file_name FROM audit WHERE event_id > 50"""),
+)
+def read_usn_csv(spark, d):
+    path, _ = _scratch(spark, "journal")
+    k = F.regexp_extract("path", r"file(\d+)", 1).cast("int")
+    reason = F.when(k % 3 == 0, "0x100,File create").when(k % 3 == 1, "0x200,Exclusão").otherwise("0x2,Data_Extend | Close")
+    reason = F.regexp_replace(reason, "File create", "FILE_CREATE")
+    line = F.concat(
+        F.col("id"), F.lit(',"file, '), k.cast("string"), F.lit('",10,'), reason, F.lit(',"'), F.date_format("timestamp_utc", "MM/dd/yyyy HH:mm:ss"), F.lit('",0x20, f'), k.cast("string"), F.lit(" ,p1")
+    )
+    head = "Usn Journal ID : 0x1\nFirst USN : 0\n\nUsn,File name,File name length,Reason #,Reason,Time stamp,File attributes,File ID,Parent file ID\n"
+    audit_events(spark, d).select(F.concat(F.lit(head), line).alias("value")).repartition(4).write.text(path)
+    out = readers.read_usn_csv(spark, path, "FS01", "Dados", "D:", "UTC", 50)
+    return out.select("usn", "volume", us("timestamp_utc", "us"), "action", "file_id", "file_name")
+
+
+@query(
+    "parse_security_xml",
+    audit("""SELECT event_id AS record_id, path || '\\sub.txt' AS path, 'EMPRESA\\x' AS "user", CASE WHEN k % 2 = 0 THEN 'deleted' ELSE 'created_or_appended' END AS action, '.txt' AS extension FROM audit WHERE event_id % 7 <> 0"""),
+)
+def parse_security_xml(spark, d):
+    k, n = F.regexp_extract("path", r"file(\d+)", 1).cast("int"), F.col("id").cast("long")
+    data = lambda name, v: F.concat(F.lit(f'<Data Name="{name}">'), v, F.lit("</Data>"))
+    xml = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><EventData>'), data("ObjectName", F.col("path")), data("RelativeTargetName", F.lit("sub.txt")),
+        data("ObjectType", F.lit("File")), data("AccessMask", F.when(k % 2 == 0, "0x10000").otherwise("0x2")), data("SubjectDomainName", F.lit("EMPRESA")), data("SubjectUserName", F.lit("x")),
+        F.when(n % 7 == 0, "</Broken>").otherwise("</EventData></Event>"),
+    )
+    records = audit_events(spark, d).select(n.alias("record_id"), F.lit(4663).alias("event_id"), F.col("timestamp_utc").alias("time_created"), xml.alias("xml"))
+    return readers.parse_security_xml(records, "FS01", "Dados").select("record_id", "path", "user", "action", "extension")
+
+
+@query("append_events", audit("SELECT CAST(CAST(timestamp_utc AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM audit GROUP BY 1"))
+def append_events(spark, d):
+    path, _ = _scratch(spark, "table")
+    e = audit_events(spark, d)
+    n = F.col("id").cast("long") % 2
+    writers.append_events(e.filter(n == 0), path)
+    writers.append_events(e.filter(n == 1), path)
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+@query("write_csv", audit("SELECT id, path, \"user\", CAST(file_size_bytes AS VARCHAR) AS size FROM audit"))
+def write_csv(spark, d):
+    path, _ = _scratch(spark, "csv")
+    writers.write_lines(writers.export_events_csv(audit_events(spark, d)), writers.EVENT_HEADER, path)
+    return spark.read.csv(path, header=True, escape='"').select("id", "path", "user", F.col("file_size_bytes").alias("size"))
