@@ -58,13 +58,13 @@ def _word_ids(vocab: dict[str, int], texts: pa.Array):
         yield a, b - a, rows[keep], ids[keep]
 
 
-def _passages(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(rows: np.ndarray, n_rows: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, words) of the passages of texts."""
     counts = np.bincount(rows, minlength=n_rows)
-    n = np.where(counts > 0, np.maximum(1, -(-(counts - PASSAGE) // STRIDE) + 1), 0)
+    n = np.where(counts > 0, np.maximum(1, -(-(counts - PASSAGE) // stride) + 1), 0)
     row = np.repeat(np.arange(n_rows), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, np.repeat(np.cumsum(counts) - counts, n) + k * STRIDE, np.minimum(PASSAGE, counts[row] - k * STRIDE)
+    return row, np.repeat(np.cumsum(counts) - counts, n) + k * stride, np.minimum(PASSAGE, counts[row] - k * stride)
 
 
 def _terms(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +98,12 @@ def _items(bench: DataFrame, id_col: str, text_col: str) -> list[tuple[int, list
     return [(i, w) for i, w in out if i is not None and w]
 
 
-def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int = 192, common: float = 0.05, item_weight: float = 30.0, seed: int = 1):
-    """(vocabulary, idf, basis): idf is 0 for words in more than ``common`` of all passages."""
+def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int = 192, common: float = 0.002, own_words: int = 8, item_weight: float = 30.0, seed: int = 1):
+    """(vocabulary, idf, basis, singular values), from passages without overlap.
+
+    idf is 0 for words in more than ``common`` of all passages, except the ``own_words`` rarest of
+    every item: an item that is copied everywhere keeps words to be found by.
+    """
     vocab: dict[str, int] = {}
     for _, words in items:
         for w in words:
@@ -111,7 +115,7 @@ def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int
         df, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for _, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
-                row, begin, length = _passages(rows, n_rows)
+                row, begin, length = _passages(rows, n_rows, PASSAGE)
                 n += len(row)
                 _, w, _ = _terms(ids, begin, length, everything)
                 df += np.bincount(w, minlength=size)
@@ -122,8 +126,11 @@ def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int
     total = max(1, counts.get(-1, 0))
     df = np.array([counts.get(i, 0) for i in range(size)])
     # on few passages a common word can't be told from a copied one: words of 50 passages always count
-    idf = np.where(df > max(50, common * total), 0.0, np.log((total + 1) / (df + 1)) + 1)
-    use = idf > 0
+    use = df <= max(50, common * total)
+    for _, words in items:
+        ids = np.array(sorted({vocab[w] for w in words}))
+        use[ids[np.argsort(df[ids], kind="stable")[:own_words]]] = True
+    idf = np.where(use, np.log((total + 1) / (df + 1)) + 1, 0.0)
     rank = min(rank, size)
     omega = np.random.default_rng(seed).normal(size=(size, min(size, rank + 16))).astype(np.float32)
     block = 512
@@ -132,7 +139,7 @@ def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int
         y = np.zeros(omega.shape, np.float64)
         for batch in batches:
             for _, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
-                _, begin, length = _passages(rows, n_rows)
+                _, begin, length = _passages(rows, n_rows, PASSAGE)
                 p, w, x = _weights(_terms(ids, begin, length, use), idf)
                 _add_gram(y, p, w, x, omega)
         for b in range(0, size, block):
@@ -193,7 +200,7 @@ def find(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    cosine: float = 0.3,
+    cosine: float = 0.4,
     copied: float = 0.7,
     loose: float = 0.5,
     answer_words: int = 6,
@@ -227,6 +234,8 @@ def _searcher(items, vocab, idf, basis, cosine, copied, loose, answer_words, ans
     asked[own] = rows
     asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-6)
     seqs = [[vocab[t] for t in words] for _, words in items]
+    # fewer terms than any item has, up to three, can't reach the cosine with the item whole
+    least = min(3, int(np.bincount(p, minlength=len(items)).min()))
     names = [i for i, _ in items]
 
     def confirm(ids: np.ndarray, k: int) -> float:
@@ -244,7 +253,9 @@ def _searcher(items, vocab, idf, basis, cosine, copied, loose, answer_words, ans
             docs = batch.column(1)
             for a, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
                 row, begin, size = _passages(rows, n_rows)
-                p, w, x = _weights(_terms(ids, begin, size, use), idf)
+                terms = _terms(ids, begin, size, use)
+                rich = np.bincount(terms[0], minlength=len(row))[terms[0]] >= least
+                p, w, x = _weights(tuple(t[rich] for t in terms), idf)
                 if not len(p):
                     continue
                 stop = np.searchsorted(rows, np.arange(n_rows), side="right")
