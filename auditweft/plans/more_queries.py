@@ -264,8 +264,8 @@ def operational_posture(spark, d):
 
 @query(
     "fleet_counts",
-    derived(f"""SELECT 0 AS stale_agents, 0 AS backlog_agents, * FROM (SELECT count(*) FILTER (status NOT IN ('running', 'stale', 'backlog')) AS degraded_agents, count(*) FILTER (pending > 0) AS queued_agents FROM ({_LATEST})),
-    (SELECT count(*) FILTER (status = 'active') AS active_paths, count(*) FILTER (priority IN ('high', 'critical')) AS priority_paths FROM paths), (SELECT 4 AS enabled_rules), (SELECT count(DISTINCT lower(actor)) AS actors FROM admin)"""),
+    derived(f"""SELECT CAST(0 AS BIGINT) AS stale_agents, CAST(0 AS BIGINT) AS backlog_agents, * FROM (SELECT count(*) FILTER (status NOT IN ('running', 'stale', 'backlog')) AS degraded_agents, count(*) FILTER (pending > 0) AS queued_agents FROM ({_LATEST})),
+    (SELECT count(*) FILTER (status = 'active') AS active_paths, count(*) FILTER (priority IN ('high', 'critical')) AS priority_paths FROM paths), (SELECT CAST(4 AS BIGINT) AS enabled_rules), (SELECT count(DISTINCT lower(actor)) AS actors FROM admin)"""),
 )
 def fleet_counts(spark, d):
     return reports.fleet_counts(fleet.latest_heartbeats(heartbeats(spark, d)), monitored_paths(spark, d), test_rules(spark), admin_entries(spark, d))
