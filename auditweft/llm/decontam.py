@@ -2,13 +2,16 @@
 
 1. Texts are cut into overlapping passages. TF-IDF vectors are taken over the words of the benchmark
    items (other words can't raise a cosine with an item); document frequencies count all passages.
+   Texts are read once: their item words' numbers are stored and read by the later passes.
 2. A randomised, single-pass singular value decomposition of the passage matrix A: every task adds up
    its part of A'A times a random matrix, parts are summed by blocks of rows, and the Nystroem
-   formula gives the leading right singular vectors. Items enter A with extra weight, so that the
-   latent space keeps them apart.
+   formula gives the leading right singular vectors. The latent space is the whole span of the item
+   rows and these vectors: no item leaves it, however large the corpus, and a latent cosine is never
+   below the cosine of the full vectors.
 3. Passages whose latent cosine with an item passes a low threshold are candidates. The longest
    common subsequence of words confirms copies; looser ones (paraphrases) also need the item's
-   answer, its last words, to be there.
+   answer, its last words, to be there. Cosines are taken only where the words around a passage can
+   hold a subsequence that long: of an item's rarest words a certain number must be there.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import persisted, slices
 from .textnum import raw_bytes, word_bounds
 from .words import WordTable, letters_only
 
@@ -58,13 +61,37 @@ def _word_ids(vocab: dict[str, int], texts: pa.Array):
         yield a, b - a, rows[keep], ids[keep]
 
 
-def _passages(rows: np.ndarray, n_rows: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encode(vocab: dict[str, int], kind: type):
+    """Documents (text, doc_id) to doc_id and the word ids of the text."""
+
+    def run(batches):
+        for batch in batches:
+            for a, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
+                ends = np.cumsum(np.bincount(rows, minlength=n_rows)) * np.dtype(kind).itemsize
+                buffers = [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n_rows), pa.Array.from_buffers(pa.binary(), n_rows, buffers)], names=["doc_id", "ids"])
+
+    return run
+
+
+def _stored(col: pa.Array, kind: type):
+    """What _word_ids gives, from stored ids."""
+    width = np.dtype(kind).itemsize
+    for a, b in slices(col):
+        part = col.slice(a, b - a)
+        bounds = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+        if bounds[-1] > bounds[0]:
+            ids = np.frombuffer(part.buffers()[2], kind, (bounds[-1] - bounds[0]) // width, bounds[0])
+            yield a, b - a, np.repeat(np.arange(b - a), np.diff(bounds) // width), ids
+
+
+def _passages(rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, words) of the passages of texts."""
     counts = np.bincount(rows, minlength=n_rows)
-    n = np.where(counts > 0, np.maximum(1, -(-(counts - PASSAGE) // stride) + 1), 0)
+    n = np.where(counts > 0, np.maximum(1, -(-(counts - PASSAGE) // STRIDE) + 1), 0)
     row = np.repeat(np.arange(n_rows), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, np.repeat(np.cumsum(counts) - counts, n) + k * stride, np.minimum(PASSAGE, counts[row] - k * stride)
+    return row, np.repeat(np.cumsum(counts) - counts, n) + k * STRIDE, np.minimum(PASSAGE, counts[row] - k * STRIDE)
 
 
 def _terms(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +105,18 @@ def _terms(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, use: np.ndarray
     return code // len(use), code % len(use), count
 
 
+def _frequencies(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, words: int) -> np.ndarray:
+    """Number of passages that hold each word."""
+    hits = np.flatnonzero(ids >= 0)
+    lo, hi = np.searchsorted(begin + size, hits, side="right"), np.searchsorted(begin, hits, side="right")
+    order = np.argsort(ids[hits], kind="stable")
+    w, lo, hi = ids[hits][order], lo[order], hi[order]
+    # passages that an earlier place of the same word has counted
+    done = np.zeros(len(w), np.int64)
+    done[1:] = np.where(w[1:] == w[:-1], hi[:-1], 0)
+    return np.bincount(w, hi - np.maximum(lo, done), words).astype(np.int64)
+
+
 def _weights(terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row-normalised TF-IDF as (passage, word, weight)."""
     p, w, c = terms
@@ -98,27 +137,30 @@ def _items(bench: DataFrame, id_col: str, text_col: str) -> list[tuple[int, list
     return [(i, w) for i, w in out if i is not None and w]
 
 
-def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int = 192, common: float = 0.002, own_words: int = 8, item_weight: float = 30.0, seed: int = 1):
-    """(vocabulary, idf, basis, singular values), from passages without overlap.
-
-    idf is 0 for words in more than ``common`` of all passages, except the ``own_words`` rarest of
-    every item: an item that is copied everywhere keeps words to be found by.
-    """
+def vocabulary(items: list[tuple[int, list[str]]]) -> dict[str, int]:
     vocab: dict[str, int] = {}
     for _, words in items:
         for w in words:
             vocab.setdefault(w, len(vocab))
+    return vocab
+
+
+def latent_space(docs: DataFrame, kind: type, items: list[tuple[int, list[str]]], vocab: dict[str, int], rank: int = 192, common: float = 0.05, own_words: int = 8, seed: int = 1):
+    """(document frequencies, idf, ``rank`` leading right singular vectors of the passages).
+
+    ``docs`` has stored word ids in its column ids. idf is 0 for words in more than ``common`` of all
+    passages, except the ``own_words`` rarest of every item: an item that is copied everywhere keeps
+    words to be found by.
+    """
     size = len(vocab)
-    everything = np.ones(size, bool)
 
     def count(batches):
         df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for _, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
-                row, begin, length = _passages(rows, n_rows, PASSAGE)
+            for _, n_rows, rows, ids in _stored(batch.column(0), kind):
+                row, begin, length = _passages(rows, n_rows)
                 n += len(row)
-                _, w, _ = _terms(ids, begin, length, everything)
-                df += np.bincount(w, minlength=size)
+                df += _frequencies(ids, begin, length, size)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], names=["w", "n"])
 
@@ -138,8 +180,8 @@ def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int
     def sketch(batches):
         y = np.zeros(omega.shape, np.float64)
         for batch in batches:
-            for _, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
-                _, begin, length = _passages(rows, n_rows, PASSAGE)
+            for _, n_rows, rows, ids in _stored(batch.column(0), kind):
+                _, begin, length = _passages(rows, n_rows)
                 p, w, x = _weights(_terms(ids, begin, length, use), idf)
                 _add_gram(y, p, w, x, omega)
         for b in range(0, size, block):
@@ -157,15 +199,38 @@ def latent_space(docs: DataFrame, items: list[tuple[int, list[str]]], rank: int
     y = np.zeros(omega.shape, np.float64)
     for r in sums.collect():
         y[r["b"] : r["b"] + block] = np.frombuffer(r["y"], np.float32).reshape(-1, omega.shape[1])
-    p, w, x = item_matrix(items, vocab, idf)
-    _add_gram(y, p, w, x * np.float32(np.sqrt(item_weight)), omega)
     shift = 1e-6 * np.linalg.norm(y)
     y += shift * omega
     core = omega.T.astype(np.float64) @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     half = vectors / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-12)))
-    u, s, _ = np.linalg.svd(y @ half, full_matrices=False)
-    return vocab, idf, np.ascontiguousarray(u[:, :rank].astype(np.float32)), s[:rank]
+    u, _, _ = np.linalg.svd(y @ half, full_matrices=False)
+    return df, idf, np.ascontiguousarray(u[:, :rank].astype(np.float32))
+
+
+def item_space(p: np.ndarray, w: np.ndarray, x: np.ndarray, n: int, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(square root of the inverse Gram matrix of the item rows, ``basis`` without the span of these rows)."""
+    gram = np.zeros((n, n))
+    for lo in range(0, n, 256):
+        part = (p >= lo) & (p < lo + 256)
+        block = np.zeros((len(basis), min(256, n - lo)), np.float32)
+        block[w[part], p[part] - lo] = x[part]
+        own, rows = _times(p, w, x, block)
+        gram[own, lo : lo + 256] = rows
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    real = values > 1e-5 * values.max()
+    half = vectors[:, real] / np.sqrt(values[real])
+    by_word = np.argsort(w, kind="stable")
+    words, first = np.unique(w[by_word], return_index=True)
+    rest = basis.astype(np.float64)
+    for _ in range(2):  # once more for rounding
+        own, rows = _times(p, w, x, rest)
+        share = np.zeros((n, rest.shape[1]))
+        share[own] = rows
+        share = half @ (half.T @ share)
+        rest[words] -= np.add.reduceat(share[p[by_word]] * x[by_word, None], first, axis=0)
+    u, s, _ = np.linalg.svd(rest, full_matrices=False)
+    return half.astype(np.float32), np.ascontiguousarray(u[:, s > 1e-3].astype(np.float32))
 
 
 def _add_gram(y: np.ndarray, p: np.ndarray, w: np.ndarray, x: np.ndarray, omega: np.ndarray, step: int = 40_000) -> None:
@@ -200,7 +265,7 @@ def find(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    cosine: float = 0.4,
+    cosine: float = 0.3,
     copied: float = 0.7,
     loose: float = 0.5,
     answer_words: int = 6,
@@ -221,21 +286,54 @@ def find(
     out = docs.sparkSession.createDataFrame([], schema)
     for part in range(ceil(len(every) / ITEMS)):
         items = every[part * ITEMS : (part + 1) * ITEMS]
-        vocab, idf, basis, _ = latent_space(own.select("text"), items, rank)
-        out = out.union(own.mapInArrow(_searcher(items, vocab, idf, basis, cosine, copied, loose, answer_words, answer_share), schema))
+        vocab = vocabulary(items)
+        kind = np.int16 if len(vocab) < 1 << 15 else np.int32
+        words = persisted(own.mapInArrow(_encode(vocab, kind), "doc_id long, ids binary"), "words")
+        df, idf, basis = latent_space(words.select("ids"), kind, items, vocab, rank)
+        out = out.union(words.select("ids", "doc_id").mapInArrow(_searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_words, answer_share), schema))
     return out.filter("doc_id is not null").groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
 
 
-def _searcher(items, vocab, idf, basis, cosine, copied, loose, answer_words, answer_share):
+def _postings(owner: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first posting of each word and the end, order of the postings, owners in this order)."""
+    order = np.argsort(words, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(words, minlength=size))), order, owner[order]
+
+
+def _expand(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``words``, posting) of every posting of every word."""
+    n = first[words + 1] - first[words]
+    at = np.repeat(np.arange(len(words)), n)
+    return at, np.repeat(first[words], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def rare_words(seqs: list[list[int]], df: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, word) of each item's rarest words, and how many of them each item's copies hold.
+
+    A common subsequence of ``need`` words leaves out n - need of the item's n words, so that of its
+    n - need + t rarest ones at least t are there.
+    """
+    owner, words, hold = [], [], []
+    for k, seq in enumerate(seqs):
+        n = len(seq)
+        need = next((m for m in range(1, n) if m / n >= least), n)
+        hold.append(1 + need // 3)
+        rare = np.array(seq)[np.argsort(df[seq], kind="stable")][: n - need + hold[-1]]
+        words.append(np.unique(rare))
+        owner.append(np.full(len(words[-1]), k))
+    return np.concatenate(owner), np.concatenate(words), np.array(hold)
+
+
+def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_words, answer_share):
     use = idf > 0
     p, w, x = item_matrix(items, vocab, idf)
-    asked = np.zeros((len(items), basis.shape[1]), np.float32)
-    own, rows = _times(p, w, x, basis)
-    asked[own] = rows
-    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-6)
+    half, basis = item_space(p, w, x, len(items), basis)
+    first, order, item_of = _postings(p, w, len(vocab))
+    weight_of = x[order]
     seqs = [[vocab[t] for t in words] for _, words in items]
-    # fewer terms than any item has, up to three, can't reach the cosine with the item whole
-    least = min(3, int(np.bincount(p, minlength=len(items)).min()))
+    owner, words, hold = rare_words(seqs, df, min(copied, loose))
+    rare_first, _, rare_item = _postings(owner, words, len(vocab))
+    rare = np.diff(rare_first) > 0
     names = [i for i, _ in items]
 
     def confirm(ids: np.ndarray, k: int) -> float:
@@ -247,32 +345,66 @@ def _searcher(items, vocab, idf, basis, cosine, copied, loose, answer_words, ans
         answer = seq[-answer_words:]
         return share if share >= loose and lcs_length(answer, near) >= answer_share * len(answer) else 0.0
 
+    def possible(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) where the words from ``begin`` to ``end`` hold enough of the item's rare words."""
+        hits = np.flatnonzero((ids >= 0) & rare[ids])
+        at, posting = _expand(ids[hits].astype(np.int64), rare_first)
+        code = np.sort(rare_item[posting] * np.int64(len(ids)) + hits[at])
+        item = code // max(1, len(ids))
+        last = np.arange(len(code)) + hold[item] - 1
+        near = np.flatnonzero(last < len(code))
+        near = near[code[last[near]] - code[near] < PASSAGE + 2 * STRIDE]
+        near = near[item[last[near]] == item[near]]
+        a, b = code[near] % max(1, len(ids)), code[last[near]] % max(1, len(ids))
+        lo, hi = np.searchsorted(end, b, side="right"), np.searchsorted(begin, a, side="right")
+        n = np.maximum(hi - lo, 0)
+        passage = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = np.unique(passage * np.int64(len(names)) + np.repeat(item[near], n))
+        return pairs // len(names), pairs % len(names)
+
+    def cosines(terms, own: np.ndarray) -> np.ndarray:
+        """Latent cosines of the passages ``own`` with all items (0 without a used word)."""
+        p, w, x = _weights(terms, idf)
+        p = np.searchsorted(own, p)
+        at, posting = _expand(w.astype(np.int64), first)
+        dots = np.bincount(p[at] * len(names) + item_of[posting], x[at] * weight_of[posting], len(own) * len(names)).reshape(len(own), -1)
+        rest = np.zeros((len(own), basis.shape[1]))
+        if len(p):
+            some, rows = _times(p, w, x, basis)
+            rest[some] = rows
+        norm = np.sqrt(((dots @ half) ** 2).sum(1) + (rest**2).sum(1))
+        return dots / np.maximum(norm, 1e-9)[:, None]
+
     def run(batches):
         for batch in batches:
             found: list[tuple] = []
             docs = batch.column(1)
-            for a, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
+            for a, n_rows, rows, ids in _stored(batch.column(0), kind):
                 row, begin, size = _passages(rows, n_rows)
-                terms = _terms(ids, begin, size, use)
-                rich = np.bincount(terms[0], minlength=len(row))[terms[0]] >= least
-                p, w, x = _weights(tuple(t[rich] for t in terms), idf)
-                if not len(p):
-                    continue
-                stop = np.searchsorted(rows, np.arange(n_rows), side="right")
-                start = np.searchsorted(rows, np.arange(n_rows), side="left")
-                cuts = np.unique(np.append(np.searchsorted(p, p[::30_000], side="left"), len(p)))  # whole passages
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    own, latent = _times(p[lo:hi], w[lo:hi], x[lo:hi], basis)
-                    norm = np.linalg.norm(latent, axis=1)
-                    scores = latent @ asked.T / np.maximum(norm, 0.05)[:, None]
-                    for i, k in zip(*np.nonzero(scores >= cosine)):
-                        q = own[i]
-                        r = row[q]
-                        share = confirm(ids[max(start[r], begin[q] - STRIDE) : min(stop[r], begin[q] + size[q] + STRIDE)], k)
+                counts = np.bincount(rows, minlength=n_rows)
+                stop = np.cumsum(counts)
+                # a passage and a stride around it
+                start, end = np.maximum((stop - counts)[row], begin - STRIDE), np.minimum(stop[row], begin + size + STRIDE)
+                q, k = possible(ids, start, end)
+                for lo in range(0, len(q), 1000):
+                    qs, ks = q[lo : lo + 1000], k[lo : lo + 1000]
+                    own = np.unique(qs)
+                    scores = cosines(_subset(ids, begin[own], size[own], own, use), own)[np.searchsorted(own, qs), ks]
+                    for i in np.flatnonzero(scores >= cosine):
+                        share = confirm(ids[start[qs[i]] : end[qs[i]]], ks[i])
                         if share:
-                            found.append((docs[int(a + r)].as_py(), names[k], float(min(1.0, scores[i, k])), share))
+                            found.append((docs[int(a + row[qs[i]])].as_py(), names[ks[i]], float(min(1.0, scores[i])), share))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs"]
             )
 
     return run
+
+
+def _subset(ids: np.ndarray, begin: np.ndarray, size: np.ndarray, own: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, word, count) of the used words of the passages ``own`` only."""
+    passage = np.repeat(own, size)
+    words = ids[np.repeat(begin, size) + np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size)]
+    keep = (words >= 0) & use[words]
+    code, count = np.unique(passage[keep] * np.int64(len(use)) + words[keep], return_counts=True)
+    return code // len(use), code % len(use), count

@@ -1,7 +1,9 @@
 """Decontamination: subsequences by the plain recurrence, recall against brute force, odd inputs."""
 
+import math
 import random
 import re
+from collections import Counter
 
 from auditweft.llm import decontam
 
@@ -45,3 +47,95 @@ def test_odd_rows(spark):
     assert got == [(1, 7), (4, 7)]
     assert decontam.find(docs, bench.limit(0)).count() == 0
     assert decontam.find(docs.limit(0), bench).count() == 0
+
+
+def _plain_found(texts, items, cosine=0.3, copied=0.7, loose=0.5):
+    """Every passage against every item: cosine of the full vectors, then the subsequence rule."""
+    vocab = {w for x in items.values() for w in x}
+    windows = []
+    for d, t in texts.items():
+        for b in range(0, max(1, len(t) - 24), 24) if len(t) > 48 else [0]:
+            windows.append((d, t[b : b + 48], t[max(0, b - 24) : b + 72]))
+    df = Counter(w for _, p, _ in windows for w in set(p) & vocab)
+    use = {w for w in vocab if df[w] <= max(50, 0.05 * len(windows))}
+    for x in items.values():
+        use |= set(sorted(set(x), key=lambda w: df[w])[:8])
+
+    def vector(words):
+        x = {w: (1 + math.log(c)) * (math.log((len(windows) + 1) / (df[w] + 1)) + 1) for w, c in Counter(words).items() if w in use}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        return {w: v / norm for w, v in x.items()}
+
+    rows = {i: vector(x) for i, x in items.items()}
+    ids = {w: n for n, w in enumerate(vocab)}
+    near, possible = set(), set()
+    for d, p, around in windows:
+        v = vector(p)
+        for i, x in items.items():
+            if len(set(x) & set(around)) < 3:
+                continue
+            a, b = [ids[w] for w in x], [ids.get(w, -1) for w in around]
+            share = decontam.lcs_length(a, b) / len(a)
+            if share >= copied or share >= loose and decontam.lcs_length(a[-6:], b) >= 0.6 * len(a[-6:]):
+                possible.add((d, i))
+                if sum(u * rows[i].get(w, 0) for w, u in v.items()) >= cosine:
+                    near.add((d, i))
+    return near, possible
+
+
+def test_more_items_than_the_rank_of_the_space(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(2500)]
+    items = {i: rng.sample(words, rng.randint(8, 40)) for i in range(260)}
+    texts = {d: [rng.choice(words) for _ in range(rng.randint(20, 200))] for d in range(500)}
+    for d in range(260):
+        copy = list(items[d])
+        if d % 2:  # a third of the words replaced, the last six kept
+            for j in rng.sample(range(len(copy) - 6), (len(copy) - 6) // 3):
+                copy[j] = rng.choice(words)
+        at = rng.randint(0, len(texts[d]))
+        texts[d][at:at] = copy
+    near, possible = _plain_found(texts, items)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()}
+    print(len(near), len(possible), len(found), len(near - found))
+    assert len(near) > 200 and near <= found <= possible
+
+
+def test_recall_on_more_text(spark):
+    docs, bench = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    norm = lambda t: " ".join(re.sub(r"[^\w\s]|[\d_]", "", t.lower()).split())
+    items = {r.item_id: norm(r.text) for r in bench.collect()}
+    texts = {r.doc_id: norm(r.text or "") for r in docs.collect()}
+    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+    # every item once as it is and once with each sixth word replaced, between lines of the table's own texts
+    own = [t for t in texts.values() if len(t) > 300]
+    more, planted = [], set()
+    for i, x in items.items():
+        changed = " ".join("other" if j % 6 == 2 else w for j, w in enumerate(x.split()))
+        for d, t in ((10**9 + 2 * i, x), (10**9 + 2 * i + 1, changed)):
+            more.append((d, f"{own[i % len(own)][:150]} {t} {own[(i + 7) % len(own)][:150]}"))
+            planted.add((d, i))
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontam.find(every, bench).collect()}
+    print("verbatim", len(exact), len(exact & found), "planted", len(planted), len(planted & found), "all", len(found))
+    assert len(exact) > 100 and exact <= found
+    assert len(planted & found) >= 0.99 * len(planted)
+
+
+def test_copies_without_the_rarest_words(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(1200)]
+    texts = {d: [rng.choice(words) for _ in range(48)] for d in range(1600)}
+    items, planted = {}, set()
+    for i in range(20):
+        item = rng.sample(words, 32)
+        for j in range(8):
+            item.insert(3 * j, f"rare{chr(97 + i)}{chr(97 + j)}")
+        items[i] = item
+        texts[5000 + i] = [rng.choice(words) for _ in range(20)] + ["other" if w.startswith("rare") else w for w in item]
+        planted.add((5000 + i, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()} == planted
