@@ -7,7 +7,8 @@ enough documents is recurring; its lines are dropped everywhere but at the first
 
 Lines travel as fingerprints. Equal lines are counted before any shuffle by leaf, and only leaves
 whose lines occur in enough documents are parsed further. A leaf with too many different lines is
-split by more of its leading tokens.
+parsed in parts; the parts' templates are then parsed like lines, in rounds, until one part holds all
+templates of the leaf.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import persisted, slices
 from .textnum import mix, raw_bytes, word_bounds, word_hashes
 
-#: Leading tokens that make a leaf, from the usual depth to that of crowded leaves.
-DEPTHS = (3, 6, 12, 24)
-#: Most different lines parsed as one leaf, and most rows sent to every executor at once.
+#: Leading tokens that make a leaf.
+DEPTH = 3
+#: Most different lines of a leaf parsed at once while parsing in parts still unites some, and most
+#: rows sent to every executor at once.
 LEAF_LINES = 2000
 BROADCAST_ROWS = 500_000
 #: Least share of a template's places that stay constant.
@@ -70,14 +72,14 @@ def _prefix_hashes(tokens: np.ndarray, first: np.ndarray, count: np.ndarray, dep
 
 
 def line_keys(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, fp (of the text), line, key (of the masked line), leaf hashes; one row per line."""
-    names = ["doc_id", "fp", "line", "n", "key", *(f"leaf{d}" for d in DEPTHS)]
+    """doc_id, fp (of the text), line, key (of the masked line), leaf hash; one row per line."""
+    names = ["doc_id", "fp", "line", "n", "key", "leaf"]
 
     def run(batches):
         for batch in batches:
             for a, tokens, rows, line, first, count in _lines(batch.column(2), least):
                 at = pa.array(a + rows)
-                hashes = [_prefix_hashes(tokens, first, count, d) for d in (None, *DEPTHS)]
+                hashes = [_prefix_hashes(tokens, first, count, d) for d in (None, DEPTH)]
                 cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int64)), pa.array(count.astype(np.int64)), *map(pa.array, hashes)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -98,63 +100,85 @@ def _line_tokens(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "fp", "text").mapInArrow(run, "key long, seq binary")
 
 
-def _parse_leaf(similar: float, chunk: int):
+def _parse_leaf(similar: float):
     def run(table: pa.Table) -> pa.Table:
+        """Unites the table's templates; a line is a template all of whose places are constant."""
         df, keys = table.column("df").to_numpy(), table.column("key").to_numpy()
-        seqs = table.column("seq").to_pylist()
-        template = keys.copy()
-        order = np.lexsort((keys, -df))
-        for lo in range(0, len(order), chunk):
-            made: list[int] = []
-            shape = np.zeros((0, 0), np.uint16)
-            fixed = np.zeros((0, 0), bool)
-            for i in order[lo : lo + chunk]:
-                seq = np.frombuffer(seqs[i], "<u2")
-                if shape.shape[1] != len(seq):
-                    made, shape, fixed = [], np.zeros((0, len(seq)), np.uint16), np.zeros((0, len(seq)), bool)
-                if made:
-                    same, places = ((shape == seq) & fixed).sum(1), fixed.sum(1)
-                    same[same < np.maximum(similar * places, CONSTANT * len(seq))] = 0
-                    best = int(same.argmax())
-                    if same[best]:
-                        fixed[best] &= shape[best] == seq
-                        template[i] = made[best]
-                        continue
-                made.append(int(keys[i]))
-                shape, fixed = np.vstack([shape, seq]), np.vstack([fixed, np.ones((1, len(seq)), bool)])
-        return pa.table([pa.array(keys), pa.array(template)], names=["key", "template"])
+        seqs = [np.frombuffer(v, "<u2") for v in table.column("seq").to_pylist()]
+        masks = [np.frombuffer(v, bool) if v is not None else np.ones(len(q), bool) for v, q in zip(table.column("fixed").to_pylist(), seqs)]
+        template, weight, last = keys.copy(), df.copy(), [q.tobytes() for q in masks]
+        order = np.lexsort((keys, -df, [len(q) for q in seqs]))
+        made: list[int] = []
+        shape = fixed = np.zeros((0, 0), np.uint16)
+        for i in order:
+            seq, mask = seqs[i], masks[i]
+            if shape.shape[1] != len(seq):
+                made, shape, fixed = [], np.zeros((64, len(seq)), np.uint16), np.zeros((64, len(seq)), bool)
+            m = len(made)
+            if m:
+                both = fixed[:m] & mask
+                same = ((shape[:m] == seq) & both).sum(1)
+                same[same < np.maximum(similar * both.sum(1), CONSTANT * len(seq))] = 0
+                best = int(same.argmax())
+                if same[best]:
+                    fixed[best] &= (shape[best] == seq) & mask
+                    template[i] = keys[made[best]]
+                    weight[made[best]] += df[i]
+                    last[made[best]] = fixed[best].tobytes()
+                    continue
+            if m == len(shape):
+                shape, fixed = np.concatenate([shape, np.zeros_like(shape)]), np.concatenate([fixed, np.zeros_like(fixed)])
+            shape[m], fixed[m] = seq, mask
+            made.append(int(i))
+        return pa.table([table.column("leaf"), pa.array(keys), pa.array(template), pa.array(weight), table.column("seq"), pa.array(last, pa.binary())], names=["leaf", "key", "template", "df", "seq", "fixed"])
 
     return run
 
 
+def _templates(rows: DataFrame, similar: float) -> DataFrame:
+    """key and template of lines (leaf, key, df, seq, fixed), leaf by leaf."""
+    schema = "leaf long, key long, template long, df long, seq binary, fixed binary"
+    found, before = None, None
+    while True:
+        sizes = rows.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_LINES).alias("parts"))
+        crowded = persisted(sizes.filter("parts > 1"), "crowded")
+        left = crowded.agg(F.sum("parts").alias("n")).first()["n"]
+        # parts that unite next to nothing would go on for ever: then a leaf is parsed whole
+        split = left is not None and (before is None or left < 0.9 * before)
+        before = left
+        if split:
+            now = rows.join(crowded, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        else:
+            now = rows.withColumn("part", F.lit(0))
+        done = persisted(now.groupBy("leaf", "part").applyInArrow(_parse_leaf(similar), schema), "parsed")
+        step = done.select("key", "template")
+        if found is None:
+            found = step
+        else:
+            up = step.select(F.col("key").alias("template"), F.col("template").alias("up"))
+            found = persisted(found.join(up, "template", "left").select("key", F.coalesce("up", "template").alias("template")), "templates")
+        if not split:
+            return found
+        rows = done.filter("key = template").join(crowded.select("leaf"), "leaf", "left_semi").select("leaf", "key", "df", "seq", "fixed")
+
+
 def recurring_lines(docs: DataFrame, least: int = 5, min_docs: int = 3, similar: float = 0.8, generalise: int = 12) -> tuple[DataFrame, DataFrame]:
     """(lines to drop, line counts) of documents with columns doc_id, fp, text."""
     lines = persisted(line_keys(docs, least), "lines")
-    leaves = [f"leaf{d}" for d in DEPTHS]
-    per_doc = lines.groupBy("key", "doc_id", "fp").agg(F.min("line").alias("line"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in leaves))
+    per_doc = lines.groupBy("key", "doc_id", "fp").agg(F.min("line").alias("line"), F.first("n").alias("n"), F.first("leaf").alias("leaf"))
     keys = persisted(
         per_doc.groupBy("key").agg(
-            F.count("*").alias("df"), F.min(F.struct("doc_id", "fp", "line")).alias("at"), F.first("n").alias("n"), *(F.first(x).alias(x) for x in leaves)
+            F.count("*").alias("df"), F.min(F.struct("doc_id", "fp", "line")).alias("at"), F.first("n").alias("n"), F.first("leaf").alias("leaf")
         ),
         "keys",
     )
-    # the shallowest leaf that isn't crowded; crowded at all depths: the deepest
     long = keys.filter(F.col("n") >= generalise)
-    left, parts = long, []
-    for d, leaf in zip(DEPTHS, leaves):
-        sizes = left.groupBy(leaf).agg(F.count("*").alias("different"), F.sum("df").alias("docs"))
-        sizes = sizes.filter((F.col("different") > 1) & (F.col("docs") >= min_docs))
-        now = left.join(sizes, leaf)
-        fits = now if d == DEPTHS[-1] else now.filter(F.col("different") <= LEAF_LINES)
-        parts.append(fits.select("key", "df", F.col(leaf).alias("leaf")))
-        left = now.filter(F.col("different") > LEAF_LINES).drop("different", "docs")
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
-    chosen = persisted(chosen, "chosen")
+    sizes = long.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("df").alias("docs"))
+    sizes = sizes.filter((F.col("different") > 1) & (F.col("docs") >= min_docs))
+    chosen = persisted(long.join(sizes, "leaf").select("key", "df", "leaf"), "chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     seqs = _line_tokens(docs, least).join(few, "key").groupBy("key", "leaf", "df").agg(F.max("seq").alias("seq"))
-    parsed = persisted(seqs.groupBy("leaf").applyInArrow(_parse_leaf(similar, LEAF_LINES), "key long, template long"), "parsed")
+    parsed = _templates(persisted(seqs.withColumn("fixed", F.lit(None).cast("binary")), "seqs"), similar)
 
     named = keys.select("key", "df", "at").join(parsed, "key", "left").withColumn("template", F.coalesce("template", "key"))
     recurring = named.groupBy("template").agg(F.sum("df").alias("df"), F.min("at").alias("at")).filter(F.col("df") >= min_docs)

@@ -72,3 +72,15 @@ def test_odd_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_leaf(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+    line = "this page was written by {} for all readers of the daily news of our town".format
+    rows = [(d, line(word()) + "\nown " + " ".join(word() for _ in range(3))) for d in range(5000)]
+    out = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.filter("n_dropped = 1").collect()} == set(range(1, 5000))
+    # as many lines that begin alike and share nothing else stay
+    rows = [(d, "this page was " + " ".join(word() for _ in range(12))) for d in range(5000)]
+    assert drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").count() == 0
