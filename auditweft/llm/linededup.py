@@ -181,7 +181,13 @@ def recurring_lines(docs: DataFrame, least: int = 5, min_docs: int = 3, similar:
     parsed = _templates(persisted(seqs.withColumn("fixed", F.lit(None).cast("binary")), "seqs"), similar)
 
     named = keys.select("key", "df", "at").join(parsed, "key", "left").withColumn("template", F.coalesce("template", "key"))
-    recurring = named.groupBy("template").agg(F.sum("df").alias("df"), F.min("at").alias("at")).filter(F.col("df") >= min_docs)
+    # a document that holds several lines of a template counts once
+    single = named.groupBy("template").agg(F.sum("df").alias("df"), F.min("at").alias("at"), F.count("*").alias("lines")).filter(F.col("df") >= min_docs)
+    united = persisted(named.select("key", "template").join(single.filter("lines > 1").select("template"), "template"), "united")
+    few = F.broadcast(united) if united.count() <= BROADCAST_ROWS else united
+    docs_of = lines.select("key", "doc_id", "fp").join(few, "key").groupBy("template", "doc_id", "fp").agg(F.lit(1).alias("one"))
+    counted = docs_of.groupBy("template").agg(F.count("*").alias("docs"))
+    recurring = single.join(counted, "template", "left").filter(F.coalesce("docs", "df") >= min_docs).select("template", "at")
     gone = persisted(named.select("key", "template").join(recurring, "template").select("key", "at"), "gone")
     drop = lines.select("doc_id", "fp", "line", "key").join(gone, "key")
     return drop.filter(~F.struct("doc_id", "fp", "line").eqNullSafe(F.col("at"))).select("doc_id", "fp", "line"), gone

@@ -84,3 +84,12 @@ def test_crowded_leaf(spark):
     # as many lines that begin alike and share nothing else stay
     rows = [(d, "this page was " + " ".join(word() for _ in range(12))) for d in range(5000)]
     assert drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").count() == 0
+
+
+def test_lines_of_one_document_count_once(spark):
+    base = [f"w{c}" for c in "abcdefghijklmnopqrst"]
+    alike = lambda k: " ".join(w if i != 7 else f"changed{k}" for i, w in enumerate(base))
+    own = lambda k: alike(k).replace("wa", "va")
+    rows = [(1, "\n".join(map(alike, "xyz"))), (2, "\n".join(map(own, "xyz"))), (3, own("u")), (4, own("v"))]
+    out = {r.doc_id: r.n_dropped for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 2, 3: 1, 4: 1}
