@@ -10,9 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.text import classify_transition, derive_extension, is_blank, parent_path
 
-#: Doubling rounds: paths up to 2 ** ROUNDS folders deep; deeper ones start at the base path.
-ROUNDS = 6
-
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the folder that the session names (a temporary one only where none is set)."""
@@ -57,7 +54,7 @@ def hydrate_usn_paths(usn: DataFrame, base_path: str) -> DataFrame:
         .withColumn("_rooted", ~reuse & F.coalesce(rooted, F.lit(False)))
     )
     chain = rows.select("_row", F.col("_to").alias("to"), F.col("_tail").alias("tail"), F.col("_rooted").alias("rooted"))
-    for _ in range(ROUNDS):
+    while True:  # rows point to earlier rows only, so that every chain ends
         up = chain.select(F.col("_row").alias("to"), F.col("to").alias("to2"), F.col("tail").alias("tail2"), F.col("rooted").alias("rooted2"))
         chain = cut(
             chain.join(up, "to", "left").select(

@@ -237,7 +237,7 @@ def _journal(spark, d):
         F.col("n").alias("usn"), F.lit("D:").alias("volume"), "timestamp_utc", "server", "share", F.lit("created").alias("action"), F.lit("FILE_CREATE").alias("reason"),
         F.concat(F.lit("f"), node.cast("string")).alias("file_id"), F.when(node % 10 > 0, F.concat(F.lit("f"), (node - 1).cast("string"))).alias("parent_file_id"),
         F.concat(F.lit("n"), node.cast("string")).alias("file_name"),
-    ).filter("n < 100000")
+    )
 
 
 @query(
