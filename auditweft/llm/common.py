@@ -1,15 +1,30 @@
-"""Shared helpers: reading tables, durable intermediate tables, Arrow batch slicing."""
+"""Shared helpers: reading tables, durable intermediate tables, Arrow batch slicing, worker memory."""
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_HELD: dict[str, object] = {}
+Table = TypeVar("Table")
+
+
+def held(key: str, make: Callable[[], Table]) -> Table:
+    """What ``make`` gives, kept in the worker between tasks of one key; another key's table goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]  # type: ignore[return-value]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +33,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode without a setting."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -8,28 +8,34 @@ tournament tree of bin capacities finds the first bin a piece fits in.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices
+from .common import held, partitions, slices
+from .textnum import raw_bytes, word_bounds, word_hashes
+from .words import Known, Rows, raw_words
 
-#: Most words kept in a worker's memory between batches.
+#: Most different words kept in a worker's memory between batches.
 CACHE_WORDS = 800_000
-_TOKENIZERS: dict[str, "WordIds"] = {}
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
 
 
 class WordIds:
-    """Token ids of white-space-delimited words as little-endian bytes, remembered per worker.
+    """Token ids of words, remembered per worker by fingerprints of their bytes.
 
-    The tokenizer's own rules never join characters across white space, so a text's ids are those of
-    its words in order. A word is remembered whole; a lower-case stem and a final mark are looked up
-    apart, because a letter run always ends before ``,`` or ``.``.
+    The tokenizer's own rules never join characters across white space, nor a letter and a mark behind
+    it; so a text's ids are those of its words and of the marks at their ends, in order. It lower-cases,
+    so words that differ in the case of A-Z only have the same ids; words with ``<`` stay whole and
+    keep their case, as the tokenizer's special strings do.
     """
 
     def __init__(self, path: str):
@@ -37,53 +43,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.marks = {c: self.encode([c])[0] for c in ",."}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        """Make every word of a batch known."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        stems = {}
-        for w in words.difference(known):
-            stem = w[:-1] if w[-1] in ",." and len(w) > 1 and w[-2].isalpha() and w.isascii() else w
-            stems[w] = stem.lower() if stem.isascii() else stem
-        missing = list({s for s in stems.values()}.difference(known))
-        known.update(zip(missing, self.encode(missing)))
-        for w, s in stems.items():
-            known[w] = known[s] + self.marks[w[-1]] if len(s) < len(w) else known[s]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Texts with separators that Python and the tokenizer see apart, or with
-        the tokenizer's special strings, go to it whole."""
-        split = [None if _odd(t) else t.split() for t in texts]
-        for a in range(0, len(split), 256):
-            words: set[str] = set()
-            words.update(*(s for s in split[a : a + 256] if s))
-            self.learn(words)
-            get = self.known.__getitem__
-            for i in range(a, min(a + 256, len(split))):
-                split[i] = self.encode([texts[i]])[0] if split[i] is None else b"".join(map(get, split[i]))
-        return split
-
-
-#: Where Python's white space and the tokenizer's differ, and the tokenizer's special strings.
-_ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "<|startoftext|>", "<|endoftext|>"]
-_ODD_WIDE = ["\x85", "\ufeff", "\u180e", "\u200b"]
-
-
-def _odd(t: str) -> bool:
-    return any(x in t for x in _ODD) or not t.isascii() and any(x in t for x in _ODD_WIDE)
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+        self.known = Known(CACHE_WORDS)
+        self.ids, self.spans = Rows(), Rows()
+
+    def _learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 8192):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[a : a + 8192]], add_special_tokens=False)]
+            size = np.array([len(x) for x in found], np.int64)
+            self.spans.add(np.column_stack([self.ids.used + np.cumsum(size) - size, size]).astype(np.int32))
+            self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+
+    def _forget(self) -> None:
+        self.ids.clear()
+        self.spans.clear()
+
+    def _parts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, starts, ends, rows and fingerprints of the words and the marks behind them."""
+        data, bounds = raw_bytes(col)
+        starts, ends, rows = word_bounds(data, bounds)
+        if not len(starts):
+            return data, starts, ends, rows, np.zeros(0, np.uint64)
+        stem = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[ends - 1] + 1
+        before, last = data[np.maximum(stem - 2, 0)], data[np.maximum(stem - 1, 0)]
+        # letters of one byte, or the accented ones of U+00C0 to U+00FF
+        letter = _LETTER[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (stem - 2 >= starts)
+        special = np.zeros(len(starts), bool)
+        special[np.searchsorted(starts, np.flatnonzero(data == 60), side="right") - 1] = True
+        cut = (stem > starts) & (stem < ends) & letter & ~special
+        first = np.arange(len(starts)) + np.cumsum(cut) - cut
+        n = len(starts) + int(cut.sum())
+        begin, end, row, whole = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+        begin[first], end[first], row[first], whole[first] = starts, np.where(cut, stem, ends), rows, special
+        tail = first[cut] + 1
+        begin[tail], end[tail], row[tail] = stem[cut], ends[cut], rows[cut]
+        h = word_hashes(data, begin, end)
+        if special.any():
+            h[whole] = word_hashes(data, begin[whole], end[whole], lower=False) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
+        return data, begin, end, row, h
+
+    def texts(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, each with ``end_id`` behind it, number of ids of each text)."""
+        data, starts, ends, rows, h = self._parts(col)
+        if not len(h):
+            return np.full(len(col), end_id, np.uint32), np.ones(len(col), np.int64)
+        at = self.known.numbers(h, lambda new: self._learn(raw_words(data, starts[new], ends[new])), self._forget)
+        begin, size = self.spans.all[at].T.astype(np.int64)
+        counts = np.bincount(rows, size, len(col)).astype(np.int64) + 1
+        # each word's ids stand behind those of the words and the ended texts before it
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out = np.full(int(counts.sum()), end_id, np.uint32)
+        out[np.repeat(np.cumsum(size) - size + rows, size) + inner] = self.ids.all[np.repeat(begin, size) + inner]
+        return out, counts
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -94,22 +104,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def run(batches):
-        encoder = word_ids(tokenizer_path)
-        end = struct.pack("<I", end_id)
+        encoder = held(f"ids {tokenizer_path}", lambda: WordIds(tokenizer_path))
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                cols: list[list] = [[] for _ in names]
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.batch(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, length):
-                        part = ids[4 * start : 4 * (start + length)]
-                        row = (doc, start, len(part) // 4, zlib.crc32(part), total, *((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()))
-                        for c, v in zip(cols, row):
-                            c.append(v)
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+            for a, b in slices(batch.column(1), 1 << 20):
+                ids, counts = encoder.texts(batch.column(1).slice(a, b - a), end_id)
+                n = -(-counts // length)
+                doc = np.repeat(np.arange(b - a), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * length
+                size = np.minimum(length, counts[doc] - start)
+                bounds = np.append(0, np.cumsum(size))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                cols = [batch.column(0).take(pa.array(a + doc)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[doc])]
+                if keep_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -52,30 +52,103 @@ def ngram_buckets(words: list[str], orders: tuple[int, ...], buckets: int, start
     return (ids[by_word] % np.uint64(buckets)).astype(np.int64), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
+class Slots:
+    """Numbers of 64-bit keys, in two possible slots each; nothing is sorted.
+
+    A key that finds both slots taken pushes another out, which is then unknown again.
+    """
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.full(1 << bits, -1, np.int32)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h & self.mask).astype(np.int64), ((h >> np.uint64(32)) & self.mask).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of every key, -1 if unknown."""
+        a, b = self._places(h)
+        out = np.where(self.keys[a] == h, self.numbers[a], -1)
+        miss = np.flatnonzero(out < 0)
+        b = b[miss]
+        out[miss] = np.where(self.keys[b] == h[miss], self.numbers[b], -1)
+        return out
+
+    def put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that are unknown."""
+        a, b = self._places(h)
+        at = np.where(self.numbers[a] < 0, a, b)
+        self.keys[at], self.numbers[at] = h, numbers
+
+    def clear(self) -> None:
+        self.numbers.fill(-1)
+
+
+class Known:
+    """Distinct words and their numbers, up to ``cap`` of them at a time (more if one text has more)."""
+
+    def __init__(self, cap: int):
+        self.cap, self.used = cap, 0
+        self.slots = Slots(max(16, (2 * cap).bit_length()))
+
+    def numbers(self, h: np.ndarray, learn: Callable[[np.ndarray], None], forget: Callable[[], None]) -> np.ndarray:
+        """Numbers of the fingerprints ``h``; ``learn`` gets the places of the new ones, in the order of their numbers."""
+        out = self.slots.find(h)
+        miss = np.flatnonzero(out < 0)
+        if not len(miss):
+            return out
+        own, first = np.unique(h[miss], return_index=True)
+        if self.used and self.used + len(own) > self.cap:
+            self.slots.clear()
+            self.used = 0
+            forget()
+            miss = np.arange(len(h))
+            own, first = np.unique(h, return_index=True)
+        learn(miss[first])
+        numbers = np.arange(self.used, self.used + len(own), dtype=np.int32)
+        self.used += len(own)
+        self.slots.put(own, numbers)
+        out[miss] = numbers[np.searchsorted(own, h[miss])]
+        return out
+
+
+class Rows:
+    """A growing array of equal rows."""
+
+    def __init__(self):
+        self.all: np.ndarray | None = None
+        self.used = 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.used + len(rows)
+        if self.all is None:
+            self.all = np.empty((max(1 << 12, need), *rows.shape[1:]), rows.dtype)
+        elif need > len(self.all):
+            more = np.empty((max(need, len(self.all) * 3 // 2), *rows.shape[1:]), rows.dtype)
+            more[: self.used] = self.all[: self.used]
+            self.all = more
+        self.all[self.used : need] = rows
+        self.used = need
+
+    def clear(self) -> None:
+        self.all, self.used = None, 0
+
+
+def raw_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+
+
 class WordTable:
-    """Rows derived from distinct words, remembered up to ``cap`` words per worker."""
+    """Rows derived from the letters of distinct words, remembered up to ``cap`` words per worker."""
 
-    def __init__(self, derive: Callable[[list[str]], np.ndarray], cap: int = 250_000):
-        self.derive, self.cap = derive, cap
-        self.keys = np.zeros(0, np.uint64)
-        self.rows: np.ndarray | None = None
+    def __init__(self, derive: Callable[[list[str]], np.ndarray], cap: int = 150_000):
+        self.derive, self.known, self.rows = derive, Known(cap), Rows()
 
     def index(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, place of each token's row)."""
-        own, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(own) > self.cap:
-            self.keys, self.rows = np.zeros(0, np.uint64), None
-        at = np.searchsorted(self.keys, own)
-        new = np.ones(len(own), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != own[inside]
-        if new.any():
-            raw = data.tobytes()
-            words = [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            rows = self.derive(letters_only(words))
-            keys = np.concatenate([self.keys, own[new]])
-            order = np.argsort(keys, kind="stable")
-            self.rows = (rows if self.rows is None else np.concatenate([self.rows, rows]))[order]
-            self.keys = keys[order]
-            at = np.searchsorted(self.keys, own)
-        return self.rows, at[inverse]
+        at = self.known.numbers(
+            word_hashes(data, starts, ends), lambda new: self.rows.add(self.derive(letters_only(raw_words(data, starts[new], ends[new])))), self.rows.clear
+        )
+        return self.rows.all, at

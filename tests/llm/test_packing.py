@@ -64,3 +64,29 @@ def test_first_fit_decreasing_against_plain_search():
             assert (bins[i], offsets[i]) == (b, 100 - room[b])
             room[b] -= sizes[i]
         assert used == len(room)
+
+
+def test_random_strings_equal_the_tokenizers():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "É", "ß", "İ", "Σ", "ς", " ", "\n", "\t", "\x1c", "\x85", " ", " ", "﻿", "​", "'s", "'LL", "1", "９", "!", "<|endoftext|>"]
+    parts += ["<|ENDOFTEXT|>", "<|startoftext|>", "<", "|", "́", "ﬁ", "中", "😀", ".", ",", "_", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    own, t = packing.WordIds(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
+    want = [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
+    ids, counts = own.texts(pa.array(texts), 2)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    own.known.cap = 500  # words are forgotten and learned again
+    for a in range(0, 5000, 500):
+        ids, counts = own.texts(pa.array(texts[a : a + 500]), 2)
+        assert ids.tolist() == [i for x in want[a : a + 500] for i in x]
+
+
+def test_little_padding_on_the_given_table(spark):
+    out = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer_file()).toPandas()
+    fill = out.groupby("sequence_id").length.sum()
+    assert fill.sum() / (4096 * len(fill)) > 0.97
