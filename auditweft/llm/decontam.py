@@ -12,10 +12,15 @@
    common subsequence of words confirms copies; looser ones (paraphrases) also need the item's
    answer, its last words, to be there. Cosines are taken only where the words around a passage can
    hold a subsequence that long: of an item's rarest words a certain number must be there.
+4. Longer items are searched for in segments that fit a passage; an item's segments are joined where
+   they follow one another along the text, and their words count together.
 """
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
+from itertools import groupby
 from math import ceil
 
 import numpy as np
@@ -23,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted, slices
+from .common import held, persisted, slices
 from .textnum import raw_bytes, word_bounds
 from .words import WordTable, letters_only
 
 PASSAGE, STRIDE = 48, 24
+#: Most words of an item's segment.
+SEGMENT = 64
 #: Items searched for in one pass over the texts.
 ITEMS = 2000
-_TABLES: dict[int, tuple[object, WordTable]] = {}
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -46,27 +52,60 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _word_ids(vocab: dict[str, int], texts: pa.Array):
+def segments(items: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """(number of the item, words) of the items' equal segments, in order."""
+    out = []
+    for k, (_, words) in enumerate(items):
+        n = ceil(len(words) / SEGMENT)
+        out += [(k, words[len(words) * j // n : len(words) * (j + 1) // n]) for j in range(n)]
+    return out
+
+
+def longest_chain(hits: list[tuple[int, int, int]]) -> int:
+    """Most words of hits (segment, place, words) of rising segments at places that don't fall."""
+    places: list[int] = []
+    best: list[int] = []  # rises with the place
+    for _, group in groupby(sorted(hits), key=lambda h: h[0]):
+        made = []
+        for _, place, words in group:
+            k = bisect_right(places, place)
+            made.append((place, words + (best[k - 1] if k else 0)))
+        for place, total in made:
+            k = bisect_right(places, place)
+            if k and best[k - 1] >= total:
+                continue
+            if k and places[k - 1] == place:
+                k -= 1
+                best[k] = total
+            else:
+                places.insert(k, place)
+                best.insert(k, total)
+            while k + 1 < len(best) and best[k + 1] <= total:
+                del places[k + 1], best[k + 1]
+    return best[-1] if best else 0
+
+
+def _word_ids(table: WordTable, texts: pa.Array):
     """Per slice: first row, rows, word ids (-1: not in the vocabulary, -2: no letter dropped) per row order."""
-    if _TABLES.get(0, (None,))[0] is not vocab:
-        _TABLES[0] = (vocab, WordTable(lambda words: np.array([[vocab.get(w, -1) if w else -2] for w in words], np.int32)))
-    for a, b in slices(texts):
+    for a, b in slices(texts, 1 << 20):
         data, bounds = raw_bytes(texts.slice(a, b - a))
         starts, ends, rows = word_bounds(data, bounds)
         if not len(starts):
             continue
-        table, at = _TABLES[0][1].index(data, starts, ends)
-        ids = table[at, 0]
+        known, at = table.index(data, starts, ends)
+        ids = known[at, 0]
         keep = ids > -2
         yield a, b - a, rows[keep], ids[keep]
 
 
 def _encode(vocab: dict[str, int], kind: type):
     """Documents (text, doc_id) to doc_id and the word ids of the text."""
+    name = f"words {uuid.uuid4().hex}"
 
     def run(batches):
+        table = held(name, lambda: WordTable(lambda words: np.array([[vocab.get(w, -1) if w else -2] for w in words], np.int32), 500_000))
         for batch in batches:
-            for a, n_rows, rows, ids in _word_ids(vocab, batch.column(0)):
+            for a, n_rows, rows, ids in _word_ids(table, batch.column(0)):
                 ends = np.cumsum(np.bincount(rows, minlength=n_rows)) * np.dtype(kind).itemsize
                 buffers = [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n_rows), pa.Array.from_buffers(pa.binary(), n_rows, buffers)], names=["doc_id", "ids"])
@@ -276,9 +315,11 @@ def find(
 
     Words are lower-case letter runs parted by white space. An item is found in a document if, within
     a candidate passage and a stride around it, its longest common subsequence holds ``copied`` of
-    its words, or ``loose`` of them and ``answer_share`` of its last ``answer_words`` words. Null and
-    empty texts and items match nothing; repeated rows give one row; rows with null ids are left out,
-    other columns are ignored. Items are searched for in chunks of a fixed size.
+    its words, or ``loose`` of them and ``answer_share`` of its last ``answer_words`` words. Of an item
+    of over 64 words each of its equal segments is searched for in this way; those of which ``loose``
+    is there count, in order along the text, for the item's share. Null and empty texts and items match
+    nothing; repeated rows give one row; rows with null ids are left out, other columns are ignored.
+    Items are searched for in chunks of a fixed size.
     """
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     every = _items(bench, item_col, item_text_col)
@@ -326,24 +367,30 @@ def rare_words(seqs: list[list[int]], df: np.ndarray, least: float) -> tuple[np.
 
 def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_words, answer_share):
     use = idf > 0
-    p, w, x = item_matrix(items, vocab, idf)
-    half, basis = item_space(p, w, x, len(items), basis)
+    parts = segments(items)
+    p, w, x = item_matrix(parts, vocab, idf)
+    half, basis = item_space(p, w, x, len(parts), basis)
     first, order, item_of = _postings(p, w, len(vocab))
     weight_of = x[order]
-    seqs = [[vocab[t] for t in words] for _, words in items]
+    seqs = [[vocab[t] for t in words] for _, words in parts]
+    answers = [[vocab[t] for t in words[-answer_words:]] for _, words in items]
+    last_of = {k: j for j, (k, _) in enumerate(parts)}  # an item's last segment
     owner, words, hold = rare_words(seqs, df, min(copied, loose))
     rare_first, _, rare_item = _postings(owner, words, len(vocab))
     rare = np.diff(rare_first) > 0
-    names = [i for i, _ in items]
 
-    def confirm(ids: np.ndarray, k: int) -> float:
-        seq = seqs[k]
-        near = ids.tolist()
-        share = lcs_length(seq, near) / len(seq)
-        if share >= copied:
-            return share
-        answer = seq[-answer_words:]
-        return share if share >= loose and lcs_length(answer, near) >= answer_share * len(answer) else 0.0
+    def confirm(ids: np.ndarray, j: int) -> tuple[int, bool]:
+        """Words of the segment that are there in order (0 if too few), and whether the item's answer is."""
+        near, k = ids.tolist(), parts[j][0]
+        common = lcs_length(seqs[j], near)
+        if common < min(copied, loose) * len(seqs[j]):
+            return 0, False
+        return common, last_of[k] == j and lcs_length(answers[k], near) >= answer_share * len(answers[k])
+
+    def share_of(k: int, hits: list[tuple[int, int, int, bool]]) -> float:
+        """Share of the item's words in its segments' hits (segment, place, words, answered); 0 if not found."""
+        share = longest_chain([h[:3] for h in hits]) / len(items[k][1])
+        return share if share >= copied or share >= loose and any(h[3] for h in hits) else 0.0
 
     def possible(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item) where the words from ``begin`` to ``end`` hold enough of the item's rare words."""
@@ -359,15 +406,15 @@ def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_
         lo, hi = np.searchsorted(end, b, side="right"), np.searchsorted(begin, a, side="right")
         n = np.maximum(hi - lo, 0)
         passage = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs = np.unique(passage * np.int64(len(names)) + np.repeat(item[near], n))
-        return pairs // len(names), pairs % len(names)
+        pairs = np.unique(passage * np.int64(len(parts)) + np.repeat(item[near], n))
+        return pairs // len(parts), pairs % len(parts)
 
     def cosines(terms, own: np.ndarray) -> np.ndarray:
         """Latent cosines of the passages ``own`` with all items (0 without a used word)."""
         p, w, x = _weights(terms, idf)
         p = np.searchsorted(own, p)
         at, posting = _expand(w.astype(np.int64), first)
-        dots = np.bincount(p[at] * len(names) + item_of[posting], x[at] * weight_of[posting], len(own) * len(names)).reshape(len(own), -1)
+        dots = np.bincount(p[at] * len(parts) + item_of[posting], x[at] * weight_of[posting], len(own) * len(parts)).reshape(len(own), -1)
         rest = np.zeros((len(own), basis.shape[1]))
         if len(p):
             some, rows = _times(p, w, x, basis)
@@ -380,6 +427,8 @@ def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_
             found: list[tuple] = []
             docs = batch.column(1)
             for a, n_rows, rows, ids in _stored(batch.column(0), kind):
+                hits: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = {}
+                nearest: dict[tuple[int, int], float] = {}
                 row, begin, size = _passages(rows, n_rows)
                 counts = np.bincount(rows, minlength=n_rows)
                 stop = np.cumsum(counts)
@@ -391,9 +440,16 @@ def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_
                     own = np.unique(qs)
                     scores = cosines(_subset(ids, begin[own], size[own], own, use), own)[np.searchsorted(own, qs), ks]
                     for i in np.flatnonzero(scores >= cosine):
-                        share = confirm(ids[start[qs[i]] : end[qs[i]]], ks[i])
-                        if share:
-                            found.append((docs[int(a + row[qs[i]])].as_py(), names[ks[i]], float(min(1.0, scores[i])), share))
+                        j = int(ks[i])
+                        common, answered = confirm(ids[start[qs[i]] : end[qs[i]]], j)
+                        if common:
+                            key = int(row[qs[i]]), parts[j][0]
+                            hits.setdefault(key, []).append((j, int(start[qs[i]]), common, answered))
+                            nearest[key] = max(nearest.get(key, 0.0), float(min(1.0, scores[i])))
+                for (r, k), own in hits.items():
+                    share = share_of(k, own)
+                    if share:
+                        found.append((docs[a + r].as_py(), items[k][0], nearest[r, k], share))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs"]
             )

@@ -139,3 +139,40 @@ def test_copies_without_the_rarest_words(spark):
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()} == planted
+
+
+def test_chains_equal_enumeration():
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(300):
+        hits = [(rng.randint(0, 3), rng.randint(0, 5), rng.randint(1, 9)) for _ in range(rng.randint(0, 8))]
+        best = 0
+        for n in range(len(hits) + 1):
+            for some in combinations(sorted(hits), n):
+                if all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(some, some[1:])):
+                    best = max(best, sum(h[2] for h in some))
+        assert decontam.longest_chain(hits) == best
+
+
+def test_items_longer_than_a_passage(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    sizes = [60, 64, 65, 90, 97, 130, 150, 250, 500, 900]
+    items = {i: [rng.choice(words) for _ in range(n)] for i, n in enumerate(sizes)}
+    texts, wanted = {}, set()
+    fill = lambda: [rng.choice(words) for _ in range(rng.randint(20, 90))]
+    for i, x in items.items():
+        changed = [rng.choice(words) if j % 6 == 2 else w for j, w in enumerate(x)]
+        for j, part in enumerate((x, changed, x[: len(x) // 2], x[len(x) // 2 :] + fill() + x[: len(x) // 2])):
+            texts[100 * i + j] = fill() + part + fill()
+            if j < 2:
+                wanted.add((100 * i + j, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.lcs for r in decontam.find(docs, bench).collect()}
+    assert wanted <= set(found)
+    # halves don't pass as the whole, nor halves in the wrong order of items that a window can't hold
+    assert not [d for d, _ in found if d % 100 == 2]
+    assert not [(d, i) for d, i in found if d % 100 == 3 and sizes[i] > 130 and found[d, i] >= 0.7]
+    assert all(0.5 <= v <= 1 for v in found.values())
