@@ -3,19 +3,21 @@
 All overlapping windows of a text are scored (32 words, every 16). The network is trained in numpy
 on windows of labelled documents, by multiple-instance learning: a toxic document vouches for its
 highest windows only, a clean one for all. A logistic layer over the highest, the mean and the
-number of windows is calibrated on labelled documents left out of that training.
+number of windows is calibrated on whole texts of labelled documents left out of that training.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
-from .gru import BUCKETS, Network, inputs_of, sigmoid
+from .common import held, persisted, slices
+from .gru import BUCKETS, HID, Network, inputs_of, sigmoid
 from .textnum import raw_bytes, word_bounds
 from .words import WordTable, letters_only
 
@@ -39,8 +41,29 @@ def _places(begin: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.n
 
 
 class Scorer:
-    def __init__(self, net: Network, layer: np.ndarray, rate: float):
-        self.net, self.layer, self.rate = net, layer, rate
+    def __init__(self, net: Network, layer: np.ndarray):
+        self.net, self.layer = net, layer
+        self.name = f"toxicity {uuid.uuid4().hex}"  # the same in every task, unlike the object
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        return np.column_stack([self.net.word_rows(words), np.array([w != "" for w in words], np.float32)])
+
+    def texts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(features of each whole text from all its windows, whether it has a letter)."""
+        out, lettered = np.empty((len(col), 4)), np.zeros(len(col), bool)
+        table = held(self.name, lambda: WordTable(self._rows))
+        for a, b in slices(col, 1 << 19):
+            data, bounds = raw_bytes(col.slice(a, b - a))
+            starts, ends, rows = word_bounds(data, bounds)
+            known, word = table.index(data, starts, ends) if len(starts) else (np.zeros((1, 6 * HID + 1), np.float32), np.zeros(0, np.int64))
+            lettered[a + rows[known[word, -1] > 0]] = True
+            owner, begin, size = windows(np.bincount(rows, minlength=b - a))
+            logit = np.empty(len(owner))
+            for lo in range(0, len(owner), 2048):
+                at, mask = _places(begin[lo : lo + 2048], size[lo : lo + 2048], word)
+                logit[lo : lo + 2048] = self.net.logits(known[:, :-1], at, mask)
+            out[a:b] = self.documents(logit, owner, b - a)
+        return out, lettered
 
     def documents(self, logit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Features of each text: highest and mean window probability logit, number of windows."""
@@ -60,9 +83,8 @@ def _fit_layer(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 60, rid
     return b
 
 
-def fit(texts: list[str], y: np.ndarray, clean_weight: float = 1.0, epochs: int = 5, batch: int = 256, seed: int = 5) -> Scorer:
-    """Train on texts of words parted by blanks (_: no letters). One in five is left out of the network's
-    training for calibration, where each clean text stands for ``clean_weight`` of its kind."""
+def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 256, seed: int = 5) -> Network:
+    """Train on whole texts of words parted by blanks (_: no letters)."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {"": 0}
     parts = [np.array([vocab.setdefault(w if w != "_" else "", len(vocab)) for w in t.split()], np.int64) for t in texts]
@@ -70,18 +92,15 @@ def fit(texts: list[str], y: np.ndarray, clean_weight: float = 1.0, epochs: int
     words = list(vocab)
     owner, begin, size = windows(counts)
     at, mask = _places(begin, size, flat)
-    held = rng.random(len(texts)) < 0.2
-    if len(set(y[held])) < 2:
-        held[:] = False
     net = Network(seed)
-    _seed_embeddings(net, words, flat, np.repeat(np.arange(len(texts)), counts), y, ~held)
+    _seed_embeddings(net, words, flat, np.repeat(np.arange(len(texts)), counts), y)
     for epoch in range(epochs):
         rows = net.word_rows(words)
         logit = np.concatenate([net.logits(rows, at[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(at), 4096)])
         order = np.lexsort((-logit, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order], side="left")
-        pos = order[(rank < 2) & (y[owner[order]] == 1) & ~held[owner[order]]]
-        neg = order[((rank < 2) | (rng.random(len(order)) < 0.05)) & (y[owner[order]] == 0) & ~held[owner[order]]]
+        pos = order[(rank < 2) & (y[owner[order]] == 1)]
+        neg = order[((rank < 2) | (rng.random(len(order)) < 0.05)) & (y[owner[order]] == 0)]
         pick = rng.permutation(np.concatenate([pos, neg]))
         heavy = min(8.0, max(1.0, len(neg) / max(1, len(pos))))
         for part in np.array_split(pick, max(1, len(pick) // batch)):
@@ -91,25 +110,19 @@ def fit(texts: list[str], y: np.ndarray, clean_weight: float = 1.0, epochs: int
             target = y[owner[part]].astype(net.p["w"].dtype)
             _, grad = net.gradients([words[i] for i in used], local.reshape(at[part].shape), mask[part], target, np.where(target == 1, heavy, 1.0).astype(net.p["w"].dtype))
             net.step(grad, 0.05 if epoch < 3 else 0.02)
-    rows = net.word_rows(words)
-    logit = np.concatenate([net.logits(rows, at[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(at), 4096)])
-    out = Scorer(net, np.zeros(4), float(y.mean()))
-    x = out.documents(logit, owner, len(texts))
-    on = held if held.any() else np.ones(len(texts), bool)
-    out.layer = _fit_layer(x[on], y[on].astype(float), np.where(y[on] == 0, clean_weight, 1.0))
-    return out
+    net.seen.clear()  # not needed any more; it would travel to every task
+    return net
 
 
-def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.ndarray, y: np.ndarray, use: np.ndarray) -> None:
+def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> None:
     """Starts the first input dimension at the shrunken log-odds of each bucket over training texts."""
-    toxic = max(1, int((y[use] == 1).sum()))
-    clean = max(1, int((y[use] == 0).sum()))
+    toxic = max(1, int((y == 1).sum()))
+    clean = max(1, int((y == 0).sum()))
     seen = np.zeros((2, 3, BUCKETS), np.int64)
-    for a in range(0, len(use), 128):  # some texts at a time: their n-grams fit in memory
+    for a in range(0, len(y), 128):  # some texts at a time: their n-grams fit in memory
         lo, hi = np.searchsorted(doc, [a, a + 128])
         pair = np.unique(doc[lo:hi] * np.int64(len(words)) + flat[lo:hi])
         own, word = pair // len(words), pair % len(words)
-        own, word = own[use[own]], word[use[own]]
         if not len(word):
             continue
         used, local = np.unique(word, return_inverse=True)
@@ -129,11 +142,15 @@ def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.n
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 1500, windows_per_doc: int = 40
+    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 1500, train_words: int = 640
 ) -> Scorer | None:
-    """Fit on at most about ``docs_per_label`` labelled documents per label, chosen by a hash of the
-    id among the rows where ``rows`` holds, and on ``windows_per_doc`` windows' worth of words of each
-    (of longer ones, evenly spread runs of words). None if a label is missing."""
+    """Fit on about ``docs_per_label`` labelled documents per label, at most three times as many in all,
+    chosen by a hash of the id among the rows where ``rows`` holds. None if a label is missing.
+
+    One in five is left out of the network's training: its whole text, of whatever length, calibrates
+    the layer, where each clean text stands for its share of all clean ones. Of the others those of
+    up to ``train_words`` words teach the network, with all their windows.
+    """
     lab = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     own = docs.filter(rows).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
     chosen = lab.withColumn("_h", F.xxhash64("_id", F.lit(23)))
@@ -143,52 +160,52 @@ def train(
     rate = {k: min(1, 1.5 * docs_per_label / v) for k, v in counts.items()}
     share = F.when(F.col("_y") == 1, F.lit(int(1e6 * rate[1]))).otherwise(F.lit(int(1e6 * rate[0])))
     chosen = chosen.filter(F.pmod("_h", F.lit(1_000_000)) <= share).orderBy("_h").limit(3 * docs_per_label)  # so many rows at any size
-    most = windows_per_doc * STRIDE
+    out = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(5)) == 0
+    sample = persisted(own.join(F.broadcast(chosen), "_id").select("_y", "_h", out.alias("_out"), "t"), "labelled")
 
-    def run(batches):
+    def short(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                words = letters_only([w.encode() for w in text.split()])
-                if len(words) > most:
-                    step = len(words) // (most // 96)
-                    words = [w for a in range(0, len(words) - 96, step) for w in words[a : a + 96]][:most]
-                out.append(" ".join(w or "_" for w in words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["y", "h", "words"])
-
-    sample = own.join(F.broadcast(chosen), "_id").select("_y", "_h", "t").mapInArrow(run, "y int, h long, words string")
-    got = sample.orderBy("h", "y").limit(3 * docs_per_label).collect()
+            words = [letters_only([w.encode() for w in t.split()]) for t in batch.column(2).to_pylist()]
+            keep = pa.array([i for i, w in enumerate(words) if 0 < len(w) <= train_words], pa.int64())
+            text = [" ".join(w or "_" for w in words[i]) for i in keep.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(text, pa.string())], names=["y", "h", "words"])
+
+    got = sample.filter("not _out").select("_y", "_h", "t").mapInArrow(short, "y int, h long, words string").orderBy("h", "y").limit(3 * docs_per_label).collect()
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fit([r["words"] for r in got], y, rate[1] / rate[0])
+    model = Scorer(fit([r["words"] for r in got], y), np.zeros(4))
 
+    def measure(batches):
+        for batch in batches:
+            x, lettered = model.texts(batch.column(1))
+            keep = pa.array(np.flatnonzero(lettered))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), *(pa.array(c[lettered]) for c in x.T)], names=["y", "a", "b", "c", "d"])
 
-_TABLES: dict[int, tuple[object, WordTable]] = {}
+    seen = sample.filter("_out").select("_y", "t").mapInArrow(measure, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c").limit(3 * docs_per_label).toPandas()
+    if seen["y"].nunique() < 2:  # too few texts to leave any out
+        seen = sample.select("_y", "t").mapInArrow(measure, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c").limit(3 * docs_per_label).toPandas()
+    y = seen["y"].to_numpy(float)
+    model.layer = _fit_layer(seen[["a", "b", "c", "d"]].to_numpy(), y, np.where(y == 0, rate[1] / rate[0], 1.0))
+    return model
 
 
 def scored(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each row's whole text appended; all rows and columns are kept."""
+    """``docs`` with the score of each row's whole text appended; all rows and columns are kept.
+
+    A text that is null or has no letter scores 0, and so does every text without a model.
+    """
     own = docs.withColumn(text_col, F.col(text_col).cast("string"))
     fields = [f for f in own.schema.fields if f.name != out_col]
     own = own.select(*(f"`{f.name}`" for f in fields))
     place = [f.name for f in fields].index(text_col)
 
     def run(batches):
-        if model is not None and _TABLES.get(0, (None,))[0] is not model:
-            _TABLES[0] = (model, WordTable(model.net.word_rows, cap=150_000))
         for batch in batches:
-            out, text = np.zeros(batch.num_rows), batch.column(place)
-            for a, b in slices(text, 1 << 19) if model is not None else ():
-                data, bounds = raw_bytes(text.slice(a, b - a))
-                starts, ends, rows = word_bounds(data, bounds)
-                table, word = _TABLES[0][1].index(data, starts, ends) if len(starts) else (np.zeros((1, 48), np.float32), np.zeros(0, np.int64))
-                owner, begin, size = windows(np.bincount(rows, minlength=b - a))
-                logit = np.empty(len(owner))
-                for lo in range(0, len(owner), 2048):
-                    at, mask = _places(begin[lo : lo + 2048], size[lo : lo + 2048], word)
-                    logit[lo : lo + 2048] = model.net.logits(table, at, mask)
-                out[a:b] = sigmoid(model.documents(logit, owner, b - a) @ model.layer)
+            out = np.zeros(batch.num_rows)
+            if model is not None:
+                x, lettered = model.texts(batch.column(place))
+                out = np.where(lettered, sigmoid(x @ model.layer), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, out_col])
 
     return own.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.DoubleType())]))
@@ -197,9 +214,9 @@ def scored(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_co
 def score(docs: DataFrame, model: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id and score (0 to 1, higher: likelier toxic), over all overlapping windows.
 
-    Words are what white space parts, reduced to lower-case letters. Null and empty texts have one
-    window without words. Null ids and repeated rows are scored like others; other columns are
-    ignored. Without a model (a label was missing) the score is 0.
+    Words are what white space parts, reduced to lower-case letters. A text that is null, empty or
+    without a letter scores 0. Null ids and repeated rows are scored like others; other columns are
+    ignored; an empty table gives an empty result. Without a model (a label was missing) the score is 0.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return scored(own, model).select("doc_id", "score")
