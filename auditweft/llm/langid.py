@@ -7,12 +7,14 @@ of words; a text's language is the one with the most expected words.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 from .textnum import raw_bytes, word_bounds
 from .words import WordTable, letters_only, ngram_buckets
 
@@ -66,37 +68,52 @@ class Crf:
         ids, first = _grams(words)
         return np.add.reduceat(self.w[ids], first, axis=0)
 
-    def fit(self, chains: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.15, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> "Crf":
+    def fit(self, chains: list[list[tuple[str, list[str]]]], epochs: int = 6, rate: float = 0.15, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> "Crf":
+        """Chains are runs of words, each with its label; a chain of more runs switches between labels."""
         rng = np.random.default_rng(seed)
         gw, gt = np.full(self.w.shape, 1e-2, np.float32), np.full(self.t.shape, 1e-2)
         label = {x: i for i, x in enumerate(self.labels)}
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // batch)):
-                words = [w for i in part for w in chains[i][1]]
-                lens = np.array([len(chains[i][1]) for i in part])
-                y = np.array([label[chains[i][0]] for i in part])
+                words = [w for i in part for _, run in chains[i] for w in run]
+                lens = np.array([sum(len(run) for _, run in chains[i]) for i in part])
                 ids, first = _grams(words)
                 mask = np.arange(lens.max())[None] < lens[:, None]
+                y = np.zeros(mask.shape, np.int64)
+                y[mask] = [label[x] for i in part for x, run in chains[i] for _ in run]
                 unary = np.zeros((*mask.shape, len(self.labels)), np.float32)
                 unary[mask] = np.add.reduceat(self.w[ids], first, axis=0)
                 gamma, pairs, _ = forward_backward(unary, mask, self.t)
                 diff = -gamma
-                diff[np.arange(len(part)), :, y] += mask
+                np.put_along_axis(diff, y[:, :, None], np.take_along_axis(diff, y[:, :, None], 2) + mask[:, :, None], 2)
                 per_gram = np.repeat(diff[mask], np.diff(np.append(first, len(ids))), axis=0) / len(part)
                 grad = np.stack([np.bincount(ids, per_gram[:, k], BUCKETS) for k in range(len(self.labels))], 1).astype(np.float32) - decay * self.w
                 gw += grad**2
                 self.w += rate * grad / np.sqrt(gw)
                 seen = np.zeros_like(self.t)
-                np.add.at(seen, (y, y), lens - 1)
+                np.add.at(seen, (y[:, :-1][mask[:, 1:]], y[:, 1:][mask[:, 1:]]), 1)
                 gradt = (seen - pairs) / len(part) - decay * self.t
                 gt += gradt**2
                 self.t += (rate * gradt / np.sqrt(gt)).astype(np.float32)
         return self
 
 
+def spliced(runs: list[tuple[str, list[str]]], share: float = 0.3, seed: int = 3) -> list[list[tuple[str, list[str]]]]:
+    """Chains of one run, and for ``share`` of them chains of the starts and ends of two runs of different labels."""
+    rng = np.random.default_rng(seed)
+    out = [[r] for r in runs]
+    for i in np.flatnonzero(rng.random(len(runs)) < share):
+        other = runs[int(rng.integers(len(runs)))]
+        if other[0] != runs[i][0] and min(len(other[1]), len(runs[i][1])) > 2:
+            a, b = (int(rng.integers(1, len(r[1]))) for r in (runs[i], other))
+            out.append([(runs[i][0], runs[i][1][:a]), (other[0], other[1][b:])])
+    return out
+
+
 def train(docs: DataFrame, rows: Column, id_col: str, text_col: str, lang_col: str, docs_per_label: int = 1500, chains_per_doc: int = 3, words_per_chain: int = 32) -> Crf | None:
     """Fit on at most about ``docs_per_label`` labelled documents per language, chosen by a hash of
-    the id among the rows where ``rows`` holds, and ``chains_per_doc`` runs of words from each."""
+    the id among the rows where ``rows`` holds, and ``chains_per_doc`` runs of words from each; runs of
+    different languages are spliced as well, so that switches are learned."""
     own = docs.filter(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["y"]: r["count"] for r in own.groupBy(F.col(lang_col).cast("string").alias("y")).count().collect()}
     if not counts:
@@ -120,10 +137,17 @@ def train(docs: DataFrame, rows: Column, id_col: str, text_col: str, lang_col: s
     rows_ = chains.orderBy("h", "y").limit(int(1.5 * docs_per_label * chains_per_doc * len(counts))).collect()
     if not rows_:
         return None
-    return Crf(sorted({r["y"] for r in rows_})).fit([(r["y"], r["words"]) for r in rows_])
+    return Crf(sorted({r["y"] for r in rows_})).fit(spliced([(r["y"], r["words"]) for r in rows_ if r["words"]]))
 
 
-_TABLES: dict[int, tuple[object, WordTable]] = {}
+def word_labels(model: Crf, text: str) -> list[tuple[str, str]]:
+    """(word, likeliest label) of a text's words with a letter, by forward-backward over the whole text."""
+    words = [w for w in letters_only([w.encode() for w in text.split()]) if w]
+    if not words:
+        return []
+    unary = model.unary(words)[None].astype(np.float32)
+    gamma, _, _ = forward_backward(unary, np.ones((1, len(words)), bool), model.t)
+    return [(w, model.labels[k]) for w, k in zip(words, gamma[0].argmax(1))]
 
 
 def _label_batch(model: Crf, table: WordTable, col: pa.Array):
@@ -163,14 +187,16 @@ def identify(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_c
     """
     model = model or train(docs, train_rows, id_col, text_col, lang_col, **fit)
     labels = model.labels if model else []
+    name = f"language {uuid.uuid4().hex}"
+
+    def derive(words: list[str]) -> np.ndarray:
+        return np.column_stack([model.unary(words), [float(w != "") for w in words]]).astype(np.float32)
 
     def run(batches):
-        if model is not None and _TABLES.get(0, (None,))[0] is not model:
-            _TABLES[0] = (model, WordTable(lambda words: np.column_stack([model.unary(words), [float(w != "") for w in words]]).astype(np.float32)))
         for batch in batches:
             mass = np.zeros((batch.num_rows, max(1, len(labels))))
             if model is not None:
-                for a, part in _label_batch(model, _TABLES[0][1], batch.column(1)):
+                for a, part in _label_batch(model, held(name, lambda: WordTable(derive)), batch.column(1)):
                     mass[a : a + len(part)] = part
             total = mass.sum(1)
             share = mass / np.maximum(total, 1e-9)[:, None]

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 from auditweft.llm import langid
+from auditweft.llm.words import letters_only
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +36,18 @@ def test_held_out_accuracy_and_switched_text(spark):
     model = langid.train(docs, ~held, "doc_id", "text", "lang")
     out = langid.identify(docs.filter(held), ~held, model=model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (out.lang_pred == out.lang).mean() >= 0.95
+    # words of switched text: runs of held-out documents of two languages, turn by turn
+    parts = {x: [w for r in docs.filter(held & (F.col("lang") == x) & F.col("text").isNotNull()).orderBy("doc_id").limit(30).collect() for w in letters_only([v.encode() for v in r.text.split()]) if w] for x in model.labels}
+    rng, right, total = np.random.default_rng(1), 0, 0
+    for k in range(200):
+        a, b = rng.choice(model.labels, 2, replace=False)
+        mixed = [(w, x) for x in (a, b, a, b) for at in [int(rng.integers(0, len(parts[x]) - 20))] for w in parts[x][at : at + int(rng.integers(8, 20))]]
+        got = langid.word_labels(model, " ".join(w for w, _ in mixed))
+        right, total = right + sum(g[1] == x for g, (_, x) in zip(got, mixed)), total + len(mixed)
+    print("word accuracy on switched text", right / total, "transitions", model.t.round(2).tolist())
+    assert right / total > 0.9
+    off = model.t[~np.eye(len(model.labels), dtype=bool)]
+    assert off.max() < np.diag(model.t).min() and np.abs(off - off.mean()).max() < 10
     rows = docs.filter("n_chars > 900").orderBy("doc_id").collect()
     de, fr = (next(r.text for r in rows if r.lang == x)[:600] for x in ("de", "fr"))
     odd = spark.createDataFrame([(1, de + "\n" + fr, 9.0), (2, None, 1.0), (3, "", 1.0), (4, "123 !! 4", 1.0), (None, de, 0.0), (1, de + "\n" + fr, 9.0)], "doc_id long, text string, score double")
