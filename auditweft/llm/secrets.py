@@ -1,8 +1,10 @@
 """Secret scan with base patterns and character Markov models, in DataFrame functions only.
 
 Two first-order models give the likelihood of a run of token characters: one counted from random
-strings (values that the base patterns found), one from ordinary identifiers. The mean
-log-likelihood ratio per character decides. Counting, scoring and locating are SQL functions.
+strings (values that the base patterns found, and their digests in base 64), one from ordinary
+identifiers (the texts' other words, alone and with numbers, dates and paths). The mean log-likelihood
+ratio per character decides, above a threshold taken from strings left out of the counts. Counting,
+scoring and locating are SQL functions.
 """
 
 from __future__ import annotations
@@ -80,13 +82,29 @@ def llr(token: Column, table: list[float]) -> Column:
     return total / F.length(token)
 
 
+def identifiers(word: Column) -> Column:
+    """Ordinary identifiers made of a word: alone, with a number, a date, a path, a version, in camel case."""
+    h = F.xxhash64(word, F.lit(5))
+    n = lambda k, least=0: (F.pmod(F.shiftright(h, 7 * least), F.lit(k)) + least).cast("string")
+    two = lambda k, shift: F.lpad((F.pmod(F.shiftright(h, shift), F.lit(k)) + 1).cast("string"), 2, "0")
+    day = F.concat_ws("-", F.concat(F.lit("20"), two(40, 3)), two(12, 9), two(28, 15))
+    low, half = F.lower(word), F.ceil(F.length(word) / 2).cast("int")
+    camel = F.concat(low.substr(F.lit(1), half), F.initcap(low.substr(half + 1, F.length(word))), n(1000))
+    return F.array(
+        word, F.concat(low, n(100)), F.concat(low, F.lit("_"), n(10000, 1)), F.concat(low, F.lit("-"), day), F.concat(F.lit("img_"), F.regexp_replace(day, "-", ""), F.lit("_"), low),
+        F.concat(low, F.lit("/v"), n(10), F.lit("/"), F.reverse(low)), F.concat(F.upper(low), F.lit("_"), n(100, 2)), camel, F.concat(day, F.lit("_"), low, F.lit("-final"), n(10)),
+    )
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, least: int = 8) -> tuple[list[float], float]:
     """Log-ratio table and decision threshold from labelled samples.
 
-    Labels come from the texts: values of base spans are random strings, runs of ``least`` or more
-    token characters outside base spans, without digits, are ordinary identifiers. About
-    ``sample_rows`` documents are used, chosen by a hash of their id over the whole table. Only
-    transition counts (at most 2 x 66 x 66 rows) reach the driver.
+    Labels come from the texts: values of base spans, and their digests in base 64, are random strings;
+    runs of ``least`` or more token characters outside base spans and without digits are words of which
+    ordinary identifiers are made, with and without digits. About ``sample_rows`` documents are used,
+    chosen by a hash of their id over the whole table. A quarter of the strings isn't counted: the
+    threshold lies above all but one in a thousand of its ordinary ones and, where that leaves room,
+    halfway to its random ones. Only transition counts (at most 2 x 66 x 66 rows) reach the driver.
     """
     n = docs.count()
     share = min(1.0, sample_rows / max(1, n))
@@ -94,12 +112,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spans = base_spans(text)
     values = F.concat(*(F.transform(s, lambda x: x["v"]) for s in spans.values()))
+    digests = F.transform(values, lambda v: F.base64(F.unhex(F.sha2(v, 256))))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit(RUN % least), F.lit(0))), lambda x: ~x.rlike("[0-9]"))
-    labelled = picked.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), values.alias("r")), F.struct(F.lit(0).alias("y"), plain.alias("r")))).alias("l"))
-    runs = labelled.select("l.y", F.explode("l.r").alias("run")).withColumn("run", F.regexp_replace("run", r"[^A-Za-z0-9+/_=-]", ""))
+    plain = F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit(RUN % least), F.lit(0))), lambda x: ~x.rlike("[0-9]") & (F.length(x) <= 60))
+    made = F.flatten(F.transform(plain, identifiers))
+    labelled = picked.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), F.concat(values, digests).alias("r")), F.struct(F.lit(0).alias("y"), made.alias("r")))).alias("l"))
+    runs = labelled.select("l.y", F.explode("l.r").alias("run")).withColumn("run", F.regexp_replace("run", r"[^A-Za-z0-9+/_-]", "")).filter(F.length("run").between(1, 200))
+    held = F.pmod(F.xxhash64("run", F.lit(7)), F.lit(4)) == 0
     pairs = F.transform(F.split("run", ""), lambda c, i: F.concat(F.substring(F.concat(F.lit("^"), F.col("run")), i + 1, F.lit(1)), c))
-    counts = runs.filter(F.length("run").between(1, 200)).select("y", F.explode(pairs).alias("pair")).groupBy("y", "pair").count().collect()
+    counts = runs.filter(~held).select("y", F.explode(pairs).alias("pair")).groupBy("y", "pair").count().collect()
 
     seen = {0: [0.5] * (_N * _N), 1: [0.5] * (_N * _N)}
     at = {c: i + 1 for i, c in enumerate(ALPHABET)} | {"^": 0}
@@ -111,7 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         total = {y: sum(seen[y][i * _N : (i + 1) * _N]) for y in seen}
         for j in range(i * _N, (i + 1) * _N):
             table[j] = math.log(seen[1][j] / total[1]) - math.log(seen[0][j] / total[0])
-    scored = runs.filter(F.length("run").between(least, 200)).select("y", llr(F.col("run"), table).alias("r"))
+    scored = runs.filter(held & (F.length("run") >= least)).select("y", llr(F.col("run"), table).alias("r"))
     cut = scored.groupBy("y").agg(F.percentile_approx("r", F.array(F.lit(0.02), F.lit(0.999)), 1000).alias("q")).collect()
     at_y = {r["y"]: r["q"] for r in cut}
     high = at_y[0][1] if 0 in at_y else 0.0
