@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import persisted, slices
 from .textnum import mix, raw_bytes, shingle_sets, word_bounds, word_hashes
 
-#: Most ids sent to every executor at once (8 bytes each); above it the join is a shuffle.
+#: Most rows of ids and fingerprints sent to every executor at once (40 bytes each); above it the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -46,6 +46,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64)))
 
 
+def _marks(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Sizes and two fingerprints of sets."""
+    one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    two = np.array([mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return [pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(one), pa.array(two)]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """Per document: set size, two set fingerprints, and its multi-match prefix in fingerprint order."""
 
@@ -54,26 +61,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
             ids = batch.column(0)
             for a, sets in _sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                two = np.array([mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 keep = n - (n * num + den - 1) // den + 1 + n // 20
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(sets)), pa.array(n), pa.array(one), pa.array(two), _lists([s[:c] for s, c in zip(sets, keep)])],
-                    names=["id", "n", "sig_a", "sig_b", "prefix"],
-                )
+                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), *_marks(sets), _lists([s[:c] for s, c in zip(sets, keep)])], names=["id", "n", "sig_a", "sig_b", "prefix"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "id long, n long, sig_a long, sig_b long, prefix array<long>"
     )
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """Set size, the two set fingerprints and the whole set of every text."""
+
     def run(batches):
         for batch in batches:
-            for a, sets in _sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), _lists(sets)], names=["id", "toks"])
+            for _, sets in _sets(batch.column(0), k):
+                yield pa.RecordBatch.from_arrays([*_marks(sets), _lists(sets)], names=["n", "sig_a", "sig_b", "toks"])
 
-    return docs.mapInArrow(run, "id long, toks array<long>")
+    return texts.mapInArrow(run, "n long, sig_a long, sig_b long, toks array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = persisted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     before = None
-    for _ in range(60):
+    while True:  # ends when a round changes nothing
         stamp = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == before or stamp[0] == 0:
             break
@@ -115,25 +119,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``links`` counts the verified links of the row's class that the join had to look at; inside a
     component that was already joined further links aren't counted. Null and empty texts have no
     shingles, link with nothing and are their own component. Repeated rows each get a row; rows that
-    share an id count as one document. A null id keeps its row, with the least id of its equals.
-    Other columns of ``docs`` are ignored.
+    share an id but not a text are compared by their own texts. A null id keeps its row, with the least
+    id of those it is linked with. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
+    mark = ["sig_a", "sig_b", "n"]
     sig = persisted(signatures(docs, id_col, text_col, k, num, den), "sig")
-    classes = persisted(
-        sig.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")).filter("rep is not null"), "classes"
-    )
-    members = sig.select("id", "n", "sig_a", "sig_b")
-
-    posts = classes.select("rep", "n", F.explode("prefix").alias("tok"))
+    classes = persisted(sig.filter("n > 0").groupBy(*mark).agg(F.min("id").alias("rid"), F.first("prefix").alias("prefix")), "classes")
+    members = sig.select("id", *mark)
+    # a class goes by its least id; where that is null or names another class too, by a fingerprint
+    clash = persisted(classes.groupBy("rid").agg(F.count("*").alias("c"), F.min(F.struct(*mark)).alias("owner")).filter("c > 1 or rid is null").drop("c"), "clashes")
+    clashes = clash.count()
+    if clashes:
+        own = F.col("rid").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.struct(*mark)))
+        few = F.broadcast(clash) if clashes <= BROADCAST_IDS else clash
+        named = classes.join(few.withColumnRenamed("rid", "_rid"), F.col("rid").eqNullSafe(F.col("_rid")), "left").withColumn("rep", F.when(own, F.col("rid")).otherwise(F.xxhash64(*mark)))
+        classes = persisted(named.drop("owner", "_rid"), "classes")
+    else:
+        classes = classes.withColumn("rep", F.col("rid"))
+
+    posts = classes.select("rep", "rid", *mark, F.explode("prefix").alias("tok"))
     shared = posts.groupBy("tok").count().filter("count > 1").select("tok")
     alive = persisted(
-        posts.join(shared, "tok").groupBy("rep", "n").count().filter(F.col("count") >= 1 + F.floor(F.col("n") / 20)).select("rep"), "alive"
+        posts.join(shared, "tok").groupBy("rep", "rid", *mark).count().filter(F.col("count") >= 1 + F.floor(F.col("n") / 20)).drop("count"), "alive"
     )
     n_alive = alive.count()
     ids = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
-    picked = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ids, "rep", "left_semi")
-    sets = persisted(_full_sets(picked.select("rep", "text"), k).dropDuplicates(["id"]), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(ids.select("rid"), F.col("_id").eqNullSafe(F.col("rid")), "left_semi").select("text")
+    sets = persisted(_full_sets(texts, k).dropDuplicates(mark).join(ids.select(*mark, F.col("rep").alias("id")), mark).select("id", "toks"), "sets")
 
     all_toks = sets.select("id", F.size("toks").cast("long").alias("n"), F.explode("toks").alias("tok"))
     df = all_toks.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
@@ -199,13 +213,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = _labelled(sets, edges)
     counts = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     linked = comp.filter("comp != id")
-    reps = persisted(classes.select("sig_a", "sig_b", "n", "rep").join(linked, F.col("rep") == F.col("id"), "left").drop("id").join(counts, F.col("rep") == F.col("id"), "left").drop("id"), "reps")
+    if clashes:  # the least real id of a component
+        real = classes.select("rep", "rid").join(comp, F.col("rep") == F.col("id")).groupBy("comp").agg(F.min("rid").alias("least"))
+        linked = comp.join(real, "comp").select("id", F.col("least").alias("comp"))
+    reps = persisted(classes.select(*mark, "rep", "rid").join(linked, F.col("rep") == F.col("id"), "left").drop("id").join(counts, F.col("rep") == F.col("id"), "left").drop("id"), "reps")
     return (
-        members.join(reps, ["sig_a", "sig_b", "n"], "left")
+        members.join(reps, mark, "left")
         .select(
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
-            F.coalesce("comp", "rep", "id").alias("component_id"),
+            F.coalesce("comp", "rid", "id").alias("component_id"),
             F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         )
     )

@@ -69,3 +69,21 @@ def test_odd_rows_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_and_null_ids_follow_their_own_texts(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (20, near(a)), (21, near(b)), (None, " ".join(c)), (30, near(c)), (None, " ".join(d)), (None, near(d)), (40, "some other words that stand alone")]
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, set()).add(r.component_id)
+    assert by == {7: {7}, 20: {7}, 21: {7}, None: {30, None}, 30: {30}, 40: {40}}
+    # two texts of one id are different components, though they have the same name
+    alone = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, near(b))]
+    out = jaccard_components(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (5, 1), (5, 5), (9, 5)]
