@@ -46,8 +46,11 @@ class Network:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """Input projections of both directions per word, one row of 6 * HID."""
-        if len(words) > 16_384:  # bounds the n-grams held at once
-            return np.concatenate([self.word_rows(words[a : a + 16_384]) for a in range(0, len(words), 16_384)])
+        if len(words) > 8192:  # bounds the n-grams held at once
+            out = np.empty((len(words), 6 * HID), self.p["win"].dtype)
+            for a in range(0, len(words), 8192):
+                out[a : a + 8192] = self.word_rows(words[a : a + 8192])
+            return out
         x = np.concatenate([_sums(self.p["emb"][k], *io) for k, io in enumerate(inputs_of(words))], 1)
         return np.concatenate([x @ self.p["win"][d] + self.p["bin"][d] for d in range(2)], 1)
 

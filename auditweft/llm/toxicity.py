@@ -91,12 +91,12 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 256, seed
     flat, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
     words = list(vocab)
     owner, begin, size = windows(counts)
-    at, mask = _places(begin, size, flat)
+    at, mask = _places(begin, size, flat.astype(np.int32))
     net = Network(seed)
     _seed_embeddings(net, words, flat, np.repeat(np.arange(len(texts)), counts), y)
     for epoch in range(epochs):
         rows = net.word_rows(words)
-        logit = np.concatenate([net.logits(rows, at[a : a + 4096], mask[a : a + 4096]) for a in range(0, len(at), 4096)])
+        logit = np.concatenate([net.logits(rows, at[a : a + 1024], mask[a : a + 1024]) for a in range(0, len(at), 1024)])
         order = np.lexsort((-logit, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order], side="left")
         pos = order[(rank < 2) & (y[owner[order]] == 1)]
@@ -119,12 +119,12 @@ def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.n
     toxic = max(1, int((y == 1).sum()))
     clean = max(1, int((y == 0).sum()))
     seen = np.zeros((2, 3, BUCKETS), np.int64)
-    for a in range(0, len(y), 128):  # some texts at a time: their n-grams fit in memory
-        lo, hi = np.searchsorted(doc, [a, a + 128])
+    ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc))
+    lo = 0
+    while lo < len(doc):  # some texts at a time: their n-grams fit in memory
+        hi = int(max(ends[min(np.searchsorted(ends, lo + 16_384), len(ends) - 1)], lo + 1))
         pair = np.unique(doc[lo:hi] * np.int64(len(words)) + flat[lo:hi])
         own, word = pair // len(words), pair % len(words)
-        if not len(word):
-            continue
         used, local = np.unique(word, return_inverse=True)
         for k, (ids, first) in enumerate(inputs_of([words[w] for w in used])):
             n = np.diff(np.append(first, len(ids)))
@@ -135,6 +135,7 @@ def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.n
             lab, b = y[both // BUCKETS], both % BUCKETS
             for label in (0, 1):
                 seen[label, k] += np.bincount(b[lab == label], minlength=BUCKETS)
+        lo = hi
     for k in range(3):
         c, t = seen[:, k]
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
@@ -142,7 +143,7 @@ def _seed_embeddings(net: Network, words: list[str], flat: np.ndarray, doc: np.n
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 1500, train_words: int = 640
+    docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_label: int = 1500, train_words: int = 2560
 ) -> Scorer | None:
     """Fit on about ``docs_per_label`` labelled documents per label, at most three times as many in all,
     chosen by a hash of the id among the rows where ``rows`` holds. None if a label is missing.
@@ -182,11 +183,15 @@ def train(
             keep = pa.array(np.flatnonzero(lettered))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), *(pa.array(c[lettered]) for c in x.T)], names=["y", "a", "b", "c", "d"])
 
-    seen = sample.filter("_out").select("_y", "t").mapInArrow(measure, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c").limit(3 * docs_per_label).toPandas()
-    if seen["y"].nunique() < 2:  # too few texts to leave any out
-        seen = sample.select("_y", "t").mapInArrow(measure, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c").limit(3 * docs_per_label).toPandas()
-    y = seen["y"].to_numpy(float)
-    model.layer = _fit_layer(seen[["a", "b", "c", "d"]].to_numpy(), y, np.where(y == 0, rate[1] / rate[0], 1.0))
+    def measured(rows: DataFrame) -> np.ndarray:
+        found = rows.select("_y", "t").mapInArrow(measure, "y int, a double, b double, c double, d double")
+        return np.array([tuple(r) for r in found.orderBy("y", "a", "b", "c").limit(3 * docs_per_label).collect()], float).reshape(-1, 5)
+
+    seen = measured(sample.filter("_out"))
+    if len(set(seen[:, 0])) < 2:  # too few texts to leave any out
+        seen = measured(sample)
+    y = seen[:, 0]
+    model.layer = _fit_layer(seen[:, 1:], y, np.where(y == 0, rate[1] / rate[0], 1.0))
     return model
 
 
@@ -197,7 +202,7 @@ def scored(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_co
     """
     own = docs.withColumn(text_col, F.col(text_col).cast("string"))
     fields = [f for f in own.schema.fields if f.name != out_col]
-    own = own.select(*(f"`{f.name}`" for f in fields))
+    own = own.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)))  # whatever the names
     place = [f.name for f in fields].index(text_col)
 
     def run(batches):
@@ -206,7 +211,7 @@ def scored(docs: DataFrame, model: Scorer | None, text_col: str = "text", out_co
             if model is not None:
                 x, lettered = model.texts(batch.column(place))
                 out = np.where(lettered, sigmoid(x @ model.layer), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*(f.name for f in fields), out_col])
 
     return own.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.DoubleType())]))
 

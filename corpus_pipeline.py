@@ -1,7 +1,10 @@
 """Five stages that turn raw documents into packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
-return the columns of documents.
+return the columns of documents, also further ones whatever their names. Null and empty texts, and texts
+without a letter, pass every stage. Rows with a null id pass as well; repeated rows are judged one by one,
+but where a document goes for its copies or for what it holds, all rows of its id go. An empty table
+passes as an empty table.
 """
 
 from __future__ import annotations
@@ -18,29 +21,34 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or more by the network go; the network learns from labelled rows of two of three folds."""
+    """Documents scored 0.7 or more by the network go; the network learns from labelled rows of two of three folds.
+
+    Without labels of both kinds nothing goes.
+    """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~fold(3, 1))
-    return toxicity.scored(docs, model, out_col="_score").filter("_score < 0.7").drop("_score")
+    return toxicity.scored(docs, model, out_col="_toxicity").filter("_toxicity < 0.7").drop("_toxicity")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines leave the texts (their first place keeps them); every document stays."""
     out = linededup.drop_recurring_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked at a similarity of 0.8 over five-word shingles, the least doc_id stays."""
     found = ngram_join.jaccard_components(docs, k=5, num=80, den=100)
     gone = persisted(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, copied or paraphrased, go."""
     found = decontam.find(docs, read(spark, sf_dir, "benchmark"))
     gone = persisted(found.select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
