@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import classify_transition, is_blank, is_provisional, path_key, path_score, promote_object_type
+from ..functions.text import classify_transition, is_blank, is_provisional, path_key, promote_object_type
+from .hydrate import cut
 
 NOISE = ["changed", "modified", "created", "created_or_appended"]
 MARKERS = ["renamed_old", "renamed_new"]
@@ -21,27 +23,37 @@ def is_usn() -> Column:
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds _row, a repeatable row key: feed, volume, number and time."""
-    return df if "_row" in df.columns else df.withColumn(
-        "_row", F.xxhash64(F.lower("cursor_type"), F.lower(F.coalesce("volume", F.lit(""))), "usn", "record_id", "timestamp_utc", "path", "action")
-    )
+    """Adds _row, a repeatable key of the whole row's origin; exact repetitions of a row become one."""
+    if "_row" in df.columns:
+        return df
+    parts = [F.lower("cursor_type"), F.lower("server"), F.lower("share"), F.lower("volume"), F.col("usn"), F.col("record_id"), F.col("timestamp_utc"), F.col("path"), F.col("action")]
+    return df.withColumn("_row", F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in parts)))).dropDuplicates(["_row"])
+
+
+def _keys(path: str, name: str) -> list[Column]:
+    """A path's key and its leaf's, null for a blank path."""
+    key = F.when(~is_blank(F.col(path)), path_key(F.col(path)))
+    return [key.alias(name), F.substring_index(key, "\\", -1).alias(f"{name}_leaf")]
 
 
 def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10) -> DataFrame:
     """(_row, _sec, score, distance) of all compatible pairs: same server, near in time, related paths.
 
-    A range join by time slots: security rows go to three slots, journal rows to one. The better of
-    the scores over path and previous path counts.
+    A range join by time slots: security rows go to three slots, journal rows to one. Paths are cleaned
+    once a row, before the join. The better of the scores over path and previous path counts: 100 equal,
+    60 same leaf, 30 one holds the other.
     """
     width = max(1, window_s) * _S
     known = ~is_blank(F.col("path")) & ~is_blank(F.col("user")) & (F.upper("user") != "UNKNOWN")
+    slot = F.floor(F.unix_micros("timestamp_utc") / width)
     s = security.filter(known).select(
-        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), F.col("path").alias("_spath"), F.col("previous_path").alias("_sprev"), F.unix_micros("timestamp_utc").alias("_sus"),
-        F.explode(F.sequence(F.floor(F.unix_micros("timestamp_utc") / width) - 1, F.floor(F.unix_micros("timestamp_utc") / width) + 1)).alias("_slot"),
+        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), *_keys("path", "_sp"), *_keys("previous_path", "_sq"), F.unix_micros("timestamp_utc").alias("_sus"),
+        F.explode(F.sequence(slot - 1, slot + 1)).alias("_slot"),
     )
-    u = usn.select("_row", F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_us"), F.floor(F.unix_micros("timestamp_utc") / width).alias("_slot"))
+    u = usn.select("_row", F.lower("server").alias("_server"), *_keys("path", "_up"), *_keys("previous_path", "_uq"), F.unix_micros("timestamp_utc").alias("_us"), slot.alias("_slot"))
     distance = F.abs(F.col("_us") - F.col("_sus"))
-    score = F.greatest(*(path_score(F.col(a), F.col(b)) for a in ("path", "previous_path") for b in ("_spath", "_sprev")))
+    both = [(F.col(a), F.col(b), F.col(f"{a}_leaf"), F.col(f"{b}_leaf")) for a in ("_up", "_uq") for b in ("_sp", "_sq")]
+    score = F.greatest(*(F.when(x == y, 100).when(m == n, 60).when(x.contains(y) | y.contains(x), 30).otherwise(0) for x, y, m, n in both))
     near = u.join(s, ["_server", "_slot"]).filter(distance <= window_s * _S)
     return near.select("_row", "_sec", score.alias("score"), distance.alias("distance")).filter("score > 0")
 
@@ -85,105 +97,133 @@ def suppress_matched_security(usn: DataFrame, security: DataFrame, window_s: int
     return security.join(gone, "record_id", "left_anti").select(*security.columns)
 
 
-def _pair(window_us: int, limit: int = 5000):
-    """Greedy pairing of one file's journal rows in order; rows far apart in time are separate runs."""
+FILE = ["_server", "_share", "_volume", "_file"]
+
+
+def _named(usn: DataFrame) -> DataFrame:
+    """Markers and noise of the journal with the keys that pairing needs."""
+    keys = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(k) for c, k in zip(("server", "share", "volume", "file_reference_id"), FILE)]
+    return usn.filter(F.lower("action").isin(NOISE + MARKERS)).select(
+        "_row", F.lower("action").alias("action"), F.coalesce("usn", F.lit(1 << 62)).alias("usn"), F.unix_micros("timestamp_utc").alias("us"), path_key(F.col("path")).alias("key"), *keys
+    )
+
+
+def _marker_pairs(own: DataFrame) -> DataFrame:
+    """(_row of the new row, _old, how, at) of rename markers; ``at`` is the journal number at which the pair is made.
+
+    Rows are taken in journal order. An old name takes the next new name of its file, else the last one
+    before it, even if that has a partner; a new name that nothing has taken takes the last old name
+    before it, else the next one. All partners are the last or next markers of a kind, so that sorted
+    windows find them. Without a file id, an old name takes a new name that comes right behind it.
+    """
+    order = ["usn", "us", "_row"]
+    marks = own.filter(F.col("action").isin(MARKERS) & (F.col("_file") != ""))
+    ahead = Window.partitionBy(*FILE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*FILE).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    old, new = F.col("action") == "renamed_old", F.col("action") == "renamed_new"
+    found = lambda kind, w: F.last(F.when(kind, F.struct(*order, "taken")), ignorenulls=True).over(w)
+    # an old name that a new name before it has taken: the file's first one, behind a new name
+    first = F.last(F.when(old, F.lit(1)), ignorenulls=True).over(ahead).isNull()
+    marks = marks.withColumn("taken", old & first & F.last(F.when(new, F.lit(1)), ignorenulls=True).over(ahead).isNotNull())
+    marks = marks.withColumn("old_before", found(old, ahead)).withColumn("new_before", found(new, ahead)).withColumn("old_next", found(old, behind)).withColumn("new_next", found(new, behind))
+    at = lambda c: F.struct(*(F.col(f"{c}.{x}") for x in order))
+    by_old = F.col("old_before").isNotNull() & ~F.col("old_before.taken") & (F.col("new_before").isNull() | (at("new_before") < at("old_before")))
+    olds = marks.filter(old & ~F.col("taken")).select(F.coalesce("new_next._row", "new_before._row").alias("_row"), F.col("_row").alias("_old"), "usn")
+    news = marks.filter(new & ~by_old).select("_row", F.coalesce("old_before._row", "old_next._row").alias("_old"), "usn")
+    bare = own.filter("_file = ''").withColumns({c: F.lead(x).over(Window.partitionBy(*FILE[:3]).orderBy(*order)) for c, x in (("_next", "action"), ("_new", "_row"))})
+    bare = bare.filter("action = 'renamed_old' and _next = 'renamed_new'").select(F.col("_new").alias("_row"), F.col("_row").alias("_old"), "usn")
+    both = olds.union(news).filter("_row is not null and _old is not null").union(bare)
+    return both.select("_row", "_old", F.lit("pair").alias("how"), F.col("usn").alias("at"))
+
+
+def _consumed(noise: DataFrame, own: DataFrame, found: DataFrame, window_s: int) -> DataFrame:
+    """(_row, gone) of noise of the same file or at either path of a transition, near its new row in time.
+
+    ``gone`` is the journal number from which on the noise is gone; noise up to it has been seen before.
+    """
+    width = max(1, window_s) * _S
+    ends = found.select("_row", "_old", "at").join(own, "_row").join(own.select(F.col("_row").alias("_old"), F.col("key").alias("_oldkey"), F.col("_file").alias("_oldfile")), "_old")
+    ends = ends.select(*(F.col(c).alias(f"{c}_") for c in FILE[:3]), F.when(F.col("_file") != "", F.col("_file")).otherwise(F.col("_oldfile")).alias("_id"), "key", "_oldkey", F.col("us").alias("_t"), "at")
+    zones = ends.withColumn("slot_", F.explode(F.sequence(F.floor(F.col("_t") / width) - 1, F.floor(F.col("_t") / width) + 1)))
+    rows = noise.select("_row", "us", *FILE, "key", F.floor(F.col("us") / width).alias("slot"))
+    same = (F.col("slot") == F.col("slot_")) & (F.abs(F.col("us") - F.col("_t")) <= window_s * _S)
+    for c in FILE[:3]:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    by_file = rows.filter("_file <> ''").join(zones, same & (F.col("_file") == F.col("_id")))
+    by_path = rows.join(zones.withColumn("_at_path", F.explode(F.array_distinct(F.array("key", "_oldkey")))).drop("key"), same & (F.col("key") == F.col("_at_path")))
+    return by_file.select("_row", "at").union(by_path.select("_row", "at")).groupBy("_row").agg(F.min("at").alias("gone"))
+
+
+def _infer(window_us: int):
+    """Greedy pass in journal order over one file's noise rows under changing paths."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["usn", "us"], kind="stable")
-        out = []
-        rows = pdf.to_dict("records")
-        used = [False] * len(rows)
+        rows = pdf.sort_values(["usn", "us", "_row"], kind="stable").to_dict("records")
+        by_time = sorted(range(len(rows)), key=lambda i: (rows[i]["us"], rows[i]["usn"]))
+        times = [rows[i]["us"] for i in by_time]
+        used, out = [False] * len(rows), []
         for i, r in enumerate(rows):
-            if used[i]:
+            if used[i] or r["usn"] > r["gone"]:
+                continue
+            near = by_time[bisect_left(times, r["us"] - window_us) : bisect_right(times, r["us"] + window_us)]
+            j = next((j for j in near if j != i and not used[j] and rows[j]["gone"] >= r["usn"] and rows[j]["key"] != r["key"]), None)
+            if j is None:
                 continue
-            if r["action"] in MARKERS:
-                other = MARKERS[1 - MARKERS.index(r["action"])]
-                picks = [(j < i, abs(rows[j]["usn"] - r["usn"]), abs(rows[j]["us"] - r["us"]), j) for j in range(max(0, i - limit), min(len(rows), i + limit)) if not used[j] and rows[j]["action"] == other]
-                if picks:
-                    j = min(picks)[-1]
-                    old, new = (r, rows[j]) if r["action"] == "renamed_old" else (rows[j], r)
-                    used[i] = used[j] = True
-                    out.append((new["_row"], old["_row"], "pair"))
-            elif r["action"] in NOISE:
-                lo, hi = i, i
-                while lo > 0 and i - lo < limit:
-                    lo -= 1
-                while hi + 1 < len(rows) and hi - i < limit:
-                    hi += 1
-                picks = [
-                    (rows[j]["us"], rows[j]["usn"], j)
-                    for j in range(lo, hi + 1)
-                    if j != i and not used[j] and rows[j]["action"] in NOISE and rows[j]["key"] != r["key"] and abs(rows[j]["us"] - r["us"]) <= window_us
-                ]
-                if picks:
-                    j = min(picks)[-1]
-                    old, new = sorted((r, rows[j]), key=lambda x: (x["us"], x["usn"]))
-                    used[i] = used[j] = True
-                    out.append((new["_row"], old["_row"], "inferred"))
-        return pd.DataFrame(out, columns=["_row", "_old", "how"])
+            old, new = sorted((r, rows[j]), key=lambda x: (x["us"], x["usn"]))
+            for k in by_time[bisect_left(times, new["us"] - window_us) : bisect_right(times, new["us"] + window_us)]:
+                used[k] = used[k] or k != i
+            used[j] = True
+            out.append((new["_row"], old["_row"], "inferred", r["usn"]))
+        return pd.DataFrame(out, columns=["_row", "_old", "how", "at"])
 
     return run
 
 
 def transitions(usn: DataFrame, window_s: int = 10) -> DataFrame:
-    """(_row of the new row, _old, how) of paired markers and inferred renames.
+    """(_row of the new row, _old, how, at) of paired markers and renames inferred from noise.
 
-    Rows with a file id pair within (server, share, volume, file), split where they lie far apart in
-    time, so that a busy file isn't one group. Markers without a file id pair with a neighbour.
+    ``at`` is the journal number at which the transition is made: noise that it explains goes from there
+    on, also before it can be taken for a rename itself. Only noise rows with another path of their file
+    within the window go to Python, a file's rows in parts where they lie further apart than the window.
+    Noise at a path that another file's inferred rename explains is dropped after the inference.
     """
-    us = F.unix_micros("timestamp_utc")
-    keys = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_{c}") for c in ("server", "share", "volume", "file_reference_id")]
-    own = usn.filter(F.lower("action").isin(NOISE + MARKERS)).select(
-        "_row", F.lower("action").alias("action"), F.coalesce("usn", F.lit((1 << 62))).alias("usn"), us.alias("us"), path_key(F.col("path")).alias("key"), *keys
+    own = cut(_named(usn))
+    pairs = cut(_marker_pairs(own))
+    noise = own.filter(F.col("action").isin(NOISE))
+    w, back = Window.partitionBy(*FILE).orderBy("us", "usn", "_row"), Window.partitionBy(*FILE).orderBy(F.desc("us"), F.desc("usn"), F.desc("_row"))
+    named = noise.filter("_file <> ''").withColumn("_change", F.when(F.lag("key").over(w) != F.col("key"), F.lag("us").over(w))).withColumn(
+        "_changes", F.when(F.lag("key").over(back) != F.col("key"), F.lag("us").over(back))
     )
-    named = own.filter("_file_reference_id <> ''")
-    cols = ["_server", "_share", "_volume", "_file_reference_id"]
-    w = Window.partitionBy(*cols).orderBy("us", "usn")
-    marked = F.max(F.when(F.col("action").isin(MARKERS), 1).otherwise(0)).over(Window.partitionBy(*cols))
-    runs = named.withColumn("_markers", marked).withColumn("_gap", ((F.col("us") - F.lag("us").over(w)) > window_s * _S).cast("int"))
-    # markers pair whatever the distance, so a file that has any stays one group
-    runs = runs.withColumn("_run", F.when(F.col("_markers") == 1, 0).otherwise(F.coalesce(F.sum("_gap").over(w), F.lit(0))))
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_old", T.LongType()), T.StructField("how", T.StringType())])
-    by_file = runs.select("_row", "action", "usn", "us", "key", *cols, "_run").groupBy(*cols, "_run").applyInPandas(_pair(window_s * _S), schema)
-    bare = own.filter("_file_reference_id = ''")
-    order = Window.partitionBy("_server", "_share", "_volume").orderBy("usn", "us")
-    near = bare.withColumn("_a", F.lead("action").over(order)).withColumn("_r", F.lead("_row").over(order)).withColumn("_before", F.lag("action").over(order))
-    bare_pairs = near.filter("action = 'renamed_old' and _a = 'renamed_new'").select(F.col("_r").alias("_row"), F.col("_row").alias("_old"), F.lit("pair").alias("how"))
-    return by_file.union(bare_pairs)
+    gap = lambda c, over: F.abs(F.col("us") - F.last(c, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))) <= window_s * _S
+    mixed = named.withColumn("_a", gap("_change", w)).withColumn("_b", gap("_changes", back)).filter("_a or _b").drop("_change", "_changes", "_a", "_b")
+    mixed = mixed.withColumn("_part", F.sum(F.coalesce((F.col("us") - F.lag("us").over(w) > window_s * _S).cast("int"), F.lit(0))).over(w))
+    mixed = mixed.join(_consumed(noise, own, pairs, window_s), "_row", "left").withColumn("gone", F.coalesce("gone", F.lit((1 << 62) + 1)))
+    inferred = mixed.select("_row", "usn", "us", "key", "gone", *FILE, "_part").groupBy(*FILE, "_part").applyInPandas(_infer(window_s * _S), "_row string, _old string, how string, at long")
+    return pairs.union(inferred)
+
+
+def drop_rename_noise(usn: DataFrame, found: DataFrame, window_s: int = 10) -> DataFrame:
+    """Journal rows without the noise that transitions explain (nor the transitions' ends)."""
+    own = _named(usn)
+    noise = own.filter(F.col("action").isin(NOISE))
+    gone = noise.join(_consumed(noise, own, found, window_s), "_row").filter("usn > gone").select("_row")
+    ends = found.select("_row").union(found.select(F.col("_old").alias("_row")))
+    return usn.join(gone.union(ends).distinct(), "_row", "left_anti").select(*usn.columns)
 
 
 def apply_transitions(usn: DataFrame, found: DataFrame, window_s: int = 10) -> DataFrame:
-    """Journal rows with transitions in place of their ends, related noise dropped, lone markers as renames."""
-    old = usn.select(F.col("_row").alias("_old"), F.col("path").alias("_opath"), F.col("object_type").alias("_otype"), F.col("usn").alias("_ousn"))
-    done = found.join(old, "_old")
-    ends = usn.join(done, "_row").select(
-        F.lower("server").alias("_s"), F.lower("share").alias("_h"), F.lower(F.coalesce("volume", F.lit(""))).alias("_v"),
-        F.lower("file_reference_id").alias("_f"), path_key(F.col("path")).alias("_p"), path_key(F.col("_opath")).alias("_q"),
-        F.unix_micros("timestamp_utc").alias("_t"), F.least("usn", "_ousn").alias("_first"), F.col("_row").alias("_n"), "_old",
-    )
-    width = max(1, window_s) * _S
-    slots = lambda c: F.explode(F.sequence(F.floor(c / width) - 1, F.floor(c / width) + 1))
-    ends = ends.withColumn("_slot", slots(F.col("_t")))
-    rest = usn.join(found.select("_row").union(found.select(F.col("_old").alias("_row"))), "_row", "left_anti")
-    us = F.unix_micros("timestamp_utc")
-    rest = rest.withColumn("_slot", F.floor(us / width))
-    same = (
-        (F.lower("server") == F.col("_s")) & (F.lower("share") == F.col("_h")) & (F.lower(F.coalesce("volume", F.lit(""))) == F.col("_v"))
-        & (F.abs(us - F.col("_t")) <= window_s * _S) & (F.col("usn") > F.col("_first")) & F.lower("action").isin(NOISE)
-    )
-    by_file = ends.select("_s", "_h", "_v", F.col("_f"), "_t", "_first", F.col("_slot").alias("_eslot"))
-    rest = rest.join(by_file, (F.col("_slot") == F.col("_eslot")) & (F.lower("file_reference_id") == F.col("_f")) & same, "left_anti")
-    by_path = ends.select("_s", "_h", "_v", F.explode(F.array("_p", "_q")).alias("_path"), "_t", "_first", F.col("_slot").alias("_eslot"))
-    rest = rest.join(by_path, (F.col("_slot") == F.col("_eslot")) & (path_key(F.col("path")) == F.col("_path")) & same, "left_anti").drop("_slot")
+    """Journal rows with transitions in place of their ends, explained noise dropped, lone markers as renames."""
+    found = cut(found)
+    old = usn.select(F.col("_row").alias("_old"), F.col("path").alias("_opath"), F.col("object_type").alias("_otype"))
+    made = usn.join(found.select("_row", "_old").join(old, "_old"), "_row")
     lone = F.lower("action").isin(MARKERS)
-    rest = rest.withColumn("action", F.when(lone, "renamed").otherwise(F.col("action")))
-    made = usn.join(done, "_row")
+    rest = drop_rename_noise(usn, found, window_s).withColumn("action", F.when(lone, "renamed").otherwise(F.col("action")))
     new = {
         "previous_path": F.col("_opath"),
         "action": classify_transition(F.col("_opath"), F.col("path")),
         "object_type": promote_object_type(F.col("_otype"), F.col("object_type")),
     }
-    return made.select(*(new.get(c, F.col(c)).alias(c) for c in usn.columns)).unionByName(rest.select(*usn.columns))
+    return made.select(*(new.get(c, F.col(c)).alias(c) for c in usn.columns)).unionByName(rest)
 
 
 def finalize_actions(df: DataFrame) -> DataFrame:
@@ -195,10 +235,12 @@ def finalize_actions(df: DataFrame) -> DataFrame:
 
 def correlate(collected: DataFrame, window_s: int = 10, drop_security: bool = False) -> DataFrame:
     """The whole pass over both feeds: pairing, noise, correlation, echoes, final actions."""
-    own = with_row(collected)
+    own = cut(with_row(collected))
     usn, security = own.filter(is_usn()), own.filter(~is_usn())
-    usn = apply_transitions(usn, transitions(usn, window_s), window_s)
-    pairs = match_pairs(usn, security, window_s)
+    usn = cut(apply_transitions(usn, transitions(usn, window_s), window_s))
+    # a journal row may stand in two transitions, so its new row needs a key with the old path in it
+    usn = usn.withColumn("_row", F.md5(F.concat_ws("\x1f", "_row", F.coalesce("previous_path", F.lit("")))))
+    pairs = cut(match_pairs(usn, security, window_s))
     out = correlate_feeds(usn, security, window_s, pairs)
     if not drop_security:
         out = out.unionByName(suppress_matched_security(usn, security, window_s, pairs))

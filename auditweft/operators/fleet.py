@@ -35,13 +35,13 @@ def agent_health(df: DataFrame, as_of: str, stale_min: int = 10, backlog: int =
     )
 
 
-def agent_config(paths: DataFrame) -> DataFrame:
-    """Per server: distinct volumes, default share, and the active paths, in (server, share, path) order."""
+def agent_config(paths: DataFrame, no_share: str = "default") -> DataFrame:
+    """Per server: distinct volumes, default share (``no_share`` if no path has one), and the active paths, in (server, share, path) order."""
     own = paths.filter(F.lower("status") == "active").withColumn("volume", windows_volume(F.col("path")))
     share = F.when(~is_blank(F.col("share")), F.struct(F.col("share").alias("share"), "path"))
     return own.groupBy("server").agg(
         F.array_sort(F.collect_set("volume")).alias("volumes"),
-        F.coalesce(F.min(share)["share"], F.lit("FileServer")).alias("default_share"),
+        F.coalesce(F.min(share)["share"], F.lit(no_share)).alias("default_share"),
         F.transform(F.array_sort(F.collect_list(F.struct("share", "path"))), lambda x: x["path"]).alias("paths"),
     )
 

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import classify_transition, derive_extension, is_blank, parent_path
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode without a setting."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names (a temporary one only where none is set)."""
+    """Checkpoint in the shared folder: lineage ends at files that outlive an executor."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -26,9 +40,9 @@ def _known(rows: DataFrame, key: str, name: str) -> DataFrame:
     """
     cols = ["server", "volume"]
     define = rows.filter("file_id is not null").select(
-        *cols, F.col("file_id").alias("_id"), "usn", F.lit(1).alias("_kind"), F.struct(F.when(F.col("action") != "deleted", F.col("_row")).alias("r")).alias("_def"), F.lit(None).cast("long").alias("_ask")
+        *cols, F.col("file_id").alias("_id"), "usn", F.lit(1).alias("_kind"), F.struct(F.when(F.col("action") != "deleted", F.col("_row")).alias("r")).alias("_def"), F.lit(None).cast("string").alias("_ask")
     )
-    ask = rows.filter(F.col(key).isNotNull()).select(*cols, F.col(key).alias("_id"), "usn", F.lit(0).alias("_kind"), F.lit(None).cast("struct<r:bigint>").alias("_def"), F.col("_row").alias("_ask"))
+    ask = rows.filter(F.col(key).isNotNull()).select(*cols, F.col(key).alias("_id"), "usn", F.lit(0).alias("_kind"), F.lit(None).cast("struct<r:string>").alias("_def"), F.col("_row").alias("_ask"))
     w = Window.partitionBy(*cols, "_id").orderBy("usn", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     seen = define.union(ask).withColumn("_last", F.last("_def", ignorenulls=True).over(w)).filter("_ask is not null")
     return rows.join(seen.select(F.col("_ask").alias("_row"), F.col("_last.r").alias(name)), "_row", "left")
@@ -41,7 +55,7 @@ def hydrate_usn_paths(usn: DataFrame, base_path: str) -> DataFrame:
     base path. Deletions and old names take the known path of their own id. Chains of folders are
     resolved in rounds that double the resolved depth, never by walking a volume in one task.
     """
-    rows = usn.withColumn("_row", F.xxhash64("server", "volume", "usn"))
+    rows = usn.withColumn("_row", F.md5(F.concat_ws("\x1f", F.lower("server"), F.lower(F.coalesce("volume", F.lit(""))), F.col("usn").cast("string"))))
     rows = _known(_known(rows, "parent_file_id", "_up"), "file_id", "_own")
     olds = Window.partitionBy("server", "volume", "file_id").orderBy("usn").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_oldrow", F.last(F.when(F.col("action") == "renamed_old", F.col("_row")), ignorenulls=True).over(olds))
