@@ -112,13 +112,16 @@ def detect_alerts(events: DataFrame, rules: DataFrame, window_min: int = 5, dedu
 
     Every event of (server, user) is an evaluation point. A firing is kept only if it comes more than
     the dedup time after the last kept one of its key; suppressed firings don't extend the quiet
-    time. Firings are thinned to the first per window slot before the fold wherever that can't change
-    it: within one key only the first firing per microsecond counts.
+    time. Within one key only one firing per microsecond counts. A firing that comes more than the dedup
+    time after any other is always kept, so a key's firings are folded in runs that end there.
     """
     fired = _firings(_points(events, rules.filter("enabled"), False), window_min * _MINUTE)
     p = F.struct("us", F.col("event_count"), F.col("suspicious_count"), F.col("first_us"), F.col("last_us"))
     per = fired.groupBy(*rules_columns(rules), "server_key", "user_key", "us").agg(F.max(p).alias("p"))
-    folded = per.groupBy(*rules_columns(rules), "server_key", "user_key").agg(kept_firings(F.array_sort(F.collect_list("p")), dedup_min * _MINUTE).alias("kept"))
+    by_time = Window.partitionBy(*rules_columns(rules), "server_key", "user_key").orderBy("us")
+    quiet = (F.col("us") - F.lag("us").over(by_time) > dedup_min * _MINUTE).cast("int")
+    per = per.withColumn("run", F.sum(F.coalesce(quiet, F.lit(0))).over(by_time))
+    folded = per.groupBy(*rules_columns(rules), "server_key", "user_key", "run").agg(kept_firings(F.array_sort(F.collect_list("p")), dedup_min * _MINUTE).alias("kept"))
     k = folded.select("*", F.explode("kept").alias("k"))
     single = F.col("r_rule") == "permission-change"
     return k.select(

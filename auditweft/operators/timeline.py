@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +53,7 @@ def provisional(c: str) -> Column:
 def provisional_creates(df: DataFrame) -> DataFrame:
     """Renames and moves from a provisional name are creations without a previous path."""
     hit = F.col("action").isin(TURNED) & ~is_blank(F.col("previous_path")) & provisional("previous_path")
-    return df.withColumn("action", F.when(hit, "created").otherwise(F.col("action"))).withColumn("previous_path", F.when(hit, None).otherwise(F.col("previous_path")))
+    return df.withColumns({"action": F.when(hit, "created").otherwise(F.col("action")), "previous_path": F.when(hit, None).otherwise(F.col("previous_path"))})
 
 
 def resolve_unknown_users(df: DataFrame, window_s: int = 60) -> DataFrame:
@@ -128,12 +132,19 @@ def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     return own.join(gone.distinct(), "id", "left_anti").select(*df.columns)
 
 
+def _sessions(pdfs: Iterator[pd.DataFrame]) -> Iterator[Iterator[dict]]:
+    """Sorted rows of a partition, session by session."""
+    rows = (r for pdf in pdfs for r in pdf.to_dict("records"))
+    return (group for _, group in groupby(rows, key=lambda r: (r["server"], r["share"], r["_s"])))
+
+
 def _consolidator(window_us: int):
-    """Greedy newest-first pass over one session of a share; returns kept ids with final columns."""
+    """Greedy newest-first pass over the sessions of a partition; gives kept ids with final columns.
+
+    Only rows within the window around the current one are held.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["us", "id"], ascending=[False, True], kind="stable").to_dict("records")
-        used, keys, out = set(), set(), []
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turned, created, changed = set(TURNED), set(CREATED), set(CHANGED)
 
         def explicit(c) -> bool:
@@ -163,43 +174,65 @@ def _consolidator(window_us: int):
                         return True
             return False
 
-        for i, c in enumerate(rows):
-            if i in used:
-                continue
-            if c["noise"]:
-                used.add(i)
-                continue
-            wide = [(j, e) for j, e in enumerate(rows) if abs(e["us"] - c["us"]) <= window_us]
-            near = [(j, e) for j, e in wide if j not in used]
-            if explicit(c):
-                ends = {c["p"], c["q"]}
-                for j, e in near:
-                    same = (e["p"], e["q"]) == (c["p"], c["q"]) if e["action"] in turned else bool({e["p"], e["q"]} & ends)
-                    if not e["noise"] and same:
-                        used.add(j)
-                final = "created" if c["qprov"] else "moved" if c["pp"] != c["qp"] else "renamed"
-                keys.add((c["user"], c["src"], final, c["p"], "" if c["qprov"] else c["q"], c["us"] // _S))
-                out.append((c["id"], final, None if c["qprov"] else c["previous_path"], c["leaf"]))
-                continue
-            if redundant(c, [e for _, e in near], [e for _, e in wide]):
-                used.add(i)
-                continue
-            key = (c["user"], c["src"], "changed" if c["action"] in changed else c["action"], c["p"], c["q"], c["us"] // _S)
-            used.add(i)
-            if key not in keys:
-                keys.add(key)
-                out.append((c["id"], c["action"], c["previous_path"], None if c["action"] == "accessed" else c["leaf"]))
-        return pd.DataFrame(out, columns=["id", "action", "previous_path", "display_target"])
+        def session(rows: Iterator[dict]) -> Iterator[tuple]:
+            held: deque[dict] = deque()  # newest first
+            keys: dict[int, set] = {}  # by second
+            ahead = next(rows, None)
+            todo: deque[dict] = deque()
+            while todo or ahead:
+                if not todo:
+                    todo.append(ahead)
+                    held.append(ahead)
+                    ahead = next(rows, None)
+                c = todo.popleft()
+                while ahead and ahead["us"] >= c["us"] - window_us:
+                    todo.append(ahead)
+                    held.append(ahead)
+                    ahead = next(rows, None)
+                while held[0]["us"] > c["us"] + window_us:
+                    held.popleft()
+                for second in [x for x in keys if x > c["us"] // _S]:
+                    del keys[second]
+                if c.get("used"):
+                    continue
+                if c["noise"]:
+                    c["used"] = True
+                    continue
+                wide = [e for e in held if e["us"] >= c["us"] - window_us]
+                near = [e for e in wide if not e.get("used")]
+                own = keys.setdefault(c["us"] // _S, set())
+                if explicit(c):
+                    ends = {c["p"], c["q"]}
+                    for e in near:
+                        same = (e["p"], e["q"]) == (c["p"], c["q"]) if e["action"] in turned else bool({e["p"], e["q"]} & ends)
+                        if not e["noise"] and same:
+                            e["used"] = True
+                    final = "created" if c["qprov"] else "moved" if c["pp"] != c["qp"] else "renamed"
+                    own.add((c["user"], c["src"], final, c["p"], "" if c["qprov"] else c["q"]))
+                    yield c["id"], final, None if c["qprov"] else c["previous_path"], c["leaf"]
+                    continue
+                c["used"] = True
+                if redundant(c, near, wide):
+                    continue
+                key = (c["user"], c["src"], "changed" if c["action"] in changed else c["action"], c["p"], c["q"])
+                if key not in own:
+                    own.add(key)
+                    yield c["id"], c["action"], c["previous_path"], None if c["action"] == "accessed" else c["leaf"]
+
+        for rows in _sessions(pdfs):
+            found = session(rows)
+            while some := list(islice(found, 10_000)):
+                yield pd.DataFrame(some, columns=["id", "action", "previous_path", "display_target"])
 
     return run
 
 
-def timeline_consolidate(df: DataFrame, window_s: int = 15, most_rows: int = 2000) -> DataFrame:
+def timeline_consolidate(df: DataFrame, window_s: int = 15) -> DataFrame:
     """One row per human-level operation, with display_target.
 
     Rows of a share form sessions that end where ``window_s`` seconds pass without any, so rules
-    never look across; a session that would exceed ``most_rows`` is split, at worst parting rows
-    that could have explained one another. Doubles of a second should be removed first.
+    never look across. Sessions are dealt out and read newest first; a task holds the rows of one
+    window at a time. Doubles of a second should be removed first.
     """
     us = F.unix_micros("timestamp_utc")
     w = Window.partitionBy("server", "share").orderBy("us", "id")
@@ -213,9 +246,9 @@ def timeline_consolidate(df: DataFrame, window_s: int = 15, most_rows: int = 200
     )
     gap = (F.col("us") - F.lag("us").over(w)) > window_s * _S
     own = own.withColumn("_s", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
-    own = own.withColumn("_part", F.floor(F.row_number().over(Window.partitionBy("server", "share", "_s").orderBy("us", "id")) / most_rows))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "action", "previous_path", "display_target")])
-    kept = own.groupBy("server", "share", "_s", "_part").applyInPandas(_consolidator(window_s * _S), schema)
+    dealt = own.repartition("server", "share", "_s").sortWithinPartitions("server", "share", "_s", F.desc("us"), "id")
+    kept = dealt.mapInPandas(_consolidator(window_s * _S), schema)
     rest = [c for c in df.columns if c not in ("action", "previous_path")]
     return df.select(*rest).join(kept, "id").select(*df.columns, "display_target")
 

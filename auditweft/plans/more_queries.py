@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import admin, alerts, correlate, dedup, fleet, hydrate, normalize, reports, timeline
 from ..sources import readers, writers
+from ..sources.schemas import TABLES
 from ..streaming import jobs
 from .adapter import audit_events, collected_events
 from .derived import DERIVED, admin_entries, alert_rows, heartbeats, monitored_paths
@@ -205,12 +206,39 @@ def suppress_matched_security(spark, d):
     return correlate.suppress_matched_security(usn, security, 3600).select("record_id", "action")
 
 
-@query("pair_renames")
+_RENAMES = """, j AS (SELECT *, lower(path) AS key FROM feed WHERE cursor_type = 'usn'),
+m AS (SELECT *, action = 'renamed_old' AS old, max(CASE WHEN action = 'renamed_old' THEN usn END) OVER ahead AS old_before, max(CASE WHEN action = 'renamed_new' THEN usn END) OVER ahead AS new_before,
+  min(CASE WHEN action = 'renamed_old' THEN usn END) OVER behind AS old_next, min(CASE WHEN action = 'renamed_new' THEN usn END) OVER behind AS new_next FROM j WHERE action IN ('renamed_old', 'renamed_new')
+  WINDOW ahead AS (PARTITION BY server, share, k ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), behind AS (PARTITION BY server, share, k ORDER BY usn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT *, old AND old_before IS NULL AND new_before IS NOT NULL AS taken FROM m),
+p AS (SELECT coalesce(new_next, new_before) AS new_usn, usn AS old_usn, usn AS made FROM t WHERE old AND NOT taken
+  UNION ALL SELECT t.usn, coalesce(t.old_before, t.old_next), t.usn FROM t LEFT JOIN t o ON o.usn = t.old_before WHERE NOT t.old AND NOT (o.usn IS NOT NULL AND NOT o.taken AND (t.new_before IS NULL OR t.new_before < t.old_before))),
+pairs AS (SELECT p.made, n.*, o.path AS old_path, o.key AS old_key, o.usn AS old_usn FROM p JOIN j n ON n.usn = p.new_usn JOIN j o ON o.usn = p.old_usn),
+noise AS (SELECT * FROM j WHERE action IN ('changed', 'modified', 'created', 'created_or_appended')),
+gone AS (SELECT z.usn FROM noise z JOIN pairs q ON z.server = q.server AND z.share = q.share AND z.k = q.k AND abs(z.us - q.us) <= 3600000000 AND z.usn > q.made
+  UNION SELECT z.usn FROM noise z JOIN (SELECT server, share, us, made, unnest([key, old_key]) AS spot FROM pairs) q ON z.server = q.server AND z.share = q.share AND z.key = q.spot AND abs(z.us - q.us) <= 3600000000 AND z.usn > q.made)"""
+
+
+@query(
+    "pair_renames",
+    feed(_RENAMES + """SELECT usn, path, old_path AS previous_path, CASE WHEN regexp_replace(key, '\\[^\\]*$', '') <> regexp_replace(old_key, '\\[^\\]*$', '') THEN 'moved' ELSE 'renamed' END AS action, object_type FROM pairs
+    UNION ALL SELECT usn, path, previous_path, CASE WHEN action IN ('renamed_old', 'renamed_new') THEN 'renamed' ELSE action END, object_type FROM j
+    WHERE usn NOT IN (SELECT usn FROM gone) AND usn NOT IN (SELECT usn FROM pairs UNION SELECT old_usn FROM pairs)"""),
+)
 def pair_renames(spark, d):
     usn, _ = _feeds(spark, d)
     return correlate.apply_transitions(usn, correlate.transitions(usn, 3600).filter("how = 'pair'"), 3600).select("usn", "path", "previous_path", "action", "object_type")
 
 
+@query(
+    "drop_rename_noise",
+    feed(_RENAMES + "SELECT usn, action FROM j WHERE usn NOT IN (SELECT usn FROM gone) AND usn NOT IN (SELECT usn FROM pairs UNION SELECT old_usn FROM pairs)"),
+)
+def drop_rename_noise(spark, d):
+    usn, _ = _feeds(spark, d)
+    return correlate.drop_rename_noise(usn, correlate.transitions(usn, 3600).filter("how = 'pair'"), 3600).select("usn", "action")
+
+
 @query("infer_renames")
 def infer_renames(spark, d):
     usn, _ = _feeds(spark, d)
@@ -367,6 +395,32 @@ def timeline_all(spark, d):
     return timeline.build_timeline(audit_events(spark, d), 900, 3600).select("id", "user", "action", "path", "previous_path", "display_target")
 
 
+@query("timeline_consolidate")
+def timeline_consolidate(spark, d):
+    return timeline.timeline_consolidate(timeline.timeline_dedup(audit_events(spark, d)), 900).select("id", "action", "path", "previous_path", "display_target")
+
+
+@query(
+    "provisional_creates",
+    audit("""SELECT id, CASE WHEN action = 'renamed' AND event_id % 3 = 0 THEN 'created' ELSE action END AS action, CASE WHEN action = 'renamed' AND event_id % 3 = 0 THEN NULL ELSE previous_path END AS previous_path FROM audit"""),
+)
+def provisional_creates(spark, d):
+    e = audit_events(spark, d)
+    fresh = (F.col("action") == "renamed") & (F.col("id").cast("long") % 3 == 0)
+    e = e.withColumn("previous_path", F.when(fresh, F.concat(F.lit("\\\\"), "server", F.lit("\\x\\New Text Document.txt"))).otherwise(F.col("previous_path")))
+    return timeline.provisional_creates(e).select("id", "action", "previous_path")
+
+
+@query("read_table", audit("SELECT server, action, count(*) AS n, min(us) AS first_us FROM audit GROUP BY ALL"))
+def read_table(spark, d):
+    path, _ = _scratch(spark, "stored")
+    name = next(k for k in TABLES if "event" in k)
+    columns = [f.strip().split(" ")[0] for f in TABLES[name].split(",")]
+    e = audit_events(spark, d)
+    e.select(*(F.col(c) if c in e.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.parquet(f"{path}/{name}")
+    return readers.read_table(spark, name, path).groupBy("server", "action").agg(F.count("*").alias("n"), F.min(F.unix_micros("timestamp_utc")).alias("first_us"))
+
+
 _CSV = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 
 
@@ -394,18 +448,21 @@ def export_anomalies_csv(spark, d):
 
 
 def _scratch(spark, name: str) -> tuple[str, str]:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    import uuid
-
-    base = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = f"{hydrate.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{base}/rows", f"{base}/checkpoint"
 
 
-def _stream(spark, df):
-    """The rows as a stream: written to a shared folder and read from there."""
+def _stream(spark, *dfs):
+    """The rows as a stream, a batch for each frame: written to a shared folder and read from there in order."""
     path, _ = _scratch(spark, "source")
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    for df in dfs:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(dfs[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _halves(df, at: str = "2024-01-16 00:00:00"):
+    early = F.col("timestamp_utc") < F.lit(at).cast("timestamp")
+    return df.filter(early), df.filter(~early)
 
 
 @query(
@@ -413,11 +470,9 @@ def _stream(spark, df):
     audit("""SELECT us // 86400000000 * 86400000000 AS start_us, lower(server) AS server, lower("user") AS "user", action, count(*) AS event_count FROM audit GROUP BY ALL"""),
 )
 def stream_activity(spark, d):
-    live = jobs.stream_activity(_stream(spark, audit_events(spark, d)), "1 day", "1 day", "0 seconds")
+    live = jobs.stream_activity(_stream(spark, *_halves(audit_events(spark, d))), "1 day", "1 day", "0 seconds")
     # the last window is still open when the input ends: complete mode gives it too
-    name = "activity_" + __import__("uuid").uuid4().hex
-    live.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(us("window_start", "start_us"), "server", "user", "action", "event_count")
+    return jobs.run_complete(live, *_scratch(spark, "activity")).select(us("window_start", "start_us"), "server", "user", "action", "event_count")
 
 
 @query("stream_dedup", feed("SELECT CASE cursor_type WHEN 'usn' THEN 'usn:d::' || usn ELSE 'security:' || record_id END AS cursor_key FROM feed"))
@@ -426,6 +481,18 @@ def stream_dedup(spark, d):
     return jobs.run_available(jobs.stream_dedup(_stream(spark, c.unionByName(c.filter("usn % 3 = 0 or record_id % 4 = 0"))), "60 days"), *_scratch(spark, "dedup")).select("cursor_key")
 
 
+@query(
+    "stream_late_rows",
+    feed("""SELECT CASE cursor_type WHEN 'usn' THEN 'usn:d::' || usn ELSE 'security:' || record_id END AS cursor_key FROM feed
+    WHERE us < epoch_us(TIMESTAMP '2024-01-16') OR us > (SELECT max(us) FROM feed WHERE us < epoch_us(TIMESTAMP '2024-01-16'))"""),
+)
+def stream_late_rows(spark, d):
+    """The third batch holds copies of early rows under new numbers: they come behind the watermark and go."""
+    early, later = _halves(collected_events(spark, d))
+    late = early.filter("timestamp_utc < '2024-01-15'").withColumns({"record_id": F.col("record_id") + 10**12, "usn": F.col("usn") + 10**12})
+    return jobs.run_available(jobs.stream_dedup(_stream(spark, early, later, late), "0 seconds"), *_scratch(spark, "late")).select("cursor_key")
+
+
 @query("stream_events", audit("SELECT action, count(*) AS n FROM audit WHERE event_id % 11 <> 0 GROUP BY action"))
 def stream_events(spark, d):
     e = audit_events(spark, d)
@@ -441,9 +508,12 @@ def stream_events(spark, d):
 @query("stream_heartbeats", derived(f"SELECT agent_id, us, last_record_id FROM ({_LATEST})"))
 def stream_heartbeats(spark, d):
     path, checkpoint = _scratch(spark, "beats")
-    beats = heartbeats(spark, d)
-    jobs.stream_heartbeats(_stream(spark, beats), path, checkpoint).awaitTermination()
-    return spark.read.schema(beats.schema).parquet(f"{path}/v0").select("agent_id", us("last_heartbeat_utc", "us"), "last_record_id")
+    early, later = _halves(heartbeats(spark, d).withColumnRenamed("last_heartbeat_utc", "timestamp_utc"))
+    back = lambda df: df.withColumnRenamed("timestamp_utc", "last_heartbeat_utc")
+    live = _stream(spark, back(later), back(early))  # the second batch must not push newer ones out
+    q = jobs.stream_heartbeats(live, path, checkpoint)
+    q.awaitTermination()
+    return spark.read.schema(live.schema).parquet(jobs.newest_version(path, q)).select("agent_id", us("last_heartbeat_utc", "us"), "last_record_id")
 
 
 @query("stream_alerts", audit(_DETECT))

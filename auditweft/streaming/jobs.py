@@ -103,7 +103,7 @@ class AlertProcessor(StatefulProcessor):
                     break
                 near.append(r)
             for i, rule in enumerate(self.rules):
-                hits = [r for r in near if r[1] >> i & 1]
+                hits = [r for r in near if r[1] == i]
                 n, n2 = len(hits), sum(r[2] for r in hits)
                 if not hits or not (n >= (rule["threshold"] or 1) or rule["secondary_threshold"] and n2 >= rule["secondary_threshold"]):
                     continue
@@ -136,12 +136,15 @@ _ALERT_COLUMNS = ["rule", "severity", "server", "user", "event_count", "first_us
 def stream_alerts(events: DataFrame, rules: DataFrame, window_min: int = 5, dedup_min: int = 10, late: str = "10 minutes") -> DataFrame:
     """Alerts from a stream of events: the same rows as the batch detection on the same events."""
     on = rules.filter("enabled")
-    names = [r.asDict() for r in on.select("rule", "severity", "threshold", "secondary_threshold", "secondary_severity").orderBy("rule").collect()]
-    bit = F.element_at(F.create_map(*[x for i, r in enumerate(names) for x in (F.lit(r["rule"]), F.lit(1 << i))]), F.col("r_rule"))
+    cols = ["rule", "severity", "threshold", "secondary_threshold", "secondary_severity"]
+    name = lambda prefix: F.to_json(F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in cols)))
+    # rows of one rule with equal limits and other scopes count together, as in the batch detection
+    names = [r.asDict() for r in on.select(*cols, name("").alias("_name")).distinct().orderBy("_name").collect()]
+    number = F.array_position(F.array(*(F.lit(r["_name"]) for r in names)).cast("array<string>"), name("r_")) - 1
     scoped = rule_applies(events, on)
     rows = scoped.select(
         "timestamp_utc", F.lower("server").alias("server"), F.lower("user").alias("user"), F.unix_micros("timestamp_utc").alias("us"),
-        F.when(counted_action(), bit).otherwise(0).cast("long").alias("hits"), suspicious().alias("mark"),
+        F.when(counted_action(), number).otherwise(-1).cast("long").alias("hits"), suspicious().alias("mark"),
     )
     return (
         rows.withWatermark("timestamp_utc", late)
@@ -155,6 +158,22 @@ def stream_alerts(events: DataFrame, rules: DataFrame, window_min: int = 5, dedu
     )
 
 
+def newest_version(path: str, query: StreamingQuery) -> str:
+    """Where the heartbeats' last batch left the table."""
+    return f"{path}/v{max(p['batchId'] for p in query.recentProgress)}" if query.recentProgress else f"{path}/v0"
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream of whole results over what is there now; every batch overwrites its own table at ``path``."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v{n}")
+
+    q = df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(newest_version(path, q))
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into parquet and return the rows."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

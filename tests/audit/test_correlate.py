@@ -102,3 +102,62 @@ def test_order_of_rows_does_not_matter(spark):
     df = spark.createDataFrame(rows, COLLECTED)
     key = lambda d: sorted(map(str, d.collect()))
     assert key(correlate.correlate(df)) == key(correlate.correlate(df.repartition(3, "path")))
+
+
+def plain_pass(rows, window=10):
+    """Pairing and inference by a plain pass in journal order over rows (usn, at, action, file, path)."""
+    noise, marks = ("changed", "modified", "created", "created_or_appended"), ("renamed_old", "renamed_new")
+    rows, used, out = sorted(rows), set(), []
+    for i, r in enumerate(rows):
+        if i in used:
+            continue
+        if r[2] in marks:
+            kind = marks[1 - marks.index(r[2])]
+            picks = [((j > i) != (r[2] == "renamed_old"), abs(rows[j][0] - r[0]), j) for j in range(len(rows)) if rows[j][2] == kind and rows[j][3] == r[3]]
+        elif r[2] in noise:
+            picks = [(rows[j][1], rows[j][0], j) for j in range(len(rows)) if j != i and j not in used and rows[j][2] in noise and rows[j][3] == r[3] and rows[j][4] != r[4] and abs(rows[j][1] - r[1]) <= window]
+        else:
+            picks = []
+        if not picks:
+            out.append((r[0], r[4], None, "renamed" if r[2] in marks else r[2]))
+            continue
+        j = min(picks)[-1]
+        old, new = (r, rows[j]) if r[2] == "renamed_old" else (rows[j], r)
+        if r[2] in noise:
+            old, new = sorted((r, rows[j]), key=lambda x: (x[1], x[0]))
+        for k, e in enumerate(rows):
+            if k not in (i, j) and e[2] in noise and (e[3] == new[3] or e[4] in (old[4], new[4])) and abs(e[1] - new[1]) <= window:
+                used.add(k)
+        used.add(j)
+        out.append((new[0], new[4], old[4], "renamed"))
+    return sorted(map(str, out))
+
+
+def test_transitions_equal_a_plain_pass(spark):
+    import random
+
+    rng = random.Random(12)
+    actions = ["renamed_old", "renamed_new", "changed", "modified", "created", "created_or_appended", "deleted"]
+    rows, want = [], []
+    for case in range(120):
+        own = []
+        at = 0
+        for n in range(rng.randint(1, 14)):
+            at += rng.choice([0, 1, 3, 6, 11, 30])
+            file = rng.randint(0, 1)
+            own.append((1000 * case + n, at, rng.choice(actions[: rng.choice([2, 5, 7])] if rng.random() < 0.5 else actions), str(file), f"D:\\c{case}\\f{file}{rng.choice('abc')}.txt"))
+        want += plain_pass(own)
+        rows += [journal(u, p, a, file_reference_id=f, at=t, server=f"FS{case}") for u, t, a, f, p in own]
+    usn = correlate.with_row(spark.createDataFrame(rows, COLLECTED))
+    out = correlate.apply_transitions(usn, correlate.transitions(usn, 10), 10).collect()
+    assert sorted(str((r.usn, r.path, r.previous_path, r.action)) for r in out) == sorted(want)
+
+
+def test_four_names_one_after_another(run):
+    rows = usn(run(*(journal(i, f"D:\\d\\{c}.txt", "modified", file_reference_id="7", at=i) for i, c in enumerate("abcd"))))
+    assert [(r.action, r.path, r.previous_path) for r in rows] == [("renamed", "D:\\d\\b.txt", "D:\\d\\a.txt")]
+
+
+def test_repeated_rows_count_once(run):
+    twice = [journal(1, "D:\\d\\a.txt", "renamed_old", file_reference_id="7"), journal(2, "D:\\d\\b.txt", "renamed_new", file_reference_id="7", at=1)] * 2
+    assert [(r.action, r.previous_path) for r in usn(run(*twice))] == [("renamed", "D:\\d\\a.txt")]
