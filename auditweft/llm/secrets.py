@@ -82,18 +82,23 @@ def llr(token: Column, table: list[float]) -> Column:
     return total / F.length(token)
 
 
-def identifiers(word: Column) -> Column:
-    """Ordinary identifiers made of a word: alone, with a number, a date, a path, a version, in camel case."""
+def identifier(word: Column) -> Column:
+    """An ordinary identifier made of a word: alone, with a number, a date, a path, a version or in camel case, by its hash."""
     h = F.xxhash64(word, F.lit(5))
-    n = lambda k, least=0: (F.pmod(F.shiftright(h, 7 * least), F.lit(k)) + least).cast("string")
+    n = lambda k, least=0: (F.pmod(F.shiftright(h, 7 * least + 4), F.lit(k)) + least).cast("string")
     two = lambda k, shift: F.lpad((F.pmod(F.shiftright(h, shift), F.lit(k)) + 1).cast("string"), 2, "0")
-    day = F.concat_ws("-", F.concat(F.lit("20"), two(40, 3)), two(12, 9), two(28, 15))
+    day = F.concat_ws("-", F.concat(F.lit("20"), two(40, 8)), two(12, 14), two(28, 20))
     low, half = F.lower(word), F.ceil(F.length(word) / 2).cast("int")
     camel = F.concat(low.substr(F.lit(1), half), F.initcap(low.substr(half + 1, F.length(word))), n(1000))
-    return F.array(
-        word, F.concat(low, n(100)), F.concat(low, F.lit("_"), n(10000, 1)), F.concat(low, F.lit("-"), day), F.concat(F.lit("img_"), F.regexp_replace(day, "-", ""), F.lit("_"), low),
+    made = [
+        F.concat(low, n(100)), F.concat(low, F.lit("_"), n(10000, 1)), F.concat(low, F.lit("-"), day), F.concat(F.lit("img_"), F.regexp_replace(day, "-", ""), F.lit("_"), low),
         F.concat(low, F.lit("/v"), n(10), F.lit("/"), F.reverse(low)), F.concat(F.upper(low), F.lit("_"), n(100, 2)), camel, F.concat(day, F.lit("_"), low, F.lit("-final"), n(10)),
-    )
+    ]
+    kind = F.pmod(h, F.lit(len(made) + 1))
+    out = F.when(kind == 0, made[0])
+    for i, m in enumerate(made[1:], 1):
+        out = out.when(kind == i, m)
+    return out.otherwise(word)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, least: int = 8) -> tuple[list[float], float]:
@@ -101,7 +106,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     Labels come from the texts: values of base spans, and their digests in base 64, are random strings;
     runs of ``least`` or more token characters outside base spans and without digits are words of which
-    ordinary identifiers are made, with and without digits. About ``sample_rows`` documents are used,
+    ordinary identifiers are made, one of each, most with digits. About ``sample_rows`` documents are used,
     chosen by a hash of their id over the whole table. A quarter of the strings isn't counted: the
     threshold lies above all but one in a thousand of its ordinary ones and, where that leaves room,
     halfway to its random ones. Only transition counts (at most 2 x 66 x 66 rows) reach the driver.
@@ -115,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     digests = F.transform(values, lambda v: F.base64(F.unhex(F.sha2(v, 256))))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
     plain = F.filter(F.array_distinct(F.regexp_extract_all(rest, F.lit(RUN % least), F.lit(0))), lambda x: ~x.rlike("[0-9]") & (F.length(x) <= 60))
-    made = F.flatten(F.transform(plain, identifiers))
+    made = F.transform(plain, identifier)
     labelled = picked.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), F.concat(values, digests).alias("r")), F.struct(F.lit(0).alias("y"), made.alias("r")))).alias("l"))
     runs = labelled.select("l.y", F.explode("l.r").alias("run")).withColumn("run", F.regexp_replace("run", r"[^A-Za-z0-9+/_-]", "")).filter(F.length("run").between(1, 200))
     held = F.pmod(F.xxhash64("run", F.lit(7)), F.lit(4)) == 0
