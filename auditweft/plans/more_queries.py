@@ -258,9 +258,9 @@ def finalize_actions(spark, d):
 
 
 def _journal(spark, d):
-    """Folders and files from the events: every id first appears with its parent, twenty folders deep in chains of ten."""
+    """Folders and files from the events: chains of ten ids, each the parent of the next; 200 new ids every 2000 events."""
     e = audit_events(spark, d).withColumn("n", F.col("id").cast("long"))
-    node = F.col("n") % 200
+    node = F.col("n") % 200 + F.floor(F.col("n") / 2000) * 200
     return e.select(
         F.col("n").alias("usn"), F.lit("D:").alias("volume"), "timestamp_utc", "server", "share", F.lit("created").alias("action"), F.lit("FILE_CREATE").alias("reason"),
         F.concat(F.lit("f"), node.cast("string")).alias("file_id"), F.when(node % 10 > 0, F.concat(F.lit("f"), (node - 1).cast("string"))).alias("parent_file_id"),
@@ -270,8 +270,8 @@ def _journal(spark, d):
 
 @query(
     "hydrate_usn_paths",
-    audit(""", j AS (SELECT event_id AS usn, server, event_id % 200 AS node FROM audit WHERE event_id < 100000),
-    up AS (SELECT c.usn, (SELECT max(p.usn) FROM j p WHERE p.server = c.server AND p.node = c.node - 1 AND p.usn < c.usn) AS up, c.node FROM j c),
+    audit(""", j AS (SELECT event_id AS usn, server, event_id % 200 + event_id // 2000 * 200 AS node FROM audit),
+    up AS (SELECT c.usn, p.usn AS up, c.node FROM j c ASOF LEFT JOIN j p ON p.server = c.server AND p.node = c.node - 1 AND p.usn < c.usn),
     r AS (SELECT usn, CASE WHEN node % 10 > 0 THEN up END AS ptr, '\\n' || node AS tail FROM up UNION ALL SELECT r.usn, CASE WHEN u.node % 10 > 0 THEN u.up END, '\\n' || u.node || r.tail FROM r JOIN up u ON u.usn = r.ptr)
     SELECT usn, 'D:\\base' || tail AS path FROM r WHERE ptr IS NULL"""),
 )
