@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import classify_transition, is_blank, is_provisional, path_key, promote_object_type
 from .hydrate import cut
+from .skew import CELL, grid_join
 
 NOISE = ["changed", "modified", "created", "created_or_appended"]
 MARKERS = ["renamed_old", "renamed_new"]
@@ -30,32 +31,77 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in parts)))).dropDuplicates(["_row"])
 
 
-def _keys(path: str, name: str) -> list[Column]:
-    """A path's key and its leaf's, null for a blank path."""
-    key = F.when(~is_blank(F.col(path)), path_key(F.col(path)))
-    return [key.alias(name), F.substring_index(key, "\\", -1).alias(f"{name}_leaf")]
+def _offers(part: Column, whole: Column, inside: str, around: str) -> Column:
+    """Keys by which a path can meet related ones, as an array of (tag, key), from its parts and its whole folders.
+
+    Equal leaves meet under ``l``. A path y that lies within a path x holds x's folders whole between its
+    first and last separator, so y offers its last two whole folders under ``inside`` and x each two
+    neighbouring ones under ``around``; a y with one whole folder or none has tags of its own.
+    """
+    n = F.size(part)
+    at = lambda i: F.try_element_at(part, i.cast("int"))
+    one = lambda tag, key: F.struct(F.lit(tag).alias("tag"), key.alias("key"))
+    leaf = one("l", at(n))
+    held = (
+        F.when(n >= 4, one(f"{inside}2", F.concat(at(n - 2), F.lit("\\"), at(n - 1))))
+        .when(n == 3, one(f"{inside}1", at(n - 1)))
+        .otherwise(one(f"{inside}0", F.lit("")))
+    )
+    pairs = F.transform(F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0))), lambda p, i: one(f"{around}2", F.concat(p, F.lit("\\"), F.try_element_at(whole, i + 2))))
+    alone = F.transform(whole, lambda p: one(f"{around}1", p))
+    return F.concat(F.array(leaf, held, one(f"{around}0", F.lit(""))), pairs, alone)
 
 
-def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10) -> DataFrame:
-    """(_row, _sec, score, distance) of all compatible pairs: same server, near in time, related paths.
+def _offered(rows: DataFrame, path: Column, previous: Column, inside: str, around: str, wide: list[str]) -> DataFrame:
+    """A row for each key that a row's path or previous path offers; ``_main`` says which of them it is.
 
-    A range join by time slots: security rows go to three slots, journal rows to one. Paths are cleaned
-    once a row, before the join. The better of the scores over path and previous path counts: 100 equal,
-    60 same leaf, 30 one holds the other.
+    Of two related rows the one with fewer keys (tags in ``wide``) stands in three time slots, the other in one.
+    """
+    key = lambda c: F.when(~is_blank(c), path_key(c))
+    both = rows.withColumn("_path", F.explode(F.array(F.struct(key(path).alias("x"), F.lit(True).alias("main")), F.struct(key(previous).alias("x"), F.lit(False).alias("main")))))
+    both = both.filter("_path.x IS NOT NULL").withColumn("_part", F.split("_path.x", r"\\"))
+    both = both.withColumn("_whole", F.slice("_part", 2, F.greatest(F.size("_part") - 2, F.lit(0))))
+    both = both.withColumn("_offer", F.explode(_offers(F.col("_part"), F.col("_whole"), inside, around)))
+    both = both.select("*", F.col("_path.x").alias("_x"), F.col("_path.main").alias("_main"), F.col("_offer.tag").alias("_tag"), F.col("_offer.key").alias("_key")).drop("_path", "_offer", "_part", "_whole")
+    slots = F.when(F.substring("_tag", 1, 1).isin(wide), F.sequence(F.col("_at") - 1, F.col("_at") + 1)).otherwise(F.array("_at"))
+    return both.withColumn("_slot", F.explode(slots)).drop("_at")
+
+
+def match_sides(usn: DataFrame, security: DataFrame, window_s: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Journal and security rows by (_server, _slot, _tag, _key), the keys by which related ones meet.
+
+    Paths are cleaned once a row.
     """
     width = max(1, window_s) * _S
     known = ~is_blank(F.col("path")) & ~is_blank(F.col("user")) & (F.upper("user") != "UNKNOWN")
     slot = F.floor(F.unix_micros("timestamp_utc") / width)
+    echo = F.col("record_id").isNotNull() & F.coalesce(F.lower("action").isin(ECHOES), F.lit(False))
     s = security.filter(known).select(
-        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), *_keys("path", "_sp"), *_keys("previous_path", "_sq"), F.unix_micros("timestamp_utc").alias("_sus"),
-        F.explode(F.sequence(slot - 1, slot + 1)).alias("_slot"),
+        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_sus"), "record_id", echo.alias("_echo"), slot.alias("_at"),
     )
-    u = usn.select("_row", F.lower("server").alias("_server"), *_keys("path", "_up"), *_keys("previous_path", "_uq"), F.unix_micros("timestamp_utc").alias("_us"), slot.alias("_slot"))
-    distance = F.abs(F.col("_us") - F.col("_sus"))
-    both = [(F.col(a), F.col(b), F.col(f"{a}_leaf"), F.col(f"{b}_leaf")) for a in ("_up", "_uq") for b in ("_sp", "_sq")]
-    score = F.greatest(*(F.when(x == y, 100).when(m == n, 60).when(x.contains(y) | y.contains(x), 30).otherwise(0) for x, y, m, n in both))
-    near = u.join(s, ["_server", "_slot"]).filter(distance <= window_s * _S)
-    return near.select("_row", "_sec", score.alias("score"), distance.alias("distance")).filter("score > 0")
+    s = _offered(s, F.col("path"), F.col("previous_path"), "a", "b", ["l", "a"]).drop("path", "previous_path").withColumnsRenamed({"_x": "_y", "_main": "_smain"})
+    # a blank path of a journal row starts any path, once the rows are related by the other one
+    blank = F.coalesce(path_key(F.col("path")) == "", F.lit(False)) | F.coalesce(path_key(F.col("previous_path")) == "", F.lit(False))
+    u = usn.select("_row", F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_us"), slot.alias("_at"), blank.alias("_blank"))
+    u = _offered(u, F.col("path"), F.col("previous_path"), "b", "a", ["b"]).drop("path", "previous_path", "_main")
+    return u, s
+
+
+def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10, cell: int = CELL) -> DataFrame:
+    """(_row, _sec, record_id, score, distance, echo) of compatible pairs: same server, near in time, related paths.
+
+    A pair stands once for each key it meets by; its score is the highest of these: 100 equal paths, 60
+    same leaf, 30 one path holds the other, over path and previous path. ``echo`` marks a security row that
+    repeats the journal row: one of its recorded actions at a path that starts the other or is started by
+    it. Rows meet only by equal keys, and keys with many rows in a slot are cut into a grid of cells.
+    """
+    u, s = match_sides(usn, security, window_s)
+    near = grid_join(u, s, ["_server", "_slot", "_tag", "_key"], ("_row", "_sec"), cell).withColumn("distance", F.abs(F.col("_us") - F.col("_sus")))
+    x, y, tag = F.col("_x"), F.col("_y"), F.substring("_tag", 1, 1)
+    held = (x != y) & F.when(tag == "a", x.contains(y)).otherwise(y.contains(x))
+    score = F.when((tag == "l") & (x == y), 100).when(tag == "l", 60).when(held, 30).otherwise(0)
+    echo = F.col("_echo") & (F.col("_blank") | (F.col("_smain") & (F.startswith(x, y) | F.startswith(y, x))))
+    return near.filter(F.col("distance") <= window_s * _S).select("_row", "_sec", "record_id", score.alias("score"), "distance", echo.alias("echo")).filter("score > 0")
 
 
 def correlate_feeds(usn: DataFrame, security: DataFrame, window_s: int = 10, pairs: DataFrame | None = None) -> DataFrame:
@@ -67,9 +113,9 @@ def correlate_feeds(usn: DataFrame, security: DataFrame, window_s: int = 10, pai
     pairs = match_pairs(usn, security, window_s) if pairs is None else pairs
     fields = ["user", "sid", "source_host", "source_ip", "process_name", "action", "path", "record_id"]
     side = security.select(F.col("_row").alias("_sec"), F.struct(*fields).alias("m"))
-    rank = F.struct(-F.col("score"), "distance", F.coalesce(F.col("m.record_id"), F.lit(1 << 62)), "_sec")
-    best = pairs.join(side, "_sec").groupBy("_row").agg(F.min_by("m", rank).alias("m"))
-    out = usn.join(best, "_row", "left")
+    rank = F.struct(-F.col("score"), "distance", F.coalesce(F.col("record_id"), F.lit(1 << 62)), F.col("_sec").alias("_sec"))
+    best = pairs.groupBy("_row").agg(F.min(rank)["_sec"].alias("_sec"))
+    out = usn.join(best.join(side, "_sec").select("_row", "m"), "_row", "left")
     hit = F.col("m").isNotNull()
     changed = F.lower("action").isin("changed", "modified") & (F.lower("m.action") == "created_or_appended")
     created = changed & is_provisional(F.col("path")) & (path_key(F.col("path")) == path_key(F.col("m.path")))
@@ -90,11 +136,7 @@ def suppress_matched_security(usn: DataFrame, security: DataFrame, window_s: int
     """Security rows without those that repeat a journal row they matched (not only as its best)."""
     usn, security = with_row(usn), with_row(security)
     pairs = match_pairs(usn, security, window_s) if pairs is None else pairs
-    u = usn.select("_row", path_key(F.col("path")).alias("_p"), path_key(F.col("previous_path")).alias("_q"))
-    s = security.filter("record_id is not null").filter(F.lower("action").isin(ECHOES)).select(F.col("_row").alias("_sec"), "record_id", path_key(F.col("path")).alias("_s"))
-    related = lambda a: F.coalesce(F.startswith(F.col(a), F.col("_s")) | F.startswith(F.col("_s"), F.col(a)), F.lit(False))
-    gone = pairs.join(u, "_row").join(s, "_sec").filter(related("_p") | related("_q")).select("record_id").distinct()
-    return security.join(gone, "record_id", "left_anti").select(*security.columns)
+    return security.join(pairs.filter("echo").select("record_id").distinct(), "record_id", "left_anti").select(*security.columns)
 
 
 FILE = ["_server", "_share", "_volume", "_file"]

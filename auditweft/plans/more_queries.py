@@ -181,7 +181,7 @@ _PAIRS = f""", pairs AS (SELECT u.usn, s.record_id, abs(u.us - s.us) AS gap, u.p
 
 
 def _feeds(spark, d):
-    c = correlate.with_row(collected_events(spark, d))
+    c = hydrate.cut(correlate.with_row(collected_events(spark, d)))
     return c.filter("cursor_type = 'usn'"), c.filter("cursor_type = 'security'")
 
 
