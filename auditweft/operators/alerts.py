@@ -7,64 +7,104 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import path_key, severity_rank
+from .hydrate import cut
 from .reports import limit_of
 from .rules import counted_action, raised_severity, reached, rule_applies, suspicious
 
 _MINUTE = 60_000_000
 
 
-def _firings(rows: DataFrame, window_us: int) -> DataFrame:
-    """Evaluation points where a rule's count in the trailing window reaches its threshold.
+RULE = [f"r_{c}" for c in ("rule", "severity", "threshold", "secondary_threshold", "secondary_severity")]
+WHO = ["server_key", "user_key"]
 
-    ``rows`` hold the rule's columns (r_*), keys, ``us`` and the flags ``hit`` and ``mark``. Spark
-    computes a range frame per row, so keys that can't fire are cut first, and exactly so: somewhere
-    the hit ``threshold - 1`` before another must lie within the window.
+
+def _sliced(rows: DataFrame, length: int, before: int, after: int) -> DataFrame:
+    """Rows by time slices of ``length``: each in its own slice (``own``), and near a slice's border also beyond it.
+
+    A slice then holds all that happened from ``before`` ahead of it to ``after`` behind it, so that one
+    user's or server's time line is spread over as many tasks as it has slices.
     """
-    keys = ["r_rule", "server_key", "user_key"]
-    by_time = Window.partitionBy(*keys).orderBy("us")
-    # a key can fire only if some hit and the one threshold - 1 hits before it lie within the window
-    hits = rows.filter("hit").select(*keys, "us", "mark", "r_threshold", "r_secondary_threshold")
-    hits = hits.withColumn("i", F.row_number().over(by_time)).withColumn("j", F.sum(F.col("mark").cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    lead = [("i", "r_threshold", F.lit(True)), ("j", "r_secondary_threshold", F.col("mark"))]
-    able = None
-    for place, least, use in lead:
-        a = hits.filter(use).select(*keys, F.col(place).alias("p"), "us", F.coalesce(least, F.lit(1) if place == "i" else F.lit(1 << 30)).alias("t"))
-        b = a.select(*keys, (F.col("p") + F.col("t") - 1).alias("p"), F.col("us").alias("before"))
-        now = a.join(b, [*keys, "p"]).filter(F.col("us") - F.col("before") <= window_us).select(*keys)
-        able = now if able is None else able.union(now)
-    able = able.distinct()
-    frame = by_time.rangeBetween(-window_us, 0)
-    own = rows.join(able, keys, "left_semi")
-    counted = own.select(
-        "*",
-        F.count(F.when(F.col("hit"), 1)).over(frame).alias("event_count"),
-        F.count(F.when(F.col("hit") & F.col("mark"), 1)).over(frame).alias("suspicious_count"),
-        F.min(F.when(F.col("hit"), F.col("us"))).over(frame).alias("first_us"),
-        F.max(F.when(F.col("hit"), F.col("us"))).over(frame).alias("last_us"),
-    )
-    return counted.filter((F.col("event_count") > 0) & reached(F.col("event_count"), F.col("suspicious_count")))
+    us = F.col("us")
+    at = lambda t: F.floor(t / F.lit(length))
+    slices = F.sequence(at(us - after), at(us + before))
+    return rows.withColumn("slice", F.explode(slices)).withColumn("own", F.col("slice") == at(us))
 
 
-def _points(events: DataFrame, rules: DataFrame, scoped_only: bool) -> DataFrame:
-    """Evaluation points: the rule's scoped events, or all events of the key with the scope as a flag."""
-    cols = ["id", "timestamp_utc", "server", "user", "action", "extension"]
+def _moments(events: DataFrame, rules: DataFrame, counted_only: bool) -> DataFrame:
+    """Per rule, server, user and time: n scoped events that the rule counts, m suspicious ones of them.
+
+    Times without a counted event have n = 0; they stay unless ``counted_only``.
+    """
     scoped = rule_applies(events, rules).select(
-        *[c for c in rules_columns(rules)], *cols, F.lower("server").alias("server_key"), F.lower("user").alias("user_key"), F.unix_micros("timestamp_utc").alias("us"),
-        counted_action().alias("hit"), suspicious().alias("mark"),
-    )
-    if scoped_only:
-        return scoped
-    every = events.select(*cols, F.lower("server").alias("server_key"), F.lower("user").alias("user_key"), F.unix_micros("timestamp_utc").alias("us"))
-    keys = scoped.filter("hit").select("r_rule", *[c for c in rules_columns(rules) if c != "r_rule"], "server_key", "user_key").distinct()
-    flags = scoped.filter("hit").select("r_rule", F.col("id").alias("hit_id")).distinct()
-    points = every.join(keys, ["server_key", "user_key"])
-    return points.join(flags.withColumnRenamed("r_rule", "f_rule"), (F.col("id") == F.col("hit_id")) & (F.col("r_rule") == F.col("f_rule")), "left").select(
-        *rules_columns(rules), *cols, "server_key", "user_key", "us", F.col("hit_id").isNotNull().alias("hit"), suspicious().alias("mark")
+        *RULE, F.lower("server").alias("server_key"), F.lower("user").alias("user_key"), F.unix_micros("timestamp_utc").alias("us"), counted_action().alias("hit"), suspicious().alias("mark")
+    )
+    if counted_only:
+        scoped = scoped.filter("hit")
+    return cut(scoped.groupBy(*RULE, *WHO, "us").agg(F.count_if("hit").alias("n"), F.count_if(F.col("hit") & F.col("mark")).alias("m")))
+
+
+def _firings(moments: DataFrame, events: DataFrame | None, window_us: int) -> DataFrame:
+    """Times at which a rule's count in the trailing window reaches its threshold.
+
+    Evaluation points are the moments, or with ``events`` the times of all events of the same server and
+    user. Time lines are cut into slices of four windows with one window ahead of them; slices whose hits
+    together don't reach the threshold go first. Counts are differences of running counts at a window's
+    two ends, so the work is linear in rows however many share a window.
+    """
+    hits = _sliced(moments.filter("n > 0"), 4 * window_us, window_us, 0)
+    able = hits.groupBy(*RULE, *WHO, "slice").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter(reached(F.col("n"), F.col("m"))).select(*RULE, *WHO, "slice")
+    if events is None:
+        points = _sliced(moments, 4 * window_us, 0, 0).join(able.select("r_rule", *WHO, "slice").distinct(), ["r_rule", *WHO, "slice"], "left_semi")
+    else:
+        every = events.select(F.lower("server").alias("server_key"), F.lower("user").alias("user_key"), F.unix_micros("timestamp_utc").alias("us")).distinct()
+        points = _sliced(every, 4 * window_us, 0, 0).join(able, [*WHO, "slice"])
+    ends = F.array(F.struct((F.col("us") - window_us).alias("pos"), F.lit(0).alias("kind")), F.struct(F.col("us").alias("pos"), F.lit(2).alias("kind")))
+    none = F.lit(None).cast("long")
+    asked = points.select(*RULE, *WHO, "slice", F.col("us").alias("at"), F.explode(ends).alias("e")).select(
+        *RULE, *WHO, "slice", "at", "e.pos", "e.kind", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("m"), none.alias("hit_us")
     )
+    told = hits.join(able.select("r_rule", *WHO, "slice").distinct(), ["r_rule", *WHO, "slice"], "left_semi").select(
+        *RULE, *WHO, "slice", none.alias("at"), F.col("us").alias("pos"), F.lit(1).alias("kind"), "n", "m", F.col("us").alias("hit_us")
+    )
+    own = Window.partitionBy(*RULE, *WHO, "slice")
+    so_far = own.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    to_come = own.orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    run = asked.union(told).select(
+        "*", F.sum("n").over(so_far).alias("c"), F.sum("m").over(so_far).alias("d"), F.max("hit_us").over(so_far).alias("last"), F.min("hit_us").over(to_come).alias("first")
+    )
+    end = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    out = run.filter("kind <> 1").groupBy(*RULE, *WHO, "slice", F.col("at").alias("us")).agg(
+        (end(2, "c") - end(0, "c")).alias("event_count"), (end(2, "d") - end(0, "d")).alias("suspicious_count"), end(0, "first").alias("first_us"), end(2, "last").alias("last_us")
+    )
+    fires = (F.col("event_count") > 0) & reached(F.col("event_count"), F.col("suspicious_count"))
+    return out.filter(fires).withColumn("hit", F.col("last_us") == F.col("us")).drop("slice")
 
 
-def rules_columns(rules: DataFrame) -> list[str]:
-    return [f"r_{c}" for c in ("rule", "severity", "threshold", "secondary_threshold", "secondary_severity")]
+def _unsuppressed(fired: DataFrame, dedup_us: int) -> DataFrame:
+    """(_key, us) of the firings kept: a key's first one, and each that comes more than ``dedup_us`` after the last kept one.
+
+    A firing more than that after any other is kept in any case. From there the kept ones are a chain of
+    pointers from a firing to the first one more than ``dedup_us`` later, followed in rounds that double
+    the length, so that a key that never falls quiet isn't one task. Where firings lie close, that one is
+    at most two dedup times away, so pointers are found in time slices.
+    """
+    wide = _sliced(fired.select("_key", "us"), 16 * dedup_us, dedup_us, 2 * dedup_us)
+    spots = F.array(F.struct(F.col("us").alias("pos"), F.lit(0).alias("kind")), F.struct((F.col("us") + dedup_us).alias("pos"), F.lit(1).alias("kind")))
+    spots = wide.select("_key", "slice", "own", "us", F.explode(spots).alias("e")).select("_key", "slice", "own", "us", "e.pos", "e.kind")
+    at = F.when(F.col("kind") == 0, F.col("us"))
+    own = Window.partitionBy("_key", "slice")
+    ahead = own.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = own.orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = spots.select("*", F.max(at).over(ahead).alias("before"), F.min(at).over(behind).alias("after")).filter("own")
+    links = cut(seen.groupBy("_key", "us").agg(F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("kind") == 1, F.col("after"))).alias("to")))
+    kept = links.filter(F.col("before").isNull() | (F.col("us") - F.col("before") > dedup_us)).select("_key", "us")
+    jump = links.filter("to IS NOT NULL").select("_key", "us", "to")
+    while True:  # a pointer leads to a later firing, so every chain ends
+        more = cut(kept.join(jump, ["_key", "us"]).select("_key", F.col("to").alias("us")).join(kept, ["_key", "us"], "left_anti").distinct())
+        if more.isEmpty():
+            return kept
+        kept = cut(kept.union(more))
+        jump = cut(jump.join(jump.select("_key", F.col("us").alias("to"), F.col("to").alias("to2")), ["_key", "to"]).select("_key", "us", F.col("to2").alias("to")))
 
 
 def simulate_rule(events: DataFrame, rules: DataFrame, window_min: int = 5) -> DataFrame:
@@ -74,7 +114,7 @@ def simulate_rule(events: DataFrame, rules: DataFrame, window_min: int = 5) -> D
     server, user (keys), event_count, first_us, last_us. Permission changes give one firing per
     distinct time.
     """
-    fired = _firings(_points(events, rules, True), window_min * _MINUTE)
+    fired = _firings(_moments(events, rules, False), None, window_min * _MINUTE)
     single = F.col("r_rule") == "permission-change"
     fired = fired.filter(~single | F.col("hit"))
     return fired.select(
@@ -90,49 +130,32 @@ def simulate_rule(events: DataFrame, rules: DataFrame, window_min: int = 5) -> D
 
 def simulation_counts(events: DataFrame, rules: DataFrame, window_min: int = 5) -> DataFrame:
     """rule, evaluated (scoped events), matching (counted ones), alerts."""
-    points = _points(events, rules, True)
-    a = points.groupBy(F.col("r_rule").alias("rule")).agg(F.count("*").alias("evaluated"), F.count_if("hit").alias("matching"))
+    scoped = rule_applies(events, rules)
+    a = scoped.groupBy(F.col("r_rule").alias("rule")).agg(F.count("*").alias("evaluated"), F.count_if(counted_action()).alias("matching"))
     b = simulate_rule(events, rules, window_min).groupBy("rule").agg(F.count("*").alias("alerts"))
     return a.join(b, "rule", "left").fillna(0, ["alerts"])
 
 
-def kept_firings(points: Column, dedup_us: int) -> Column:
-    """Of sorted (us, ...) firings, those later than the last kept one by more than ``dedup_us``."""
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.slice(points, 1, 0).alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        kept = F.struct(p["us"].alias("last"), F.concat(acc["out"], F.array(p)).alias("out"))
-        return F.when(p["us"] - acc["last"] > dedup_us, kept).otherwise(acc)
-
-    return F.aggregate(points, start, step)["out"]
-
-
 def detect_alerts(events: DataFrame, rules: DataFrame, window_min: int = 5, dedup_min: int = 10) -> DataFrame:
     """Alerts as a live run would have raised them, on event time.
 
     Every event of (server, user) is an evaluation point. A firing is kept only if it comes more than
     the dedup time after the last kept one of its key; suppressed firings don't extend the quiet
-    time. Within one key only one firing per microsecond counts. A firing that comes more than the dedup
-    time after any other is always kept, so a key's firings are folded in runs that end there.
+    time. Within one key only one firing per microsecond counts.
     """
-    fired = _firings(_points(events, rules.filter("enabled"), False), window_min * _MINUTE)
-    p = F.struct("us", F.col("event_count"), F.col("suspicious_count"), F.col("first_us"), F.col("last_us"))
-    per = fired.groupBy(*rules_columns(rules), "server_key", "user_key", "us").agg(F.max(p).alias("p"))
-    by_time = Window.partitionBy(*rules_columns(rules), "server_key", "user_key").orderBy("us")
-    quiet = (F.col("us") - F.lag("us").over(by_time) > dedup_min * _MINUTE).cast("int")
-    per = per.withColumn("run", F.sum(F.coalesce(quiet, F.lit(0))).over(by_time))
-    folded = per.groupBy(*rules_columns(rules), "server_key", "user_key", "run").agg(kept_firings(F.array_sort(F.collect_list("p")), dedup_min * _MINUTE).alias("kept"))
-    k = folded.select("*", F.explode("kept").alias("k"))
+    fired = _firings(_moments(events, rules.filter("enabled"), True), events, window_min * _MINUTE)
+    fired = cut(fired.withColumn("_key", F.to_json(F.struct(*RULE, *WHO))))
+    k = fired.join(_unsuppressed(fired, dedup_min * _MINUTE), ["_key", "us"])
     single = F.col("r_rule") == "permission-change"
     return k.select(
         F.col("r_rule").alias("rule"),
-        raised_severity(F.col("k.suspicious_count")).alias("severity"),
+        raised_severity(F.col("suspicious_count")).alias("severity"),
         F.col("server_key").alias("server"),
         F.col("user_key").alias("user"),
-        F.when(single, F.lit(1).cast("long")).otherwise(F.col("k.event_count")).alias("event_count"),
-        F.col("k.first_us").alias("first_us"),
-        F.when(single, F.col("k.first_us")).otherwise(F.col("k.last_us")).alias("last_us"),
-        F.col("k.us").alias("fired_us"),
+        F.when(single, F.lit(1).cast("long")).otherwise(F.col("event_count")).alias("event_count"),
+        F.col("first_us"),
+        F.when(single, F.col("first_us")).otherwise(F.col("last_us")).alias("last_us"),
+        F.col("us").alias("fired_us"),
     )
 
 
