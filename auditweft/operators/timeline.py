@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import is_blank, is_operational_noise, is_provisional_folder, is_transient_artifact, leaf_name, parent_path, path_key, provisional_kind
+from .components import components
 from .hydrate import cut
 
 CHANGED = ["changed", "modified"]
@@ -133,13 +134,13 @@ def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def _sessions(pdfs: Iterator[pd.DataFrame]) -> Iterator[Iterator[dict]]:
-    """Sorted rows of a partition, session by session."""
+    """Sorted rows of a partition, component by component."""
     rows = (r for pdf in pdfs for r in pdf.to_dict("records"))
-    return (group for _, group in groupby(rows, key=lambda r: (r["server"], r["share"], r["_s"])))
+    return (group for _, group in groupby(rows, key=lambda r: r["_s"]))
 
 
 def _consolidator(window_us: int):
-    """Greedy newest-first pass over the sessions of a partition; gives kept ids with final columns.
+    """Greedy newest-first pass over the components of a partition; gives kept ids with final columns.
 
     Only rows within the window around the current one are held.
     """
@@ -227,15 +228,45 @@ def _consolidator(window_us: int):
     return run
 
 
+def _touching(own: DataFrame, window_s: int) -> DataFrame:
+    """(id, _s): rows of a share that any rule can hold against each other, directly or over others, share _s.
+
+    Rules look at rows within the window with the same path or previous path (t), from a folder's row or a
+    creation at rows in the folder (f), and from a provisional document at its neighbours (s). Rows of a
+    key form a run that ends where the window passes without any; of the folder kinds only rows near an
+    asking one count. Runs that a row stands in are connected. A share may go on forever: its paths part it.
+    """
+    width = window_s * _S
+    key = lambda tag, c, asks, when: F.when(when, F.struct(F.lit(tag).alias("tag"), F.col(c).alias("key"), asks.alias("asks")))
+    yes = F.lit(True)
+    folder = ~F.col("dot") | ((F.col("action") == "created_or_appended") & (F.col("source") == "windows-security-log"))
+    offers = F.array(
+        key("t", "p", yes, yes), key("t", "q", yes, F.col("q") != ""), key("f", "p", yes, folder), key("f", "pp", F.lit(False), yes), key("s", "pp", yes, F.col("prov")),
+        key("s", "pp", F.lit(False), ~F.col("prov") & F.col("action").isin(*TURNED, *CREATED, *CHANGED, "deleted")),
+    )
+    rows = own.select("id", "server", "share", "us", F.col("p").alias("_p"), F.explode(F.array_compact(offers)).alias("o")).select("id", "server", "share", "us", "_p", "o.*")
+    by = Window.partitionBy("server", "share", "tag", "key")
+    w, back = by.orderBy("us", "id"), by.orderBy(F.desc("us"), F.desc("id"))
+    asked = F.when(F.col("asks"), F.col("us"))
+    near = lambda over: F.abs(F.col("us") - F.last(asked, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))) <= width
+    rows = rows.withColumn("_a", near(w)).withColumn("_b", near(back)).filter("_a OR _b").drop("_a", "_b")
+    rows = rows.withColumn("_n", F.sum(F.coalesce((F.col("us") - F.lag("us").over(w) > width).cast("int"), F.lit(0))).over(w))
+    # equal marks of different runs would only join components, which changes nothing
+    rows = rows.withColumn("_run", F.xxhash64("server", "share", "tag", "key", "_n"))
+    main = F.max(F.when((F.col("tag") == "t") & F.col("key").eqNullSafe(F.col("_p")), F.col("_run")))
+    runs = cut(rows.groupBy("id").agg(main.alias("a"), F.collect_set("_run").alias("runs")))  # at most five runs
+    found = components(runs.select("a", F.explode("runs").alias("b")).distinct())
+    return runs.join(found, F.col("a") == F.col("node"), "left").select("id", F.coalesce("root", "a").alias("_s"))
+
+
 def timeline_consolidate(df: DataFrame, window_s: int = 15) -> DataFrame:
     """One row per human-level operation, with display_target.
 
-    Rows of a share form sessions that end where ``window_s`` seconds pass without any, so rules
-    never look across. Sessions are dealt out and read newest first; a task holds the rows of one
-    window at a time. Doubles of a second should be removed first.
+    Rows of a share that no rule can hold against each other are parted into components. Each is read
+    newest first by one task, which holds the rows of one window at a time; tasks read many components.
+    Doubles of a second should be removed first; ids are unique.
     """
     us = F.unix_micros("timestamp_utc")
-    w = Window.partitionBy("server", "share").orderBy("us", "id")
     root = (F.lower(leaf_name(F.col("path"))) == F.lower("share")) & F.lower(parent_path(F.col("path"))).rlike(r"^([a-z]:|\\\\[^\\]+)$")
     own = df.select(
         "id", "server", "share", "user", "source", "action", "previous_path", us.alias("us"), path_key(F.col("path")).alias("p"), F.coalesce(path_key(F.col("previous_path")), F.lit("")).alias("q"),
@@ -244,10 +275,10 @@ def timeline_consolidate(df: DataFrame, window_s: int = 15) -> DataFrame:
         provisional("path").alias("prov"), F.coalesce(provisional("previous_path"), F.lit(False)).alias("qprov"), is_operational_noise(F.col("path"), F.col("previous_path")).alias("noise"),
         F.when(F.contains(F.col("source"), F.lit("usn-journal")), "usn").otherwise(F.col("source")).alias("src"), root.alias("root"),
     )
-    gap = (F.col("us") - F.lag("us").over(w)) > window_s * _S
-    own = own.withColumn("_s", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
+    own = cut(own)
+    own = own.join(_touching(own, window_s), "id")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "action", "previous_path", "display_target")])
-    dealt = own.repartition("server", "share", "_s").sortWithinPartitions("server", "share", "_s", F.desc("us"), "id")
+    dealt = own.repartition("_s").sortWithinPartitions("_s", F.desc("us"), "id")
     kept = dealt.mapInPandas(_consolidator(window_s * _S), schema)
     rest = [c for c in df.columns if c not in ("action", "previous_path")]
     return df.select(*rest).join(kept, "id").select(*df.columns, "display_target")
