@@ -7,10 +7,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from typing import TypeVar
+from typing import Any, TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 _HELD: dict[str, object] = {}
@@ -53,6 +53,13 @@ def persisted(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **of: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """Like ``persisted``, with aggregates of the rows taken while they are written, without a job of their own."""
+    seen = Observation()
+    out = persisted(df.observe(seen, *(c.alias(n) for n, c in of.items())), name)
+    return out, seen.get
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import persisted, slices
+from .common import measured, persisted, slices
 from .textnum import mix, raw_bytes, shingle_sets, word_bounds, word_hashes
 
 #: Most rows of ids and fingerprints sent to every executor at once (40 bytes each); above it the join is a shuffle.
@@ -97,14 +97,12 @@ def components(edges: DataFrame) -> DataFrame:
             return moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
 
-    now = persisted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    mark = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, seen = measured(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges", **mark)
     before = None
-    while True:  # ends when a round changes nothing
-        stamp = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stamp == before or stamp[0] == 0:
-            break
-        before = stamp
-        now = persisted(star(star(now, True), False), "edges")
+    while seen["n"] and seen != before:  # ends when a round changes nothing
+        before = seen
+        now, seen = measured(star(star(now, True), False), "edges", **mark)
     nodes = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
@@ -128,8 +126,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = persisted(sig.filter("n > 0").groupBy(*mark).agg(F.min("id").alias("rid"), F.first("prefix").alias("prefix")), "classes")
     members = sig.select("id", *mark)
     # a class goes by its least id; where that is null or names another class too, by a fingerprint
-    clash = persisted(classes.groupBy("rid").agg(F.count("*").alias("c"), F.min(F.struct(*mark)).alias("owner")).filter("c > 1 or rid is null").drop("c"), "clashes")
-    clashes = clash.count()
+    size = {"n": F.count(F.lit(1))}
+    clash, seen = measured(classes.groupBy("rid").agg(F.count("*").alias("c"), F.min(F.struct(*mark)).alias("owner")).filter("c > 1 or rid is null").drop("c"), "clashes", **size)
+    clashes = seen["n"]
     if clashes:
         own = F.col("rid").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.struct(*mark)))
         few = F.broadcast(clash) if clashes <= BROADCAST_IDS else clash
@@ -140,10 +139,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     posts = classes.select("rep", "rid", *mark, F.explode("prefix").alias("tok"))
     shared = posts.groupBy("tok").count().filter("count > 1").select("tok")
-    alive = persisted(
-        posts.join(shared, "tok").groupBy("rep", "rid", *mark).count().filter(F.col("count") >= 1 + F.floor(F.col("n") / 20)).drop("count"), "alive"
+    alive, seen = measured(
+        posts.join(shared, "tok").groupBy("rep", "rid", *mark).count().filter(F.col("count") >= 1 + F.floor(F.col("n") / 20)).drop("count"), "alive", **size
     )
-    n_alive = alive.count()
+    n_alive = seen["n"]
     ids = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(ids.select("rid"), F.col("_id").eqNullSafe(F.col("rid")), "left_semi").select("text")
@@ -177,13 +176,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .groupBy("id")
             .agg(F.max_by("to", F.struct("c", "to")).alias("to"))
         )
-        found = persisted(_verify(tries.select(F.col("id").alias("a"), F.col("to").alias("b")), sets, num, den), "links")
-        n_found = found.count()
-        if not n_found:
+        found, seen = measured(_verify(tries.select(F.col("id").alias("a"), F.col("to").alias("b")), sets, num, den), "links", **size)
+        if not seen["n"]:
             break
         edges = found if edges is None else edges.union(found)
-        comp = persisted(_labelled(sets, edges), "comp")
-        if n_found * 50 < n_alive:
+        comp = persisted(_relabelled(comp, found), "comp")
+        if seen["n"] * 50 < n_alive:
             break
 
     left = posts.join(comp, "id")
@@ -210,7 +208,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     found = persisted(_verify(pairs.select("a", "b"), sets, num, den), "links")
     edges = found if edges is None else edges.union(found)
-    comp = _labelled(sets, edges)
+    comp = _relabelled(comp, found)
     counts = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     linked = comp.filter("comp != id")
     if clashes:  # the least real id of a component
@@ -241,5 +239,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(_close(F.size("ta"), F.size("tb"), common, num, den)).select("a", "b")
 
 
-def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    return sets.select("id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, comp) after further links: only the graph of the components that these join is searched."""
+    of = lambda end, label: comp.select(F.col("id").alias(end), F.col("comp").alias(label))
+    joined = links.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return comp.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
