@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, partitions, slices
+from .common import held, measured, slices
 from .textnum import raw_bytes, word_bounds, word_hashes
 from .words import Known, Rows, raw_words
 
@@ -159,38 +159,43 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces_df: DataFrame, length: int = 4096, group_rows: int = 16384) -> DataFrame:
     """Adds sequence_id and offset to pieces: no sequence is longer than ``length``, offsets have no gaps.
 
-    Pieces are dealt out by a hash and sorted, so that a lost task gives the same groups again, and
-    packed ``group_rows`` at a time whatever share of them one task gets. Repeated rows are packed
-    one by one; an empty table gives an empty result. Other columns are carried along.
+    Pieces are stored and counted, dealt out by a hash to ceil(count / group_rows) groups, and each group is
+    packed alone, so that the result depends on the pieces and ``group_rows`` only, not on partitions. Rows
+    of one hash (repeated ones) beyond two groups' worth are packed in parts of that size. Repeated rows are
+    packed one by one; an empty table gives an empty result. Other columns are carried along.
     """
-    parts = partitions(pieces_df.sparkSession)
-    spread = F.xxhash64("doc_id", "start", "ids_crc32")
-    dealt = pieces_df.withColumn("_spread", spread).repartition(parts, "_spread").withColumn("_part", F.spark_partition_id())
-    dealt = dealt.sortWithinPartitions("_spread", "doc_id", "start", "ids_crc32")
+    stored, seen = measured(pieces_df, "pieces", n=F.count(F.lit(1)))
+    n_groups = max(1, -(-seen["n"] // group_rows))
+    dealt = stored.withColumn("_spread", F.xxhash64("doc_id", "start", "ids_crc32")).withColumn("_group", F.pmod("_spread", F.lit(n_groups)))
+    dealt = dealt.repartition("_group").sortWithinPartitions("_group", "_spread", "doc_id", "start", "ids_crc32")
     names = [f.name for f in pieces_df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_df.schema.fields) + ", sequence_id long, offset long"
+    most = 2 * group_rows
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rows, count = [], 0
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        """Rows of one group, at most ``most`` of them."""
+        rows, count, own = [], 0, -1
         for b in batches:
-            while count + b.num_rows >= group_rows:
-                rows.append(b.slice(0, group_rows - count))
-                b = b.slice(group_rows - count)
-                yield pa.Table.from_batches(rows)
-                rows, count = [], 0
-            if b.num_rows:
-                rows.append(b)
-                count += b.num_rows
+            group = b.column("_group").to_numpy()
+            while len(group):
+                n = int(np.searchsorted(group, group[0], side="right"))
+                if rows and (group[0] != own or count == most):
+                    yield own, pa.Table.from_batches(rows)
+                    rows, count = [], 0
+                own, n = int(group[0]), min(n, most - count)
+                rows.append(b.slice(0, n))
+                count += n
+                b, group = b.slice(n), group[n:]
         if rows:
-            yield pa.Table.from_batches(rows)
+            yield own, pa.Table.from_batches(rows)
 
     def run(batches):
-        used = 0
-        for t in groups(batches):
+        used, last = 0, -1
+        for group, t in groups(batches):
+            used = used if group == last else 0
             at, offset, more = first_fit_decreasing(t.column("length").to_numpy(), length)
-            base = int(t.column("_part")[0].as_py()) << 33
-            t = t.select(names).append_column("sequence_id", pa.array(base + used + at)).append_column("offset", pa.array(offset))
-            used += more
+            t = t.select(names).append_column("sequence_id", pa.array((group << 33) + used + at)).append_column("offset", pa.array(offset))
+            used, last = used + more, group
             yield from t.to_batches()
 
     return dealt.mapInArrow(run, schema)

@@ -13,6 +13,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +241,7 @@ def hash_of(t: str, s: int) -> int:
 
 
 def find(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
-    """Per row: doc_id and spans, an array of (s, k, e, p): start, kind number, end (code points), probability.
+    """Per row: doc_id, text_hash and spans, an array of (s, k, e, p): start, kind number, end (code points), probability.
 
     Base spans have probability 1. Null texts count as empty; null ids and repeated rows are searched
     like others; other columns are ignored; an empty table gives an empty result. Without training spans
@@ -249,31 +251,41 @@ def find(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         for batch in batches:
-            out, asked, x = [], [], []
+            out, asked, x, seen = [], [], [], set()
             for i, t in enumerate(batch.column(1).to_pylist()):
                 found = candidates(t or "")
                 good = [c for c in found if c[3]]
                 out.append([(s, k, e, 1.0) for s, k, e, _ in good])
                 if model:
+                    good.sort()
+                    starts = [g[0] for g in good]
+                    reach = list(accumulate((g[2] for g in good), max))  # how far the spans up to here go
                     for s, k, e, ok in found:
-                        if k == 4 and not any(g[0] < e and s < g[2] for g in good):
+                        before = bisect_left(starts, e)
+                        if k == 4 and not (before and reach[before - 1] > s):
                             asked.append((i, s, e))
                             x.append(features(t, s, e))
             if asked:
                 for (i, s, e), p in zip(asked, model[0].probability(np.array(x, float))):
-                    if p >= model[1] and (s, 4, e) not in {o[:3] for o in out[i]}:
+                    if p >= model[1] and (i, s, e) not in seen:
+                        seen.add((i, s, e))
                         out[i].append((s, 4, e, float(p)))
             spans = [[{"s": s, "k": k, "e": e, "p": p} for s, k, e, p in sorted(o)] for o in out]
             kind = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), batch.column(2)], names=["doc_id", "spans", "text_hash"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, spans array<struct<s:int,k:int,e:int,p:double>>")
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return own.mapInArrow(run, "doc_id long, spans array<struct<s:int,k:int,e:int,p:double>>, text_hash long")
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets (of overlapping spans, the first)."""
-    own = docs.join(found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"]), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    """``docs`` with every span replaced by its kind in brackets (of overlapping spans, the first).
+
+    Spans belong to an id and its text, so that texts that share an id are redacted by their own.
+    """
+    spans = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    own = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash")), "left")
     names = F.array(*(F.lit(f"[{k}]") for k in KINDS))
     text = F.col(text_col)
 
@@ -283,7 +295,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     done = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<s:int,k:int,e:int,p:double>>")), F.struct(F.lit(0).alias("at"), F.lit("").alias("t")), step)
     full = F.concat(done["t"], text.substr(done["at"] + 1, F.length(text)))
-    return own.withColumn(text_col, full).drop("_id", "_spans")
+    return own.withColumn(text_col, full).drop("_id", "_hash", "_spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

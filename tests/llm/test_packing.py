@@ -90,3 +90,32 @@ def test_little_padding_on_the_given_table(spark):
     out = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), tokenizer_file()).toPandas()
     fill = out.groupby("sequence_id").length.sum()
     assert fill.sum() / (4096 * len(fill)) > 0.97
+
+
+def test_groups_do_not_depend_on_settings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = packing.pack_documents(docs.repartition(int(n) // 3), tokenizer_file(), group_rows=300).collect()
+            found.append(sorted((r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in rows))
+            fill = packing.pack_documents(docs, tokenizer_file()).groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").agg({"n": "avg"}).first()[0]
+            assert fill / 4096 > 0.97
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len({s >> 33 for _, _, _, s, _ in found[0]}) >= 3
+
+
+def test_many_repeated_rows_are_packed_in_parts(spark):
+    rows = packing.pack_documents(spark.createDataFrame([(1, "one two three")] * 500, "doc_id long, text string"), tokenizer_file(), length=16, group_rows=20).collect()
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 500
+    for own in used.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 16

@@ -98,3 +98,18 @@ def test_added_spans_have_measured_precision_and_recall(spark):
         own = sorted({(m.start(), m.end()) for g in pii._GENERATORS for m in g.finditer(t) if m.end() - m.start() >= 7 and not any(c[0] < m.end() and m.start() < c[2] for c in good)})
         want = [x for x in own if model[0].probability(np.array([pii.features(t, *x)], float))[0] >= model[1]]
         assert sorted((s.s, s.e) for s in added[i]) == want
+
+
+def test_long_text_with_many_spans_and_texts_that_share_an_id(spark):
+    import time
+
+    many = "mail ann@example.org or call 555 123-4567, " * 50_000  # 2 MB, 100,000 spans
+    df = spark.createDataFrame([(1, many), (2, "write to bo@example.org"), (2, "now call +1 555 123 4567 or bo@example.org")], "doc_id long, text string")
+    model = pii.train(spark.createDataFrame([(i, f"write to u{i}@example.org or +1 555 123 {1000 + i} by {i}") for i in range(200)], "doc_id long, text string"))
+    assert model
+    began = time.time()
+    found = pii.find(df.filter("doc_id = 1"), model=model)
+    assert found.selectExpr("size(filter(spans, x -> x.k = 0))").first()[0] == 50_000
+    assert time.time() - began < 30
+    clear = sorted(r["text"] for r in pii.redact(df.filter("doc_id = 2"), pii.find(df.filter("doc_id = 2"))).collect())
+    assert clear == ["now call [phone] or [email]", "write to [email]"]
