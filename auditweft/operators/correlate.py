@@ -150,6 +150,32 @@ def _named(usn: DataFrame) -> DataFrame:
     )
 
 
+#: Journal numbers of a segment, as powers of two, from the finest to the coarsest level.
+SEGMENT_BITS = (20, 40)
+
+
+def _with_next(rows: DataFrame, keys: list[str], cols: list[str], bits: tuple[int, ...] = SEGMENT_BITS) -> DataFrame:
+    """Adds _next: ``cols`` of the row right behind in the order of (usn, us, _row) within ``keys``.
+
+    The order is cut into segments of 2^bits journal numbers (rows without one: of 4096 times as many
+    microseconds). A segment's last row takes the first row of the next segment that has any, which is the
+    same question over the segments' first rows, put to the next level; so no window holds a whole journal.
+    The result doesn't depend on ``bits``.
+    """
+    order = ["usn", "us", "_row"]
+    item = F.struct(*(c for c in cols))
+    if not bits:
+        return rows.withColumn("_next", F.lead(item).over(Window.partitionBy(*keys).orderBy(*order)))
+    late = F.col("usn") >= F.lit(1 << 62)
+    segment = F.when(late, F.shiftright("us", min(63, bits[0] + 12))).otherwise(F.shiftright("usn", bits[0]))
+    place = [*keys, f"_late{len(bits)}", f"_segment{len(bits)}"]
+    own = rows.withColumns({place[-2]: late, place[-1]: segment})
+    own = own.withColumn("_next", F.lead(item).over(Window.partitionBy(*place).orderBy(*order)))
+    first = own.groupBy(*place).agg(F.min(F.struct(*order, *(c for c in cols if c not in order))).alias("_first")).select(*place, "_first.*")
+    behind = _with_next(first, keys, cols, bits[1:]).select(*place, F.col("_next").alias("_carried"))
+    return own.join(behind, place).withColumn("_next", F.coalesce("_next", "_carried")).drop("_carried", *place[-2:])
+
+
 def _marker_pairs(own: DataFrame) -> DataFrame:
     """(_row of the new row, _old, how, at) of rename markers; ``at`` is the journal number at which the pair is made.
 
@@ -172,8 +198,8 @@ def _marker_pairs(own: DataFrame) -> DataFrame:
     by_old = F.col("old_before").isNotNull() & ~F.col("old_before.taken") & (F.col("new_before").isNull() | (at("new_before") < at("old_before")))
     olds = marks.filter(old & ~F.col("taken")).select(F.coalesce("new_next._row", "new_before._row").alias("_row"), F.col("_row").alias("_old"), "usn")
     news = marks.filter(new & ~by_old).select("_row", F.coalesce("old_before._row", "old_next._row").alias("_old"), "usn")
-    bare = own.filter("_file = ''").withColumns({c: F.lead(x).over(Window.partitionBy(*FILE[:3]).orderBy(*order)) for c, x in (("_next", "action"), ("_new", "_row"))})
-    bare = bare.filter("action = 'renamed_old' and _next = 'renamed_new'").select(F.col("_new").alias("_row"), F.col("_row").alias("_old"), "usn")
+    bare = _with_next(own.filter("_file = ''"), FILE[:3], ["action", "_row"])
+    bare = bare.filter("action = 'renamed_old' and _next.action = 'renamed_new'").select(F.col("_next._row").alias("_row"), F.col("_row").alias("_old"), "usn")
     both = olds.union(news).filter("_row is not null and _old is not null").union(bare)
     return both.select("_row", "_old", F.lit("pair").alias("how"), F.col("usn").alias("at"))
 

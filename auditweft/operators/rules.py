@@ -88,6 +88,10 @@ def normalize_rules(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rules that are sent to all executors; more aren't taken.
+MAX_RULES = 10_000
+
+
 def rule_applies(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events with the columns of every (normalised) rule whose scope they are in, prefixed ``r_``.
 
@@ -95,8 +99,8 @@ def rule_applies(events: DataFrame, rules: DataFrame) -> DataFrame:
     matches; a wrapped window's morning belongs to its own day. An unknown zone matches nothing, but
     only matters where hours or days are set.
     """
-    n = rules.limit(10_001).count()
-    if n > 10_000:
+    n = rules.limit(MAX_RULES + 1).count()
+    if n > MAX_RULES:
         raise ValueError("more rules than a dimension table holds")
     r = F.broadcast(rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns)))
     timed = F.col("r_active_from_hour").isNotNull() | (F.size("r_active_days") > 0)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import admin, alerts, correlate, dedup, fleet, hydrate, normalize, reports, timeline
-from ..sources import readers, writers
+from ..sources import batches, readers, writers
 from ..sources.schemas import TABLES
 from ..streaming import jobs
 from .adapter import audit_events, collected_events
@@ -540,6 +540,23 @@ def read_collected(spark, d):
     return readers.read_collected(spark, path).select("cursor_type", F.coalesce("record_id", "usn").alias("number"), "path", "user", us("timestamp_utc", "us"))
 
 
+@query(
+    "read_collected_rejects",
+    feed("""SELECT CASE coalesce(record_id, usn) % 5 WHEN 0 THEN 'unreadable' ELSE 'no cursor type' END AS reason, count(*) AS n, count(DISTINCT coalesce(record_id, usn)) AS records
+    FROM feed WHERE coalesce(record_id, usn) % 5 < 2 GROUP BY 1"""),
+)
+def read_collected_rejects(spark, d):
+    """Each fifth line is cut short, each next one has no cursor type, and blank lines lie between."""
+    path, _ = _scratch(spark, "rejects")
+    c, n = collected_events(spark, d), F.coalesce("record_id", "usn")
+    kind = F.when(n % 5 == 1, None).otherwise(F.col("cursor_type"))
+    line = F.to_json(F.struct(kind.alias("cursor_type"), "record_id", "usn", "path", "user"))
+    c.select(F.when(n % 5 == 0, F.regexp_replace(line, "}$", "\n")).otherwise(line).alias("value")).write.text(path)
+    _, rejects = readers.split_collected(spark, path)
+    number = F.regexp_extract("record", r'"(?:record_id|usn)":(\d+)', 1)
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct(number).alias("records"))
+
+
 @query(
     "read_usn_csv",
     audit("""SELECT event_id AS usn, 'D:' AS volume, CAST(us // 1000000 * 1000000 AS BIGINT) AS us, CASE k % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' ELSE 'modified' END AS action, 'f' || k AS file_id, 'file, ' || k AS file_name FROM audit WHERE event_id > 50"""),
@@ -584,6 +601,22 @@ def append_events(spark, d):
     return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "batch_log",
+    audit("""SELECT CAST(CAST(timestamp_utc AS DATE) AS VARCHAR) AS event_date, count(*) AS n, count(DISTINCT event_id % 3) AS batches,
+    (SELECT count(*) FROM audit WHERE us < epoch_us(TIMESTAMP '2024-01-20 12:00:00')) AS purged FROM audit WHERE us >= epoch_us(TIMESTAMP '2024-01-20 12:00:00') GROUP BY 1"""),
+)
+def batch_log(spark, d):
+    """Three batches, one of them sent twice, then ten days' retention, run twice, and what is left."""
+    path, _ = _scratch(spark, "batches")
+    e = audit_events(spark, d)
+    for k in (0, 1, 1, 2):
+        batches.append_batch(e.filter(F.col("id").cast("long") % 3 == k), path, f"b{k}")
+    purged = [batches.drop_expired(spark, path, 10, AS_OF) for _ in range(2)]
+    left = batches.read_events(spark, path).groupBy(F.col("event_date").cast("string").alias("event_date"))
+    return left.agg(F.count("*").alias("n"), F.countDistinct("batch_id").alias("batches"), F.lit(sum(purged)).cast("long").alias("purged"))
+
+
 @query("write_csv", audit("SELECT id, path, \"user\", CAST(file_size_bytes AS VARCHAR) AS size FROM audit"))
 def write_csv(spark, d):
     path, _ = _scratch(spark, "csv")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode, text
+from ..operators.hydrate import cut
 from .schemas import COLLECTED, TABLES
 
 # Header patterns of journal exports, English and Portuguese.
@@ -18,10 +19,35 @@ USN_HEADERS = {
 }
 
 
+#: Files whose headers are sent to all executors at once, and salts per file beyond that.
+BROADCAST_FILES, FILE_SALTS = 100_000, 64
+
+
 def read_collected(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Collected events as NDJSON (offline queue; blank lines are skipped) or as JSON arrays."""
-    raw = spark.read.schema(COLLECTED).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
-    return raw.filter(F.col("cursor_type").isNotNull())
+    """Collected events as NDJSON (offline queue; blank lines are skipped) or as JSON arrays, without rejects."""
+    return split_collected(spark, path, multi_line)[0]
+
+
+def split_collected(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of collected files; rejects are (file, reason, record).
+
+    ``unreadable``: no JSON, or a field of another type; the record is the line, with ``multi_line`` the whole
+    file that holds it. ``no cursor type``: readable, but neither feed's; the record is its JSON. Blank lines
+    are neither. An array in one line is a row for each of its objects.
+    """
+    bad = "_corrupt_record"
+    raw = spark.read.schema(f"{COLLECTED}, {bad} string").option("columnNameOfCorruptRecord", bad).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
+    names = [c for c in raw.columns if c != bad]
+    reason = F.when(F.col(bad).isNotNull(), "unreadable").when(F.col("cursor_type").isNull(), "no cursor type")
+    judged = raw.select(*names, bad, F.col("_metadata.file_path").alias("file"), reason.alias("reason"))
+    rejects = judged.filter("reason IS NOT NULL").select("file", "reason", F.coalesce(bad, F.to_json(F.struct(*names))).alias("record"))
+    return judged.filter("reason IS NULL").select(*names), rejects
+
+
+def _fields(line: Column) -> Column:
+    """A line's fields, parted by the commas outside quotes; the quotes stay. One pass, whatever its length."""
+    outside = F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", "\x01")).otherwise(p))
+    return F.split(F.array_join(outside, '"'), "\x01", -1)
 
 
 def _field(cols: Column, header: Column, pattern: str, last: bool = False) -> Column:
@@ -35,13 +61,19 @@ def _field(cols: Column, header: Column, pattern: str, last: bool = False) -> Co
 def read_usn_csv(spark: SparkSession, path: str, server: str, share: str, volume: str, zone: str = "UTC", start_usn: int = 0, fallback: str = "1970-01-01 00:00:00") -> DataFrame:
     """Journal exports: preamble lines, then a header that starts with Usn, then rows.
 
-    Every file's own header names its columns: the first match counts, but for the reason the last.
-    Rows whose number can't be read, or isn't above ``start_usn``, go.
+    Every file's first header, in file order, names its columns: the first match counts, but for the
+    reason the last. Rows whose number can't be read (later headers as well), or isn't above ``start_usn``, go.
     """
-    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line"))
-    heads = lines.filter(F.col("line").rlike(r"(?i)^\s*\"?usn\"?,")).groupBy("file").agg(F.min("line").alias("header"))
-    rows = lines.join(F.broadcast(heads), "file").filter(F.col("line") != F.col("header"))
-    cols = F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    heads = cut(lines.filter(F.col("line").rlike(r"(?i)^\s*\"?usn\"?,")).groupBy("file").agg(F.min_by("line", "at").alias("header")))
+    if heads.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        rows = lines.join(F.broadcast(heads), "file")
+    else:
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(FILE_SALTS)).cast("int"))
+        rows = salted.join(heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1)))), ["file", "salt"])
+    cols = _fields(F.col("line"))
     head = F.col("header")
     usn = F.regexp_replace(F.get(cols, F.lit(0)), r'["\s]', "")
     reason = _field(cols, head, USN_HEADERS["reason"], last=True)
@@ -84,8 +116,22 @@ def parse_security_xml(df: DataFrame, server: str, share: str) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, name: str, source: str, jdbc: dict | None = None) -> DataFrame:
-    """A stored table with its fixed schema: parquet below ``source``, or JDBC split by time."""
+# The column by which a stored table is split.
+TIMES = {"events": "timestamp_utc", "alerts": "created_utc", "rules": "updated_utc", "heartbeats": "last_heartbeat_utc", "monitored_paths": "updated_utc", "admin_audit": "timestamp_utc"}
+
+
+def read_table(spark: SparkSession, name: str, source: str, jdbc: dict | None = None, span: tuple[str, str] | None = None, parts: int = 64) -> DataFrame:
+    """A stored table with its fixed schema: parquet below ``source``, or a database by JDBC.
+
+    With ``span`` (first and last time) the database is read by ``parts`` queries over equal shares of that
+    time, so that no task reads the whole table; rows outside the span fall into the first and last share,
+    none is left out. Without it one task reads all. Columns are matched by name whatever their case, cast
+    to the schema's types; arrays and maps are read from JSON text.
+    """
     if jdbc is None:
         return spark.read.schema(TABLES[name]).parquet(f"{source}/{name}")
-    return spark.read.format("jdbc").options(url=source, dbtable=name, **jdbc).load()
+    split = {} if span is None else {"partitionColumn": TIMES[name], "lowerBound": span[0], "upperBound": span[1], "numPartitions": str(parts)}
+    raw = spark.read.format("jdbc").options(url=source, dbtable=name, **split, **jdbc).load()
+    schema = spark.createDataFrame([], TABLES[name]).schema
+    nested = lambda f: f.dataType.typeName() in ("array", "map")
+    return raw.select(*((F.from_json(F.col(f"`{f.name}`"), f.dataType) if nested(f) else F.col(f"`{f.name}`").cast(f.dataType)).alias(f.name) for f in schema))

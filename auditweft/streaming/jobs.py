@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.fleet import cursor_key, latest_heartbeats
 from ..operators.normalize import normalize_events, split_rejects
-from ..operators.rules import counted_action, rule_applies, suspicious
+from ..operators.rules import MAX_RULES, counted_action, rule_applies, suspicious
 from ..sources.schemas import COLLECTED
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,10 +63,12 @@ def stream_heartbeats(beats: DataFrame, path: str, checkpoint: str) -> Streaming
 
 
 class AlertProcessor(StatefulProcessor):
-    """Recent events and last alerts of one (server, user).
+    """Recent hits and last alerts of one (server, user).
 
-    Events wait in state until the watermark passes them, so that they are judged in the order of
-    event time; those older than the window behind it go.
+    Events wait until the watermark passes them, so that they are judged in the order of event time. What
+    was judged stays as one queue of hits per rule, as long as a window; each hit enters and leaves its
+    queue once, and running counts stand for the window. State expires: once the watermark is a window and
+    the suppression time past a key's last event, nothing is left of the key.
     """
 
     def __init__(self, rules: list[dict], window_us: int, dedup_us: int):
@@ -72,64 +76,94 @@ class AlertProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, hits long, mark boolean")
+        self.waiting = handle.getListState("waiting", "us long, hits long, mark boolean")
+        self.queue = handle.getListState("queue", "us long, hits long, mark boolean")
         self.last = handle.getMapState("last", "rule string", "us long")
-        self.done = handle.getValueState("done", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.rows.appendList([(int(u), int(h), bool(m)) for u, h, m in zip(pdf["us"], pdf["hits"], pdf["mark"])])
+    def _wake(self, ms: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            self.waiting.appendList([(int(u), int(h), bool(m)) for u, h, m in zip(pdf["us"], pdf["hits"], pdf["mark"])])
+        self._wake(timerValues.getCurrentWatermarkInMs() + 1)
         yield pd.DataFrame(columns=_ALERT_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        yield self._judge(key, mark)
+        yield self._judge(key, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def _judge(self, key, upto: int) -> pd.DataFrame:
-        rows = sorted(tuple(r) for r in self.rows.get())
-        done = self.done.get()[0] if self.done.exists() else -(1 << 62)
+        due, later = [], []
+        for r in self.waiting.get():
+            (due if r[0] <= upto else later).append(tuple(r))
+        fired, queue = self._fire(sorted(due), [tuple(r) for r in self.queue.get()])
         out = []
-        times = sorted({r[0] for r in rows if done < r[0] <= upto})
-        lo = 0
-        for t in times:
-            while rows[lo][0] < t - self.window:
-                lo += 1
-            near = []
-            for r in rows[lo:]:
-                if r[0] > t:
-                    break
-                near.append(r)
-            for i, rule in enumerate(self.rules):
-                hits = [r for r in near if r[1] == i]
-                n, n2 = len(hits), sum(r[2] for r in hits)
-                if not hits or not (n >= (rule["threshold"] or 1) or rule["secondary_threshold"] and n2 >= rule["secondary_threshold"]):
-                    continue
-                name = (rule["rule"],)
-                before = self.last.getValue(name)[0] if self.last.containsKey(name) else -(1 << 62)
-                if t - before <= self.dedup:
-                    continue
-                self.last.updateValue(name, (t,))
-                upper = rule["secondary_threshold"] and n2 >= rule["secondary_threshold"]
-                single = rule["rule"] == "permission-change"
-                out.append((rule["rule"], (rule["secondary_severity"] or rule["severity"]) if upper else rule["severity"], *key, 1 if single else n, hits[0][0], hits[0][0] if single else hits[-1][0], t))
-        later = [r for r in rows if r[0] > upto]
-        horizon = (times[-1] if times else min(upto, rows[-1][0] if rows else upto)) - self.window
-        self.rows.clear()
-        kept = [r for r in rows if r[0] > horizon]
-        if kept:
-            self.rows.put(kept)
-        self.done.update((max(done, times[-1] if times else done),))
+        for t, i, n, upper, first, newest in fired:
+            rule, name = self.rules[i], (self.rules[i]["rule"],)
+            if self.last.containsKey(name) and t - self.last.getValue(name)[0] <= self.dedup:
+                continue
+            self.last.updateValue(name, (t,))
+            single = rule["rule"] == "permission-change"
+            out.append((rule["rule"], (rule["secondary_severity"] or rule["severity"]) if upper else rule["severity"], *key, 1 if single else n, first, first if single else newest, t))
+        # what comes later is judged after ``upto``, so older hits can't be in its window any more
+        queue = [r for r in queue if r[0] > upto - self.window]
+        _put(self.queue, queue)
+        _put(self.waiting, later)
+        old = [k for k, v in self.last.iterator() if v[0] < upto - self.dedup]
+        for k in old:
+            self.last.removeKey(k)
         if later:
-            self.handle.registerTimer(later[-1][0] // 1000 + 1)
+            self._wake(min(r[0] for r in later) // 1000 + 1)
+        elif queue or self.last.exists():
+            self._wake((upto + max(self.window, self.dedup)) // 1000 + 2)
         return pd.DataFrame(out, columns=_ALERT_COLUMNS)
 
+    def _fire(self, due: list[tuple], before: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """(time, rule number, hits, secondary reached, first, newest) at each time of the sorted rows, and all hits in order.
+
+        A rule's own queue is trimmed whenever it is looked at; rules without a hit in the window aren't.
+        """
+        queues: dict[int, deque] = {}
+        marks: dict[int, int] = {}
+
+        def push(r: tuple) -> None:
+            if r[1] >= 0:
+                queues.setdefault(r[1], deque()).append(r)
+                marks[r[1]] = marks.get(r[1], 0) + r[2]
+
+        for r in before:
+            push(r)
+        fired = []
+        for t, same in groupby(due, key=lambda r: r[0]):
+            for r in same:
+                push(r)
+            for i in sorted(queues):
+                q = queues[i]
+                while q and q[0][0] < t - self.window:
+                    marks[i] -= q.popleft()[2]
+                if not q:
+                    del queues[i], marks[i]
+                    continue
+                rule = self.rules[i]
+                upper = bool(rule["secondary_threshold"]) and marks[i] >= rule["secondary_threshold"]
+                if upper or len(q) >= (rule["threshold"] or 1):
+                    fired.append((t, i, len(q), upper, q[0][0], q[-1][0]))
+        return fired, sorted(r for q in queues.values() for r in q)
+
     def close(self) -> None:
         pass
 
 
+def _put(state, rows: list[tuple]) -> None:
+    """The list state holds these rows and nothing else."""
+    if rows:
+        state.put(rows)
+    elif state.exists():
+        state.clear()
+
+
 _ALERT_COLUMNS = ["rule", "severity", "server", "user", "event_count", "first_us", "last_us", "fired_us"]
 
 
@@ -139,7 +173,9 @@ def stream_alerts(events: DataFrame, rules: DataFrame, window_min: int = 5, dedu
     cols = ["rule", "severity", "threshold", "secondary_threshold", "secondary_severity"]
     name = lambda prefix: F.to_json(F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in cols)))
     # rows of one rule with equal limits and other scopes count together, as in the batch detection
-    names = [r.asDict() for r in on.select(*cols, name("").alias("_name")).distinct().orderBy("_name").collect()]
+    names = [r.asDict() for r in on.select(*cols, name("").alias("_name")).distinct().orderBy("_name").limit(MAX_RULES + 1).collect()]
+    if len(names) > MAX_RULES:
+        raise ValueError("more rules than a dimension table holds")
     number = F.array_position(F.array(*(F.lit(r["_name"]) for r in names)).cast("array<string>"), name("r_")) - 1
     scoped = rule_applies(events, on)
     rows = scoped.select(
