@@ -1,8 +1,10 @@
 """Language of every word by a linear-chain conditional random field, and of texts by their words.
 
 Unary weights come from affixes, byte n-grams and the word itself (lexicon), hashed into buckets;
-transition weights are learned. Forward-backward gives each word's label distribution within chains
-of words; a text's language is the one with the most expected words.
+transition weights are learned. Forward-backward over a whole text gives each word's label
+distribution; a text's language is the one with the most expected words. Texts are one chain whatever
+their length: pieces of a chain are worked on side by side, and products of their transfer matrices
+carry the exact messages from piece to piece.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from .textnum import raw_bytes, word_bounds
 from .words import WordTable, letters_only, ngram_buckets
 
 BUCKETS = 1 << 16
-CHAIN = 64
+#: Words of a piece of a chain; results don't depend on it.
+PIECE = 64
+#: Words worked on at once by forward-backward.
+WORDS_AT_ONCE = 1 << 18
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +63,68 @@ def forward_backward(unary: np.ndarray, mask: np.ndarray, trans: np.ndarray) ->
     return gamma * mask[:, :, None], pairs, logz
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
+def chain_marginals(unary: np.ndarray, rows: np.ndarray, trans: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Label marginals [W,L] of words with unary weights [W,L]; equal neighbours in ``rows`` form one chain.
+
+    Each chain is cut into pieces. The pieces' transfer matrices are multiplied up side by side, messages
+    at the borders follow piece by piece over all chains at once, and forward-backward then runs in all
+    pieces from these messages.
+    """
+    w, n = unary.shape
+    e = np.exp(unary - unary.max(1, keepdims=True)).astype(np.float64)
+    m = np.exp(trans.astype(np.float64))
+    place = np.arange(w) - np.searchsorted(rows, rows, side="left")
+    begin = np.flatnonzero(place % piece == 0)
+    size = np.diff(np.append(begin, w))
+    order = place[begin] // piece
+    s, t = len(begin), int(size.max())
+    mask = np.arange(t)[None] < size[:, None]
+    em = np.ones((s, t, n))
+    em[mask] = e
+    # what the label before a piece makes of the label at its end
+    carry = np.broadcast_to(np.eye(n), (s, n, n)).copy()
+    for i in range(t):
+        live = mask[:, i]
+        carry[live] = _scaled((carry[live] @ m) * em[live, i][:, None, :])
+    first, last = order == 0, np.append(order[1:] == 0, True)
+    into, back = np.ones((s, n)), np.ones((s, n))
+    by_order = np.argsort(order, kind="stable")
+    steps = np.split(by_order, np.flatnonzero(np.diff(order[by_order])) + 1)
+    # the first piece of a chain has no label before it; its transfer starts at its first word
+    start = em[:, 0] / em[:, 0].sum(1, keepdims=True)
+    inner = np.broadcast_to(np.eye(n), (s, n, n)).copy()
+    for i in range(1, t):
+        live = mask[:, i] & first
+        if live.any():
+            inner[live] = _scaled((inner[live] @ m) * em[live, i][:, None, :])
+    out = np.empty((s, n))
+    for k, part in enumerate(steps):
+        if k == 0:
+            out[part] = _scaled((start[part][:, None, :] @ inner[part])[:, 0])
+        else:
+            into[part] = out[part - 1]
+            out[part] = _scaled((into[part][:, None, :] @ carry[part])[:, 0])
+    for part in reversed(steps):
+        inside = part[~last[part]]
+        back[inside] = _scaled((carry[inside + 1] @ back[inside + 1][:, :, None])[:, :, 0])
+    alpha, beta = np.empty((s, t, n)), np.empty((s, t, n))
+    a = np.where(first[:, None], start, _scaled((into @ m) * em[:, 0]))
+    alpha[:, 0] = a
+    for i in range(1, t):
+        a = np.where(mask[:, i, None], _scaled((a @ m) * em[:, i]), a)
+        alpha[:, i] = a
+    b = back
+    beta[:, t - 1] = b
+    for i in range(t - 2, -1, -1):
+        b = np.where(mask[:, i + 1, None], _scaled((em[:, i + 1] * b) @ m.T), b)
+        beta[:, i] = b
+    return _scaled((alpha * beta)[mask])
+
+
 class Crf:
     def __init__(self, labels: list[str]):
         self.labels = labels
@@ -151,35 +218,37 @@ def word_labels(model: Crf, text: str) -> list[tuple[str, str]]:
 
 
 def _label_batch(model: Crf, table: WordTable, col: pa.Array):
-    """Per slice: first row, per row expected words per label [R,L]."""
+    """Per slice: first row, per row expected words per label [R,L], and runs of words with one likeliest label as
+    (row, label, words) arrays in text order."""
     n = len(model.labels)
     for a, b in slices(col, 1 << 20):
         data, bounds = raw_bytes(col.slice(a, b - a))
         starts, ends, rows = word_bounds(data, bounds)
-        mass = np.zeros((b - a, n))
+        mass, runs = np.zeros((b - a, n)), []
         if len(starts):
             derived, at = table.index(data, starts, ends)
             keep = derived[at, n] > 0
             at, rows = at[keep], rows[keep]
         if len(starts) and len(at):
-            place = np.arange(len(at)) - np.searchsorted(rows, rows, side="left")
-            begin = np.flatnonzero((place % CHAIN == 0))
-            for lo in range(0, len(begin), 4096):
-                part = begin[lo : lo + 4096]
-                stop = begin[lo + 4096] if lo + 4096 < len(begin) else len(at)
-                lens = np.diff(np.append(part, stop))
-                mask = np.arange(lens.max())[None] < lens[:, None]
-                unary = np.zeros((*mask.shape, n), np.float32)
-                unary[mask] = derived[at[part[0] : stop], :n]
-                gamma, _, _ = forward_backward(unary, mask, model.t)
-                sums = gamma.sum(1)
+            ends_of = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) + 1
+            lo = 0
+            while lo < len(at):
+                # whole texts together, as many as fit; one longer than that alone
+                fit = ends_of[(ends_of > lo) & (ends_of <= lo + WORDS_AT_ONCE)]
+                hi = int(fit[-1]) if len(fit) else int(ends_of[ends_of > lo][0])
+                gamma = chain_marginals(derived[at[lo:hi], :n], rows[lo:hi], model.t)
                 for k in range(n):
-                    mass[:, k] += np.bincount(rows[part], sums[:, k], b - a)
-        yield a, mass
+                    mass[:, k] += np.bincount(rows[lo:hi], gamma[:, k], b - a)
+                best, own = gamma.argmax(1), rows[lo:hi]
+                first = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (own[1:] != own[:-1])))
+                runs.append((own[first], best[first], np.diff(np.append(first, hi - lo))))
+                lo = hi
+        yield a, mass, [np.concatenate(x) for x in zip(*runs)] if runs else [np.zeros(0, np.int64)] * 3
 
 
 def identify(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Crf | None = None, **fit) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, shares (expected share of words per language).
+    """Per row: doc_id, lang_pred, score, shares (expected share of words per language), runs (of neighbouring
+    words with one likeliest language, in text order; only words with a letter count).
 
     ``lang_col`` is read only where ``train_rows`` holds. A text that is null or has no letter gets
     ``und`` and score 0, and so does every text if nothing could be learned. Null ids and repeated
@@ -195,9 +264,16 @@ def identify(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_c
     def run(batches):
         for batch in batches:
             mass = np.zeros((batch.num_rows, max(1, len(labels))))
+            found = [(np.zeros(0, np.int64),) * 3]
             if model is not None:
-                for a, part in _label_batch(model, held(name, lambda: WordTable(derive)), batch.column(1)):
+                for a, part, (row, label, words) in _label_batch(model, held(name, lambda: WordTable(derive)), batch.column(1)):
                     mass[a : a + len(part)] = part
+                    found.append((a + row, label, words))
+            row, label, words = (np.concatenate(x) for x in zip(*found))
+            per_row = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            langs = pa.array(labels or [""], pa.string()).take(pa.array(label))
+            items = pa.StructArray.from_arrays([langs, pa.array(words.astype(np.int64))], names=["lang", "words"])
+            runs = pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), items)
             total = mass.sum(1)
             share = mass / np.maximum(total, 1e-9)[:, None]
             best = share.argmax(1)
@@ -205,8 +281,9 @@ def identify(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_c
             shares = [list(zip(labels, s)) if t > 0 else [] for s, t in zip(share.tolist(), total)]
             score = np.clip(np.where(total > 0, share.max(1), 0.0), 0, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=["doc_id", "lang_pred", "score", "shares"]
+                [batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64())), runs],
+                names=["doc_id", "lang_pred", "score", "shares", "runs"],
             )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return own.mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,double>, runs array<struct<lang:string,words:long>>")

@@ -89,7 +89,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(read(spark, sf_dir, "documents"), ~fold(4, 2))
-    return out.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+    runs = F.array_join(F.transform("runs", lambda x: F.concat(x["lang"], F.lit(":"), x["words"].cast("string"))), ",")
+    return out.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score", runs.alias("runs"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ def test_marginals_equal_enumeration():
     assert np.allclose(total, pairs)
 
 
+def test_pieces_of_a_chain_give_the_whole_chain():
+    """Chains of 1 to 700 words with strong weights, in pieces of any size, against one pass over each."""
+    rng = np.random.default_rng(5)
+    lens = [1, 2, 63, 64, 65, 128, 700, 1]
+    rows = np.repeat([0, 2, 3, 4, 5, 7, 8, 9], lens)
+    unary, trans = rng.normal(scale=8, size=(len(rows), 4)), rng.normal(scale=3, size=(4, 4))
+    want = np.concatenate([langid.forward_backward(unary[rows == r][None], np.ones((1, (rows == r).sum()), bool), trans)[0][0] for r in np.unique(rows)])
+    for piece in (1, 3, 64, 1000):
+        assert np.allclose(langid.chain_marginals(unary, rows, trans, piece), want, atol=1e-9)
+
+
 def test_held_out_accuracy_and_switched_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -56,7 +67,13 @@ def test_held_out_accuracy_and_switched_text(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].shares["de"] > 0.3 and by[1].shares["fr"] > 0.3
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (2, 3, 4))
-    assert by[None].lang_pred == "de"
+    assert by[None].lang_pred == "de" and by[2].runs == []
+    # a long text that switches often: the operator's runs are those of a plain pass over all its words
+    long = " ".join(w for k in range(120) for x in rng.permutation(model.labels) for w in parts[x][17 * k % 200 :][: 5 + k % 23])
+    labels = [x for _, x in langid.word_labels(model, long)]
+    (row,) = langid.identify(spark.createDataFrame([(7, long, None)], "doc_id long, text string, lang string"), F.lit(False), model=model).collect()
+    assert len(labels) > 4000 and len(row.runs) > 200
+    assert [x for r in row.runs for x in [r.lang] * r.words] == labels
 
 
 def test_nothing_to_learn(spark):
