@@ -113,7 +113,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """
     n = docs.count()
     share = min(1.0, sample_rows / max(1, n))
-    picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
+    picked = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 60)) < int(share * (1 << 60))) if share < 1 else docs
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     spans = base_spans(text)
     values = F.concat(*(F.transform(s, lambda x: x["v"]) for s in spans.values()))
