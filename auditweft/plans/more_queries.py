@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import admin, alerts, correlate, dedup, fleet, hydrate, normalize, reports, timeline
+from ..operators import admin, alerts, correlate, dedup, fleet, hydrate, normalize, reports, rules, timeline
 from ..sources import batches, readers, writers
-from ..sources.schemas import TABLES
+from ..sources.schemas import RULE, TABLES
 from ..streaming import jobs
 from .adapter import audit_events, collected_events
 from .derived import DERIVED, admin_entries, alert_rows, heartbeats, monitored_paths
@@ -617,6 +617,37 @@ def batch_log(spark, d):
     return left.agg(F.count("*").alias("n"), F.countDistinct("batch_id").alias("batches"), F.lit(sum(purged)).cast("long").alias("purged"))
 
 
+@query(
+    "rule_errors",
+    audit("""SELECT id, concat_ws('; ',
+        CASE WHEN event_id % 5 = 4 THEN 'unknown rule' END,
+        CASE WHEN event_id % 5 < 3 AND event_id % 3 < 2 THEN 'threshold is required' END,
+        CASE WHEN event_id % 5 = 2 AND event_id % 2 = 0 THEN 'secondary threshold is required' END,
+        CASE WHEN event_id % 4 <> 0 AND event_id % 26 > 23 THEN 'hour is out of range' END,
+        CASE WHEN (event_id % 4 = 0) <> (event_id % 6 = 0) THEN 'both hours are required' END,
+        CASE WHEN event_id % 3 = 0 THEN 'unknown day' END,
+        CASE WHEN event_id % 7 = 0 THEN 'unknown time zone' END) AS errors FROM audit"""),
+)
+def rule_errors(spark, d):
+    """A rule for each event, with faults of every kind, and what is wrong with it."""
+    e = audit_events(spark, d)
+    n = F.col("id").cast("int")
+    names = F.array(*map(F.lit, [*rules.RULE_NAMES, "other"]))
+    given = {
+        "rule": F.get(names, n % 5),
+        "title": F.col("id"),
+        "threshold": n % 3 - 1,
+        "secondary_threshold": n % 2,
+        "active_from_hour": F.when(n % 4 != 0, n % 26),
+        "active_to_hour": F.when(n % 6 != 0, n % 24),
+        "active_days": F.when(n % 3 == 0, "mon,xyz").when(n % 3 == 1, "seg; sunday"),
+        "time_zone_id": F.when(n % 7 == 0, "Mars/Base").when(n % 7 == 1, "UTC"),
+    }
+    fields = spark.createDataFrame([], RULE).schema
+    raw = e.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    return rules.normalize_rules(raw).select(F.col("title").alias("id"), F.array_join("errors", "; ").alias("errors"))
+
+
 @query("write_csv", audit("SELECT id, path, \"user\", CAST(file_size_bytes AS VARCHAR) AS size FROM audit"))
 def write_csv(spark, d):
     path, _ = _scratch(spark, "csv")
