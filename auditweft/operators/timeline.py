@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby, islice
 
 import pandas as pd
@@ -89,7 +90,10 @@ def resolve_unknown_users(df: DataFrame, window_s: int = 60) -> DataFrame:
 def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     """Rows that others make redundant go; every rule looks at all rows, so order doesn't matter.
 
-    ``scale`` stretches the rules' windows (15, 30, 45 and 8 seconds) for sparse data.
+    ``scale`` stretches the rules' windows (15, 30, 45 and 8 seconds) for sparse data. All rules share one sweep:
+    a row stands under its path, previous path and folder with the roles it has there, in slices of time with one
+    window to either side; the last and next time of each role answer every rule. Rows of one time and id aren't
+    company to each other; of rows that share an id all go or none.
     """
     own = df.select(
         "*", path_key(F.col("path")).alias("_p"), F.coalesce(path_key(F.col("previous_path")), F.lit("")).alias("_q"), F.lower(parent_path(F.col("path"))).alias("_pp"),
@@ -97,40 +101,60 @@ def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
         F.coalesce(provisional("previous_path"), F.lit(False)).alias("_qprov"), provisional_kind(F.col("path")).alias("_kind"), provisional_kind(F.col("previous_path")).alias("_qkind"),
         F.contains(leaf_name(F.col("path")), F.lit(".")).alias("_dot"),
     )
-    own = own.filter(~is_transient_artifact(F.col("path")) & ~is_transient_artifact(F.col("previous_path")))
-    every = own = cut(own)  # eight rules read it; what made it runs once
-
-    def near(rows: DataFrame, key: str, other: DataFrame, other_key: str, seconds: float, extra: Column | None = None) -> DataFrame:
-        """ids of ``rows`` with some other row of the same key within so many seconds."""
-        width = int(seconds * scale * _S)
-        o = other.filter(F.col(other_key) != "").select(
-            F.col("id").alias("_oid"), F.col(other_key).alias("_key"), F.col("_us").alias("_ous"), F.col("_prov").alias("_oprov"), F.col("_qkind").alias("_oqkind"), F.col("_q").alias("_oq"),
-            F.floor(F.col("_us") / width).alias("_os"),
-        ).withColumn("_slot", F.explode(F.array(F.col("_os") - 1, F.col("_os"), F.col("_os") + 1)))
-        cond = (F.col(key) == F.col("_key")) & (F.col("_s") == F.col("_slot")) & (F.col("id") != F.col("_oid")) & (F.abs(F.col("_us") - F.col("_ous")) <= width)
-        return rows.withColumn("_s", F.floor(F.col("_us") / width)).join(o, cond if extra is None else cond & extra, "left_semi").select("id")
-
-    act = lambda *names: every.filter(F.col("action").isin(*names))
-    moves = act("moved").filter("_q <> ''").filter(F.startswith(F.col("_qp"), F.concat(F.col("_pp"), F.lit("\\"))))
-    gone_before = near(moves, "_q", act("deleted"), "_p", 30)
-    landed = near(moves, "_p", every.filter("action <> 'deleted'"), "_p", 8)
-    fresh = act(*CREATED).filter("_prov")
-    related = ~F.col("_oprov") | ((F.col("_oq") != "") & (F.col("_kind") == F.col("_oqkind")))
-    stronger = act(*TURNED, *CREATED, "deleted")
-    drop = [
-        near(act("deleted"), "_p", act(*TURNED), "_q", 15),
-        gone_before.join(landed, "id", "left_anti"),
-        near(act(*CHANGED).filter("not _dot"), "_p", act("moved"), "_pp", 30),
-        near(fresh, "_pp", act("created", *TURNED), "_pp", 45, F.coalesce(related, F.lit(False))),
-        near(act(*TURNED).filter("_qprov"), "_p", act(*CREATED), "_p", 15),
-        near(act(*CREATED), "_p", act(*TURNED), "_p", 15),
-        near(act(*CHANGED), "_p", stronger, "_p", 15),
-        near(act(*CHANGED), "_p", stronger, "_q", 15),
-    ]
-    gone = drop[0]
-    for d in drop[1:]:
-        gone = gone.union(d)
-    return own.join(gone.distinct(), "id", "left_anti").select(*df.columns)
+    own = cut(own.filter(~is_transient_artifact(F.col("path")) & ~is_transient_artifact(F.col("previous_path"))))
+    act = lambda *names: F.col("action").isin(*names)
+    micros = lambda seconds: F.lit(int(seconds * scale * _S))
+
+    # where a row stands: under paths, and for provisional names under folders, of any or of one kind
+    made, fresh = act("created", *TURNED), act(*CREATED) & F.col("_prov")
+    spot = lambda key, kind, when: F.when(when, F.struct(F.col(key).alias("key"), kind.alias("kind")))
+    path, folder = F.lit(""), F.lit("folder")
+    spots = F.array(
+        spot("_p", path, F.lit(True)), spot("_q", path, act(*TURNED, *CREATED, "deleted")), spot("_pp", path, act("moved")), spot("_pp", folder, made & ~F.col("_prov") | fresh),
+        spot("_pp", F.col("_qkind"), made & (F.col("_q") != "")), spot("_pp", F.col("_kind"), fresh),
+    )
+    there = F.array_distinct(F.filter(spots, lambda x: x["key"].isNotNull() & (x["key"] != "") & x["kind"].isNotNull()))
+    stands = own.select("id", "action", "_us", "_p", "_q", "_pp", "_qp", "_prov", "_qprov", "_kind", "_qkind", "_dot", F.explode(there).alias("_at")).select("*", "_at.*")
+
+    by_path = F.col("kind") == ""
+    at_p, at_q, at_pp = (by_path & (F.col("key") == F.col(c)) for c in ("_p", "_q", "_pp"))
+    makes = F.when(F.col("kind") == "folder", ~F.col("_prov")).otherwise((F.col("_q") != "") & (F.col("kind") == F.col("_qkind")))
+    roles = {
+        "from": act(*TURNED) & at_q,
+        "to": act(*TURNED) & at_p,
+        "gone": act("deleted") & at_p,
+        "alive": (F.col("action") != "deleted") & at_p,
+        "into": act("moved") & at_pp,
+        "new": act(*CREATED) & at_p,
+        "strong": act(*TURNED, *CREATED, "deleted") & (at_p | at_q),
+        "makes": made & ~by_path & makes,
+    }
+    move = act("moved") & (F.col("_q") != "") & F.startswith(F.col("_qp"), F.concat(F.col("_pp"), F.lit("\\")))
+    # (rows that may go, role that lets them, seconds); a move out of a folder below also needs nothing at its new path
+    rules = [
+        (act("deleted") & at_p, "from", 15), (act(*CHANGED) & ~F.col("_dot") & at_p, "into", 30), (fresh & ~by_path, "makes", 45), (act(*TURNED) & F.col("_qprov") & at_p, "new", 15),
+        (act(*CREATED) & at_p, "to", 15), (act(*CHANGED) & at_p, "strong", 15),
+    ]
+    left, landed = (move & at_q, "gone", 30), (move & at_p, "alive", 8)
+
+    halo = micros(45)
+    slot = lambda us: F.floor(us / (4 * halo))
+    stands = stands.select("*", *(F.when(r, F.col("_us")).alias(f"_is_{n}") for n, r in roles.items()))
+    stands = stands.withColumn("_slot", F.explode(F.sequence(slot(F.col("_us") - halo), slot(F.col("_us") + halo)))).withColumn("_home", F.col("_slot") == slot(F.col("_us")))
+    stands = stands.filter(F.col("_home") | F.coalesce(*(F.col(f"_is_{n}") for n in roles)).isNotNull())
+    w = Window.partitionBy("key", "kind", "_slot")
+    stands = stands.withColumn("_n", F.dense_rank().over(w.orderBy("_us", "id")))
+    before, after = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.asc("_n"), F.desc("_n")))
+    stands = stands.select("*", *(F.max(f"_is_{n}").over(before).alias(f"_last_{n}") for n in roles)).select("*", *(F.min(f"_is_{n}").over(after).alias(f"_next_{n}") for n in roles))
+
+    def holds(rows: Column, role: str, seconds: float) -> Column:
+        near = lambda gap: F.coalesce(gap <= micros(seconds), F.lit(False))
+        return F.coalesce(rows, F.lit(False)) & (near(F.col("_us") - F.col(f"_last_{role}")) | near(F.col(f"_next_{role}") - F.col("_us")))
+
+    any_rule = reduce(lambda a, b: a | b, (holds(*r) for r in rules))
+    found = stands.filter("_home").select("id", any_rule.alias("_drop"), holds(*left).alias("_left"), holds(*landed).alias("_landed")).filter("_drop or _left or _landed")
+    gone = found.groupBy("id").agg(F.bool_or("_drop").alias("_drop"), F.bool_or("_left").alias("_left"), F.bool_or("_landed").alias("_landed")).filter("_drop or (_left and not _landed)")
+    return own.join(gone, "id", "left_anti").select(*df.columns)
 
 
 def _sessions(pdfs: Iterator[pd.DataFrame]) -> Iterator[Iterator[dict]]:

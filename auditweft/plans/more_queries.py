@@ -12,7 +12,7 @@ from ..sources.schemas import RULE, TABLES
 from ..streaming import jobs
 from .adapter import audit_events, collected_events
 from .derived import DERIVED, admin_entries, alert_rows, heartbeats, monitored_paths
-from .queries import _DETECT, DEDUP_MIN, WINDOW_MIN, audit, feed, query, test_rules, us
+from .queries import _DETECT, ANOMALIES, DEDUP_MIN, RANGE, WINDOW_MIN, audit, feed, query, test_rules, us
 
 AS_OF = "2024-01-30 12:00:00"
 
@@ -92,27 +92,36 @@ def latest_heartbeats(spark, d):
     return fleet.latest_heartbeats(heartbeats(spark, d)).select("agent_id", us("last_heartbeat_utc", "us"), "last_record_id", F.col("pending_queue_events").alias("pending"))
 
 
-@query(
-    "agent_health",
-    derived(f"""SELECT agent_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - us > 86400000000 THEN 'stale' WHEN pending >= 1000 THEN 'backlog' ELSE status END AS status,
+_HEALTH = f"""SELECT agent_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - us > 86400000000 THEN 'stale' WHEN pending >= 1000 THEN 'backlog' ELSE status END AS status, pending,
     coalesce(message, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 12:00:00') - us > 86400000000 THEN 'no heartbeat for ' || CAST(floor((epoch_us(TIMESTAMP '2024-01-30 12:00:00') - us) / 60000000) AS BIGINT) || ' min'
-      WHEN pending >= 1000 THEN pending || ' events queued' END) AS message FROM ({_LATEST})"""),
-)
+      WHEN pending >= 1000 THEN pending || ' events queued' END) AS message FROM ({_LATEST})"""
+
+
+@query("agent_health", derived(f"SELECT agent_id, status, message FROM ({_HEALTH})"))
 def agent_health(spark, d):
     return fleet.agent_health(heartbeats(spark, d), AS_OF, 1440, 1000).select("agent_id", "status", "message")
 
 
+def _rooted(spark, d):
+    """Monitored paths on volumes d:, D: and E:, and some on none."""
+    dir_ = F.substring_index("path", "dir", -1).cast("int")
+    return monitored_paths(spark, d).withColumn("path", F.concat(F.when(dir_ % 4 == 0, "d:").when(dir_ % 4 == 1, "D:").when(dir_ % 4 == 3, "E:").otherwise(""), "path"))
+
+
+_ROOTED = """, rooted AS (SELECT server, share, status, upper(v) AS volume, v || path AS path FROM (SELECT *, CASE dir % 4 WHEN 0 THEN 'd:' WHEN 1 THEN 'D:' WHEN 3 THEN 'E:' ELSE '' END AS v FROM paths) WHERE status = 'active')"""
+
+
 @query(
     "agent_config",
-    derived("""SELECT server, CAST(0 AS INTEGER) AS volumes, min(share) AS default_share, string_agg(path, '|' ORDER BY share, path) AS paths FROM paths WHERE status = 'active' GROUP BY server"""),
+    derived(_ROOTED + """SELECT server, string_agg(DISTINCT volume, '|' ORDER BY volume) FILTER (volume <> '') AS volumes, min(share) AS default_share, string_agg(path, '|' ORDER BY share, path) AS paths FROM rooted GROUP BY server"""),
 )
 def agent_config(spark, d):
-    return fleet.agent_config(monitored_paths(spark, d)).select("server", F.size("volumes").alias("volumes"), "default_share", F.array_join("paths", "|").alias("paths"))
+    return fleet.agent_config(_rooted(spark, d)).select("server", F.array_join("volumes", "|").alias("volumes"), "default_share", F.array_join("paths", "|").alias("paths"))
 
 
-@query("usn_base_path", derived("SELECT server, 'D:' AS volume, min_by('D:' || path, (length(path), path)) AS base_path FROM paths WHERE status = 'active' GROUP BY server"))
+@query("usn_base_path", derived(_ROOTED + "SELECT server, volume, min_by(path, (length(path), path)) AS base_path FROM rooted WHERE volume <> '' GROUP BY ALL"))
 def usn_base_path(spark, d):
-    return fleet.usn_base_path(monitored_paths(spark, d).withColumn("path", F.concat(F.lit("D:"), "path")))
+    return fleet.usn_base_path(_rooted(spark, d))
 
 
 @query("list_monitored_paths", derived("SELECT server, share, path, priority FROM paths WHERE server = 'FS02' AND status = 'planned'"))
@@ -281,22 +290,24 @@ def hydrate_usn_paths(spark, d):
 
 @query(
     "operational_posture",
-    derived(f"""SELECT *, CASE WHEN critical_open > 0 OR highest_anomaly >= 150 THEN 'high' WHEN open_alerts > 0 OR agents_attention > 0 OR highest_anomaly >= 60 THEN 'watch' ELSE 'stable' END AS posture FROM
+    derived(ANOMALIES.rstrip() + f""" SELECT *, CASE WHEN critical_open > 0 OR highest_anomaly >= 150 THEN 'high' WHEN open_alerts > 0 OR agents_attention > 0 OR highest_anomaly >= 60 THEN 'watch' ELSE 'stable' END AS posture FROM
     (SELECT count(*) FILTER (status = 'open') AS open_alerts, count(*) FILTER (status = 'open' AND severity = 'critical') AS critical_open FROM alerts),
-    (SELECT count(*) FILTER (status <> 'running' OR pending > 0) AS agents_attention FROM ({_LATEST})), (SELECT CAST(max(n) AS DOUBLE) AS highest_anomaly FROM (SELECT count(*) % 100 AS n FROM audit GROUP BY action))"""),
+    (SELECT count(*) FILTER (status <> 'running' OR pending > 0) AS agents_attention FROM ({_HEALTH})), (SELECT max(delta_percent) AS highest_anomaly FROM anomalies)"""),
 )
 def operational_posture(spark, d):
-    anomalies = audit_events(spark, d).groupBy("action").agg((F.count("*") % 100).cast("double").alias("delta_percent"))
-    return reports.operational_posture(alert_rows(spark, d), fleet.latest_heartbeats(heartbeats(spark, d)), anomalies)
+    anomalies = reports.baseline_anomalies(audit_events(spark, d), *RANGE, windows=7, take=8)
+    return reports.operational_posture(alert_rows(spark, d), fleet.agent_health(heartbeats(spark, d), AS_OF, 1440, 1000), anomalies)
 
 
 @query(
     "fleet_counts",
-    derived(f"""SELECT CAST(0 AS BIGINT) AS stale_agents, CAST(0 AS BIGINT) AS backlog_agents, * FROM (SELECT count(*) FILTER (status NOT IN ('running', 'stale', 'backlog')) AS degraded_agents, count(*) FILTER (pending > 0) AS queued_agents FROM ({_LATEST})),
+    derived(f"""SELECT * FROM (SELECT count(*) FILTER (status = 'stale') AS stale_agents, count(*) FILTER (status = 'backlog') AS backlog_agents,
+      count(*) FILTER (status NOT IN ('running', 'stale', 'backlog')) AS degraded_agents, count(*) FILTER (pending > 0) AS queued_agents FROM ({_HEALTH})),
     (SELECT count(*) FILTER (status = 'active') AS active_paths, count(*) FILTER (priority IN ('high', 'critical')) AS priority_paths FROM paths), (SELECT CAST(4 AS BIGINT) AS enabled_rules), (SELECT count(DISTINCT lower(actor)) AS actors FROM admin)"""),
 )
 def fleet_counts(spark, d):
-    return reports.fleet_counts(fleet.latest_heartbeats(heartbeats(spark, d)), monitored_paths(spark, d), test_rules(spark), admin_entries(spark, d))
+    agents = fleet.agent_health(heartbeats(spark, d), AS_OF, 1440, 1000)
+    return reports.fleet_counts(agents, monitored_paths(spark, d), test_rules(spark), admin_entries(spark, d))
 
 
 @query("retention", audit("SELECT server, count(*) FILTER (us >= epoch_us(TIMESTAMP '2024-01-20 12:00:00')) AS kept, (SELECT count(*) FROM audit WHERE us < epoch_us(TIMESTAMP '2024-01-20 12:00:00')) AS purged_count FROM audit GROUP BY server"))
@@ -340,10 +351,24 @@ def audit_details(spark, d):
     return admin_entries(spark, d).select("id", admin.audit_details(F.col("details_json")).alias("details"))
 
 
-@query("timeline_dedup", audit("SELECT id, source FROM audit"))
+@query(
+    "timeline_dedup",
+    audit(""", t AS (SELECT id, event_id AS n, us, us // 1000000 AS s, "user", action, path, previous_path, CASE WHEN event_id % 5 = 0 THEN source || '+security-log' ELSE source END AS source FROM audit),
+    x AS (SELECT * EXCLUDE (n) FROM t UNION ALL SELECT 'a' || id, s * 1000000 + 999999, s, "user", action, path, coalesce(previous_path, ''), source FROM t WHERE n % 3 > 0
+      UNION ALL SELECT 'z' || id, s * 1000000 + CASE WHEN n % 2 = 0 THEN 0 ELSE 999999 END, s, "user", action, path, previous_path, source FROM t)
+    SELECT id, source, CASE WHEN contains(source, 'usn-journal+security-log') THEN 30 WHEN contains(source, 'usn-journal') THEN 20 ELSE 10 END
+      + CASE WHEN action IN ('renamed', 'moved') THEN 30 WHEN action = 'deleted' THEN 20 WHEN action IN ('created', 'created_or_appended') THEN 15 ELSE 5 END AS weight FROM x
+    QUALIFY row_number() OVER (PARTITION BY "user", source, action, path, coalesce(previous_path, ''), s ORDER BY us DESC, id) = 1"""),
+)
 def timeline_dedup(spark, d):
+    """Copies of each row earlier, as late and later in its second; weights are shown, as one key's rows all weigh the same."""
+    n, micros = F.col("id").cast("long"), F.unix_micros("timestamp_utc")
+    second = micros - micros % 1_000_000
     e = audit_events(spark, d)
-    return timeline.timeline_dedup(e.unionByName(e.withColumn("id", F.concat(F.lit("z"), "id")))).select("id", "source")
+    e = e.withColumn("source", F.when(n % 5 == 0, F.concat("source", F.lit("+security-log"))).otherwise(F.col("source")))
+    end = e.filter(n % 3 > 0).withColumns({"timestamp_utc": F.timestamp_micros(second + 999_999), "previous_path": F.coalesce("previous_path", F.lit("")), "id": F.concat(F.lit("a"), "id")})
+    edge = e.withColumns({"timestamp_utc": F.timestamp_micros(second + F.when(n % 2 == 0, 0).otherwise(999_999)), "id": F.concat(F.lit("z"), "id")})
+    return timeline.timeline_dedup(e.unionByName(end).unionByName(edge)).select("id", "source", timeline.weight().alias("weight"))
 
 
 @query(
@@ -390,6 +415,41 @@ def suppress_echoes(spark, d):
     return timeline.suppress_echoes(e, 240.0).select("id", "action")
 
 
+@query(
+    "suppress_provisional_echoes",
+    audit(""", t0 AS (SELECT id, event_id AS n, us, action, '\\\\' || server || '\\' || share || '\\dir' || (k % 4) AS root, '\\f' || (k % 4) || '.txt' AS leaf FROM audit),
+    t1 AS (SELECT id, us, CASE action WHEN 'permission_changed' THEN 'moved' WHEN 'accessed' THEN 'changed' ELSE action END AS a, lower(root || CASE
+        WHEN action = 'created_or_appended' AND n % 3 = 0 OR action = 'renamed' AND n % 6 = 1 THEN '\\New Text Document.txt' WHEN action = 'created_or_appended' AND n % 3 = 1 OR action = 'renamed' AND n % 6 = 3 THEN '\\New Folder'
+        WHEN action = 'deleted' AND n % 2 = 0 THEN '\\sub' || leaf WHEN action = 'accessed' AND n % 5 = 0 THEN '' ELSE leaf END) AS p,
+      lower(root || CASE WHEN action = 'renamed' THEN CASE WHEN n % 3 = 0 THEN '\\New Text Document.txt' ELSE '\\old.txt' END WHEN action = 'permission_changed' THEN '\\sub' || leaf END) AS q FROM t0),
+    v AS (SELECT *, regexp_replace(p, '\\\\[^\\\\]*$', '') AS pp, regexp_replace(q, '\\\\[^\\\\]*$', '') AS qp, contains(regexp_extract(p, '([^\\\\]*)$', 1), '.') AS dot, regexp_matches(p, '\\\\(new text document.txt|new folder)$') AS prov,
+      coalesce(regexp_matches(q, '\\\\new text document.txt$'), false) AS qtext, regexp_matches(p, '\\\\new text document.txt$') AS text FROM t1)
+    SELECT e.id, e.a AS action FROM v e WHERE NOT (e.a = 'deleted' AND EXISTS (SELECT 1 FROM v c WHERE c.id <> e.id AND c.a IN ('renamed', 'moved') AND c.q = e.p AND abs(c.us - e.us) <= 3600000000))
+    AND NOT (e.a = 'moved' AND starts_with(e.qp, e.pp || '\\') AND EXISTS (SELECT 1 FROM v c WHERE c.a = 'deleted' AND c.p = e.q AND abs(c.us - e.us) <= 7200000000)
+      AND NOT EXISTS (SELECT 1 FROM v c WHERE c.id <> e.id AND c.a <> 'deleted' AND c.p = e.p AND abs(c.us - e.us) <= 1920000000))
+    AND NOT (e.a = 'changed' AND NOT e.dot AND EXISTS (SELECT 1 FROM v c WHERE c.a = 'moved' AND c.pp = e.p AND abs(c.us - e.us) <= 7200000000))
+    AND NOT (e.a = 'created_or_appended' AND e.prov AND EXISTS (SELECT 1 FROM v c WHERE c.a IN ('renamed', 'moved') AND c.pp = e.pp AND (NOT c.prov OR e.text AND c.qtext) AND abs(c.us - e.us) <= 10800000000))
+    AND NOT (e.a IN ('renamed', 'moved') AND e.qtext AND EXISTS (SELECT 1 FROM v c WHERE c.a = 'created_or_appended' AND c.p = e.p AND abs(c.us - e.us) <= 3600000000))
+    AND NOT (e.a = 'created_or_appended' AND EXISTS (SELECT 1 FROM v c WHERE c.a IN ('renamed', 'moved') AND c.p = e.p AND abs(c.us - e.us) <= 3600000000))
+    AND NOT (e.a IN ('changed', 'modified') AND EXISTS (SELECT 1 FROM v c WHERE c.a IN ('renamed', 'moved', 'created_or_appended', 'deleted') AND (c.p = e.p OR c.q = e.p) AND abs(c.us - e.us) <= 3600000000))"""),
+)
+def suppress_provisional_echoes(spark, d):
+    """All eight echo rules, on few busy folders with new documents, moves out of folders below and folder changes."""
+    e = audit_events(spark, d)
+    n, act = F.col("id").cast("long"), lambda name: F.col("action") == name
+    k = (F.regexp_extract("path", r"file(\d+)", 1).cast("int") % 4).cast("string")
+    root, leaf = F.concat(F.lit("\\\\"), "server", F.lit("\\"), "share", F.lit("\\dir"), k), F.concat(F.lit("\\f"), k, F.lit(".txt"))
+    text, folder, sub = F.lit("\\New Text Document.txt"), F.lit("\\New Folder"), F.concat(F.lit("\\sub"), leaf)
+    end = F.when(act("created_or_appended") & (n % 3 == 0) | act("renamed") & (n % 6 == 1), text).when(act("created_or_appended") & (n % 3 == 1) | act("renamed") & (n % 6 == 3), folder)
+    end = end.when(act("deleted") & (n % 2 == 0), sub).when(act("accessed") & (n % 5 == 0), "").otherwise(leaf)
+    before = F.when(act("renamed"), F.when(n % 3 == 0, text).otherwise(F.lit("\\old.txt"))).when(act("permission_changed"), sub)
+    e = e.withColumns({
+        "path": F.concat(root, end), "previous_path": F.concat(root, before),
+        "action": F.when(act("permission_changed"), "moved").when(act("accessed"), "changed").otherwise(F.col("action")),
+    })
+    return timeline.suppress_echoes(e, 240.0).select("id", "action")
+
+
 @query("timeline")
 def timeline_all(spark, d):
     return timeline.build_timeline(audit_events(spark, d), 900, 3600).select("id", "user", "action", "path", "previous_path", "display_target")
@@ -442,9 +502,9 @@ def export_alerts_csv(spark, d):
     return writers.export_alerts_csv(alert_rows(spark, d))
 
 
-@query("export_anomalies_csv")
+@query("export_anomalies_csv", audit(ANOMALIES + " SELECT dimension || ',' || name || ',' || current_count || ',' || baseline_average || ',' || delta_percent AS value FROM anomalies"))
 def export_anomalies_csv(spark, d):
-    return writers.export_anomalies_csv(reports.baseline_anomalies(audit_events(spark, d), "2024-01-27 00:00:00", "2024-01-30 00:00:00"))
+    return writers.export_anomalies_csv(reports.baseline_anomalies(audit_events(spark, d), *RANGE, windows=7, take=8))
 
 
 def _scratch(spark, name: str) -> tuple[str, str]:

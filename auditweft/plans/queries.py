@@ -208,15 +208,15 @@ def activity_summary(spark, d):
     return reports.activity_summary(audit_events(spark, d), "2024-01-03 00:00:00", "2024-01-25 00:00:00", server="FS0")
 
 
-@query(
-    "baseline_anomalies",
-    audit(""", w AS (SELECT k AS w, epoch_us(TIMESTAMP '2024-01-27') - k * 3 * 86400000000 AS a, epoch_us(TIMESTAMP '2024-01-30') - k * 3 * 86400000000 AS b FROM range(0, 8) t(k)),
+ANOMALIES = """, w AS (SELECT k AS w, epoch_us(TIMESTAMP '2024-01-27') - k * 3 * 86400000000 AS a, epoch_us(TIMESTAMP '2024-01-30') - k * 3 * 86400000000 AS b FROM range(0, 8) t(k)),
     g AS (SELECT us, 'action' AS dimension, action AS name FROM audit UNION ALL SELECT us, 'share', share FROM audit UNION ALL SELECT us, 'user', "user" FROM audit),
     c AS (SELECT dimension, name, count(*) FILTER (w = 0) AS current_count, count(*) FILTER (w > 0) / 7.0 AS average FROM g JOIN w ON us BETWEEN a AND b GROUP BY 1, 2),
     r AS (SELECT dimension, name, current_count, round_even(CAST(average AS DOUBLE), 2) AS baseline_average,
-      round_even(CASE WHEN average <= 0 THEN 100.0 ELSE CAST(current_count - average AS DOUBLE) / CAST(average AS DOUBLE) * 100 END, 2) AS delta_percent FROM c WHERE current_count > 0)
-    SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY delta_percent DESC, current_count DESC, lower(name)) <= 8"""),
-)
+      round_even(CASE WHEN average <= 0 THEN 100.0 ELSE CAST(current_count - average AS DOUBLE) / CAST(average AS DOUBLE) * 100 END, 2) AS delta_percent FROM c WHERE current_count > 0),
+    anomalies AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY delta_percent DESC, current_count DESC, lower(name)) <= 8)"""
+
+
+@query("baseline_anomalies", audit(ANOMALIES + " SELECT * FROM anomalies"))
 def baseline_anomalies(spark, d):
     return reports.baseline_anomalies(audit_events(spark, d), *RANGE, windows=7, take=8)
 
