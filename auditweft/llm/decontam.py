@@ -5,9 +5,9 @@
    Texts are read once: their item words' numbers are stored and read by the later passes.
 2. A randomised, single-pass singular value decomposition of the passage matrix A: every task adds up
    its part of A'A times a random matrix, parts are summed by blocks of rows, and the Nystroem
-   formula gives the leading right singular vectors. The latent space is the whole span of the item
-   rows and these vectors: no item leaves it, however large the corpus, and a latent cosine is never
-   below the cosine of the full vectors.
+   formula gives the leading right singular vectors. An item's latent space is the span of these
+   vectors and its own row: it doesn't leave the space, however large the corpus, a latent cosine is
+   never below the cosine of the full vectors, and other items have no part in it.
 3. Passages whose latent cosine with an item passes a low threshold are candidates. The longest
    common subsequence of words confirms copies; looser ones (paraphrases) also need the item's
    answer, its last words, to be there. Cosines are taken only where the words around a passage can
@@ -35,8 +35,12 @@ from .words import WordTable, letters_only
 PASSAGE, STRIDE = 48, 24
 #: Most words of an item's segment.
 SEGMENT = 64
-#: Items searched for in one pass over the texts.
+#: Items searched for in one pass over the stored word numbers; results don't depend on it.
 ITEMS = 2000
+#: Most characters of all items; they are held on the driver and sent to every task.
+ITEM_CHARS = 256 << 20
+#: Most words of the singular vectors: the most frequent ones in use. Others have axes of their own.
+LATENT_WORDS = 1 << 16
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -188,7 +192,10 @@ def _times(p: np.ndarray, w: np.ndarray, x: np.ndarray, m: np.ndarray) -> tuple[
 
 
 def _items(bench: DataFrame, id_col: str, text_col: str) -> list[tuple[int, list[str]]]:
-    rows = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).dropDuplicates().orderBy("i", "t").collect()
+    own = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).dropDuplicates()
+    if (own.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0) > ITEM_CHARS:
+        raise ValueError(f"items of more than {ITEM_CHARS} characters: pass them in several calls")
+    rows = own.orderBy("i", "t").collect()
     out = [(r["i"], [w for w in letters_only([x.encode() for x in (r["t"] or "").split()]) if w]) for r in rows]
     return [(i, w) for i, w in out if i is not None and w]
 
@@ -202,7 +209,7 @@ def vocabulary(items: list[tuple[int, list[str]]]) -> dict[str, int]:
 
 
 def latent_space(docs: DataFrame, kind: type, items: list[tuple[int, list[str]]], vocab: dict[str, int], rank: int = 192, common: float = 0.05, own_words: int = 8, seed: int = 1):
-    """(document frequencies, idf, ``rank`` leading right singular vectors of the passages).
+    """(document frequencies, idf, each word's row of the vectors or -1, ``rank`` leading right singular vectors of the passages).
 
     ``docs`` has stored word ids in its column ids. idf is 0 for words in more than ``common`` of all
     passages, except the ``own_words`` rarest of every item: an item that is copied everywhere keeps
@@ -229,8 +236,12 @@ def latent_space(docs: DataFrame, kind: type, items: list[tuple[int, list[str]]]
         ids = np.array(sorted({vocab[w] for w in words}))
         use[ids[np.argsort(df[ids], kind="stable")[:own_words]]] = True
     idf = np.where(use, np.log((total + 1) / (df + 1)) + 1, 0.0)
-    rank = min(rank, size)
-    omega = np.random.default_rng(seed).normal(size=(size, min(size, rank + 16))).astype(np.float32)
+    top = np.flatnonzero(use)
+    top = np.sort(top[np.argsort(-df[top], kind="stable")][:LATENT_WORDS])
+    column = np.full(size, -1)
+    column[top] = np.arange(len(top))
+    rank = min(rank, len(top))
+    omega = np.random.default_rng(seed).normal(size=(len(top), min(len(top), rank + 16))).astype(np.float32)
     block = 512
 
     def sketch(batches):
@@ -238,9 +249,8 @@ def latent_space(docs: DataFrame, kind: type, items: list[tuple[int, list[str]]]
         for batch in batches:
             for _, n_rows, rows, ids in _stored(batch.column(0), kind):
                 _, begin, length = _passages(rows, n_rows)
-                p, w, x = _weights(_terms(ids, begin, length, use), idf)
-                _add_gram(y, p, w, x, omega)
-        for b in range(0, size, block):
+                _add_gram(y, *_axes(*_weights(_terms(ids, begin, length, use), idf), column), omega)
+        for b in range(0, len(omega), block):
             if y[b : b + block].any():
                 yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([y[b : b + block].astype(np.float32).tobytes()], pa.binary())], names=["b", "y"])
 
@@ -261,32 +271,32 @@ def latent_space(docs: DataFrame, kind: type, items: list[tuple[int, list[str]]]
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     half = vectors / np.sqrt(np.maximum(values, 1e-9 * max(values.max(), 1e-12)))
     u, _, _ = np.linalg.svd(y @ half, full_matrices=False)
-    return df, idf, np.ascontiguousarray(u[:, :rank].astype(np.float32))
-
-
-def item_space(p: np.ndarray, w: np.ndarray, x: np.ndarray, n: int, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(square root of the inverse Gram matrix of the item rows, ``basis`` without the span of these rows)."""
-    gram = np.zeros((n, n))
-    for lo in range(0, n, 256):
-        part = (p >= lo) & (p < lo + 256)
-        block = np.zeros((len(basis), min(256, n - lo)), np.float32)
-        block[w[part], p[part] - lo] = x[part]
-        own, rows = _times(p, w, x, block)
-        gram[own, lo : lo + 256] = rows
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    real = values > 1e-5 * values.max()
-    half = vectors[:, real] / np.sqrt(values[real])
-    by_word = np.argsort(w, kind="stable")
-    words, first = np.unique(w[by_word], return_index=True)
-    rest = basis.astype(np.float64)
-    for _ in range(2):  # once more for rounding
-        own, rows = _times(p, w, x, rest)
-        share = np.zeros((n, rest.shape[1]))
-        share[own] = rows
-        share = half @ (half.T @ share)
-        rest[words] -= np.add.reduceat(share[p[by_word]] * x[by_word, None], first, axis=0)
-    u, s, _ = np.linalg.svd(rest, full_matrices=False)
-    return half.astype(np.float32), np.ascontiguousarray(u[:, s > 1e-3].astype(np.float32))
+    return df, idf, column, np.ascontiguousarray(u[:, :rank].astype(np.float32))
+
+
+def _axes(p: np.ndarray, w: np.ndarray, x: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms whose words have a row of the singular vectors, by that row."""
+    keep = column[w] >= 0
+    return p[keep], column[w[keep]], x[keep]
+
+
+def _projected(n: int, p: np.ndarray, w: np.ndarray, x: np.ndarray, column: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates of n rows along the singular vectors."""
+    out = np.zeros((n, basis.shape[1]))
+    own, rows = _times(*_axes(p, w, x, column), basis)
+    out[own] = rows
+    return out
+
+
+def latent_cosines(dots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of passages and items, pair by pair, in the span of the singular vectors and the item.
+
+    ``dots`` are those of the unit vectors, ``a`` and ``b`` the coordinates along the singular vectors.
+    """
+    rest = 1 - (b * b).sum(1)  # of the item's squared length, outside of the singular vectors
+    along = (dots - (a * b).sum(1)) ** 2 / np.maximum(rest, 1e-6)
+    norm = np.sqrt((a * a).sum(1) + np.where(rest > 1e-6, along, 0.0))
+    return np.minimum(dots / np.maximum(norm, 1e-9), 1.0)
 
 
 def _add_gram(y: np.ndarray, p: np.ndarray, w: np.ndarray, x: np.ndarray, omega: np.ndarray) -> None:
@@ -326,19 +336,19 @@ def find(
     of over 64 words each of its equal segments is searched for in this way; those of which ``loose``
     is there count, in order along the text, for the item's share. Null and empty texts and items match
     nothing; repeated rows give one row; rows with null ids are left out, other columns are ignored.
-    Items are searched for in chunks of a fixed size.
+    All items share one vocabulary and one space; more than ``ITEM_CHARS`` characters of items are refused.
     """
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     every = _items(bench, item_col, item_text_col)
     schema = "doc_id long, item_id long, cosine double, lcs double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for part in range(ceil(len(every) / ITEMS)):
-        items = every[part * ITEMS : (part + 1) * ITEMS]
-        vocab = vocabulary(items)
+    if every:
+        vocab = vocabulary(every)
         kind = np.int16 if len(vocab) < 1 << 15 else np.int32
         words = persisted(own.mapInArrow(_encode(vocab, kind), "doc_id long, ids binary"), "words")
-        df, idf, basis = latent_space(words.select("ids"), kind, items, vocab, rank)
-        out = out.union(words.select("ids", "doc_id").mapInArrow(_searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_words, answer_share), schema))
+        space = latent_space(words.select("ids"), kind, every, vocab, rank)
+        for lo in range(0, len(every), ITEMS):
+            out = out.union(words.select("ids", "doc_id").mapInArrow(_searcher(every[lo : lo + ITEMS], vocab, kind, *space, cosine, copied, loose, answer_words, answer_share), schema))
     return out.filter("doc_id is not null").groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"))
 
 
@@ -372,11 +382,11 @@ def rare_words(seqs: list[list[int]], df: np.ndarray, least: float) -> tuple[np.
     return np.concatenate(owner), np.concatenate(words), np.array(hold)
 
 
-def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_words, answer_share):
+def _searcher(items, vocab, kind, df, idf, column, basis, cosine, copied, loose, answer_words, answer_share):
     use = idf > 0
     parts = segments(items)
     p, w, x = item_matrix(parts, vocab, idf)
-    half, basis = item_space(p, w, x, len(parts), basis)
+    item_at = _projected(len(parts), p, w, x, column, basis)
     first, order, item_of = _postings(p, w, len(vocab))
     weight_of = x[order]
     seqs = [[vocab[t] for t in words] for _, words in parts]
@@ -416,18 +426,13 @@ def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_
         pairs = np.unique(passage * np.int64(len(parts)) + np.repeat(item[near], n))
         return pairs // len(parts), pairs % len(parts)
 
-    def cosines(terms, own: np.ndarray) -> np.ndarray:
-        """Latent cosines of the passages ``own`` with all items (0 without a used word)."""
+    def cosines(terms, own: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Latent cosines of pairs of passages, from ``own``, and items (0 without a used word)."""
         p, w, x = _weights(terms, idf)
         p = np.searchsorted(own, p)
         at, posting = _expand(w.astype(np.int64), first)
         dots = np.bincount(p[at] * len(parts) + item_of[posting], x[at] * weight_of[posting], len(own) * len(parts)).reshape(len(own), -1)
-        rest = np.zeros((len(own), basis.shape[1]))
-        if len(p):
-            some, rows = _times(p, w, x, basis)
-            rest[some] = rows
-        norm = np.sqrt(((dots @ half) ** 2).sum(1) + (rest**2).sum(1))
-        return dots / np.maximum(norm, 1e-9)[:, None]
+        return latent_cosines(dots[passage, item], _projected(len(own), p, w, x, column, basis)[passage], item_at[item])
 
     def run(batches):
         for batch in batches:
@@ -445,14 +450,14 @@ def _searcher(items, vocab, kind, df, idf, basis, cosine, copied, loose, answer_
                 for lo in range(0, len(q), 1000):
                     qs, ks = q[lo : lo + 1000], k[lo : lo + 1000]
                     own = np.unique(qs)
-                    scores = cosines(_subset(ids, begin[own], size[own], own, use), own)[np.searchsorted(own, qs), ks]
+                    scores = cosines(_subset(ids, begin[own], size[own], own, use), own, np.searchsorted(own, qs), ks)
                     for i in np.flatnonzero(scores >= cosine):
                         j = int(ks[i])
                         common, answered = confirm(ids[start[qs[i]] : end[qs[i]]], j)
                         if common:
                             key = int(row[qs[i]]), parts[j][0]
                             hits.setdefault(key, []).append((j, int(start[qs[i]]), common, answered))
-                            nearest[key] = max(nearest.get(key, 0.0), float(min(1.0, scores[i])))
+                            nearest[key] = max(nearest.get(key, 0.0), float(scores[i]))
                 for (r, k), own in hits.items():
                     share = share_of(k, own)
                     if share:

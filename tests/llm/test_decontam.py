@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from auditweft.llm import decontam
 
 SF = "/root/testdata/sf0.01"
@@ -176,3 +179,49 @@ def test_items_longer_than_a_passage(spark):
     assert not [d for d, _ in found if d % 100 == 2]
     assert not [(d, i) for d, i in found if d % 100 == 3 and sizes[i] > 130 and found[d, i] >= 0.7]
     assert all(0.5 <= v <= 1 for v in found.values())
+
+
+def _mixed(spark, n=60):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    items = {i: [rng.choice(words) for _ in range(rng.choice([12, 30, 90]))] for i in range(n)}
+    texts = {d: [rng.choice(words) for _ in range(30)] + [w if rng.random() < 0.8 else "other" for w in items[d % n]] + [rng.choice(words) for _ in range(30)] for d in range(2 * n)}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+
+
+def test_chunks_of_items_give_equal_rows(spark, monkeypatch):
+    docs, bench = _mixed(spark)
+
+    def found(items, words):
+        monkeypatch.setattr(decontam, "ITEMS", items)
+        monkeypatch.setattr(decontam, "LATENT_WORDS", words)
+        return {(r.doc_id, r.item_id): (r.lcs, r.cosine) for r in decontam.find(docs, bench).collect()}
+
+    whole = found(2000, 1 << 16)
+    assert len(whole) > 90
+    for words in (1 << 16, 300):
+        one, three = found(2000, words), found(20, words)
+        assert set(one) == set(three) == set(whole)
+        assert all(one[k][0] == three[k][0] and abs(one[k][1] - three[k][1]) < 1e-3 for k in one)
+
+
+def test_the_space_raises_cosines_of_related_words():
+    """Dense check: the cosine in the span of vectors and item, against projection by least squares."""
+    rng = np.random.default_rng(4)
+    basis = np.linalg.qr(rng.normal(size=(40, 6)))[0]
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    passages, items = unit(rng.random((50, 40))), unit(rng.random((50, 40)))
+    got = decontam.latent_cosines((passages * items).sum(1), passages @ basis, items @ basis)
+    for v, x, c in zip(passages, items, got):
+        q = np.linalg.qr(np.column_stack([basis, x]))[0]
+        assert abs(c - q.T @ v @ (q.T @ x) / np.linalg.norm(q.T @ v)) < 1e-9 and c >= v @ x - 1e-12
+    inside = unit((basis @ rng.normal(size=(6, 1))).T)
+    assert abs(decontam.latent_cosines(inside @ inside[0], inside @ basis, inside @ basis)[0] - 1) < 1e-9
+
+
+def test_too_many_items_are_refused(spark, monkeypatch):
+    docs, bench = _mixed(spark, 4)
+    monkeypatch.setattr(decontam, "ITEM_CHARS", 10)
+    with pytest.raises(ValueError, match="several calls"):
+        decontam.find(docs, bench)
