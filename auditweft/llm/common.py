@@ -77,3 +77,11 @@ def slices(col: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]
         total += int(n)
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted, slices
+from .common import free, persisted, slices
 from .textnum import mix, raw_bytes, word_bounds, word_hashes
 
 #: Leading tokens that make a leaf.
@@ -194,7 +194,15 @@ def recurring_lines(docs: DataFrame, least: int = 5, min_docs: int = 3, similar:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, min_docs: int = 3, similar: float = 0.8, generalise: int = 12
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: int = 5,
+    min_docs: int = 3,
+    similar: float = 0.8,
+    generalise: int = 12,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
 ) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and the counts n_lines, n_dropped.
 
@@ -203,22 +211,25 @@ def drop_recurring_lines(
     where it comes first (by id, then line). Lines under ``generalise`` tokens share a template only
     if they differ in tokens with digits; longer ones if at least ``similar`` of the template's constant places agree.
     Exact repetitions of a row count as one document. Null texts stay null; null ids sort first;
-    a text all of whose lines go is empty. Other columns are kept as they are.
+    a text all of whose lines go is empty. Other columns are kept as they are; where ``docs`` has a
+    column of a count's name already, ValueError asks for another name (``lines_col``, ``dropped_col``).
     """
+    for c in (lines_col, dropped_col):
+        if free(docs, c) != c:
+            raise ValueError(f"documents have a column {c}: name the counts by lines_col and dropped_col")
     fp = F.xxhash64(F.col(text_col))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), fp.alias("fp"), F.col(text_col).cast("string").alias("text"))
     drop, _ = recurring_lines(own, least, min_docs, similar, generalise)
-    per_doc = persisted(drop.groupBy("doc_id", "fp").agg(F.collect_set(F.col("line").cast("int")).alias("_gone")), "drops")
+    per_doc = persisted(drop.groupBy("doc_id", "fp").agg(F.collect_set(F.col("line").cast("int")).alias("gone")), "drops")
     # the documents with drops grow with the corpus: a merge join at every size
-    few = per_doc.hint("merge").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "_gone")
-    out = docs.withColumn("_own", fp).join(few, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left")
+    mark, doc, text_fp, gone = (free(docs, c) for c in ("_own", "_id", "_fp", "_gone"))
+    few = per_doc.hint("merge").select(F.col("doc_id").alias(doc), F.col("fp").alias(text_fp), F.col("gone").alias(gone))
+    out = docs.withColumn(mark, fp).join(few, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(text_fp)), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_gone", i))
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(gone, i))
     return (
-        out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("_own", "_id", "_fp", "_gone")
+        out.withColumn(lines_col, F.coalesce(F.size(parts), F.lit(0)).cast("long"))
+        .withColumn(dropped_col, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+        .drop(mark, doc, text_fp, gone)
     )
-
-

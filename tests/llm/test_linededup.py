@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from auditweft.llm.linededup import drop_recurring_lines
 
 
@@ -70,6 +72,16 @@ def test_odd_rows_and_clashing_columns(spark):
     assert got == [(0, line, 0), (1, "", 1), (1, "", 1), (2, "~", 0), (3, "", 0), (4, "", 1), (5, "", 1)]
 
 
+def test_columns_named_like_the_operators_own(spark):
+    line = "one two three four five six"
+    rows = [(d, line, "a", "b", "c", "d", 9) for d in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own string, _id string, _FP string, _gone string, n_dropped long")
+    out = drop_recurring_lines(df, dropped_col="gone_lines").collect()
+    assert sorted((r.doc_id, r.text, r._own, r._id, r._FP, r._gone, r.n_dropped, r.gone_lines) for r in out) == [(d, line if d == 0 else "", "a", "b", "c", "d", 9, int(d > 0)) for d in range(4)]
+    with pytest.raises(ValueError, match="n_dropped"):
+        drop_recurring_lines(df)
+
+
 def test_empty_table(spark):
     assert drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

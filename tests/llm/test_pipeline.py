@@ -40,7 +40,7 @@ def test_stages_on_the_small_tables(spark):
 def odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "123 .. !!", None, None, 9), (4, long, "en", "s", 1), (5, "two words", "en", "s", 9), (5, "two words", "en", "s", 9), (None, "a row without an id", "en", "s", 19), (6, " \n\n ", "en", "s", 4)]
-    return spark.createDataFrame([(*r, 0.5, "x", "y") for r in rows], COLUMNS + ", score double, _score string, `odd.name` string")
+    return spark.createDataFrame([(*r, 0.5, "x", "y", "t", 7, "g") for r in rows], COLUMNS + ", score double, _score string, `odd.name` string, _toxicity string, N_Dropped long, _gone string")
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
