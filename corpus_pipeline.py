@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweft.llm import decontam, linededup, ngram_join, packing, toxicity
-from auditweft.llm.common import persisted, read
+from auditweft.llm.common import free, persisted, read
 from auditweft.llm.queries import fold, tokenizer_file
 
 #: SQL can't express the trained, latent and packing stages.
@@ -26,14 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labels of both kinds nothing goes.
     """
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~fold(3, 1))
-    return toxicity.scored(docs, model, out_col="_toxicity").filter("_toxicity < 0.7").drop("_toxicity")
+    name = free(docs, "toxicity")
+    return toxicity.scored(docs, model, out_col=name).filter(F.col(name) < 0.7).drop(name)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines leave the texts (their first place keeps them); every document stays."""
-    out = linededup.drop_recurring_lines(docs)
+    lines, dropped = free(docs, "n_lines"), free(docs, "n_dropped")
+    out = linededup.drop_recurring_lines(docs, lines_col=lines, dropped_col=dropped)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(f"`{c}`" for c in docs.columns))
 
 
