@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys are counted by hash bucket, so that the table of counts never has more rows than this.
 BUCKETS = 1 << 16
 #: Rows of either side that one cell should hold.
 CELL = 20_000
+#: Rows that one task should sort at once.
+ROWS = 100_000
 
 
 def grid_sides(left: DataFrame, right: DataFrame, on: list[str], spread: tuple[str, str], cell: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -35,3 +39,20 @@ def grid_join(left: DataFrame, right: DataFrame, on: list[str], spread: tuple[st
     """Inner equi-join on ``on`` by ``grid_sides``; the result doesn't depend on ``cell``."""
     a, b = grid_sides(left, right, on, spread, cell)
     return a.join(b, [*on, "_row_cell", "_col_cell"]).drop("_row_cell", "_col_cell")
+
+
+def met_sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides without rows whose keys' hash bucket is empty on the other side; at most BUCKETS rows are broadcast."""
+    bucket = lambda df: df.withColumn("_bucket", F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int"))
+    left, right = bucket(left), bucket(right)
+    seen = F.broadcast(left.select("_bucket").distinct().join(right.select("_bucket").distinct(), "_bucket"))
+    return left.join(seen, "_bucket").drop("_bucket"), right.join(seen, "_bucket").drop("_bucket")
+
+
+def dealt(df: DataFrame, rows: int, *on: str | Column, per_task: int = ROWS) -> DataFrame:
+    """Rows by key in as many partitions as ``rows`` of them need, so that a task's share doesn't grow with the input.
+
+    Repetitive rows shrink by a factor of fifty when they are shuffled; partitions merged by their shuffled
+    size would hold gigabytes once sorted.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / per_task)), *on)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.text import is_blank, is_operational_noise, is_provisional_folder, is_transient_artifact, leaf_name, parent_path, path_key, provisional_kind
 from .components import components
 from .hydrate import cut
+from .skew import dealt, met_sides
 
 CHANGED = ["changed", "modified"]
 CREATED = ["created", "created_or_appended"]
@@ -62,28 +63,37 @@ def resolve_unknown_users(df: DataFrame, window_s: int = 60) -> DataFrame:
     """UNKNOWN users become the nearest known user with a related path on the same server and share.
 
     Paths are related if equal, one above the other, or in one folder. Relations become equality of
-    a shared ancestor key, so that a busy share isn't compared row by row; ties: newest, then id.
+    a shared ancestor key; ties: newest, then id. Of all known rows under a key only the last one before an
+    unknown row and the next one after it can be the nearest, so that a sorted pass in slices of time finds
+    them, linear in rows however many share a key. Keys that only one side has go before the shuffle.
     """
     width = window_s * _S
     us = F.unix_micros("timestamp_utc")
     paths = F.filter(F.array(path_key(F.col("path")), path_key(F.col("previous_path"))), lambda p: p.isNotNull() & (p != ""))
-    base = df.select("id", "server", "share", "user", us.alias("us"), paths.alias("paths"))
+    base = df.select("id", "server", "share", "user", us.alias("us"), paths.alias("paths")).filter("server IS NOT NULL AND share IS NOT NULL AND us IS NOT NULL")
     up = lambda p: F.substring_index(p, "\\", -1)
     parent = lambda p: F.when(F.length(p) > F.length(up(p)) + 1, F.substring(p, F.lit(1), F.length(p) - F.length(up(p)) - 1)).otherwise(p)
-    parts = lambda p: F.split(p, r"\\")
-    above = lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda n: F.array_join(F.slice(parts(p), F.lit(1), n), "\\"))
+    parts = F.transform("paths", lambda p: F.split(p, r"\\"))
+    above = lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda n: F.array_join(F.slice(x, F.lit(1), n), "\\"))).otherwise(F.array().cast("array<string>"))
     tag = lambda t, values: F.transform(values, lambda x: F.concat(F.lit(t), x))
-    all_above = F.flatten(F.transform("paths", above))
-    # asked|held: own path below or at theirs, theirs below own, same folder
+    all_above = F.flatten(F.transform(parts, above))
+    # asked|held: own path below theirs, theirs below own, same folder (equal paths are in one folder as well)
     asks = F.array_distinct(F.concat(tag("at:", all_above), tag("in:", F.col("paths")), tag("by:", F.transform("paths", parent))))
     holds = F.array_distinct(F.concat(tag("at:", F.col("paths")), tag("in:", all_above), tag("by:", F.transform("paths", parent))))
-    ask = base.filter("user = 'UNKNOWN'").select("id", "server", "share", "us", F.floor(F.col("us") / width).alias("slot"), F.explode(asks).alias("key"))
-    hold = base.filter("user <> 'UNKNOWN'").select(
-        F.col("id").alias("_id"), "server", "share", F.col("us").alias("_us"), F.col("user").alias("_user"), F.explode(holds).alias("key"), F.floor(F.col("us") / width).alias("_slot")
-    )
-    hold = hold.withColumn("slot", F.explode(F.array(F.col("_slot") - 1, F.col("_slot"), F.col("_slot") + 1)))
-    near = ask.join(hold, ["server", "share", "slot", "key"]).withColumn("gap", F.abs(F.col("us") - F.col("_us"))).filter(F.col("gap") <= width)
-    best = near.groupBy("id").agg(F.min_by("_user", F.struct("gap", -F.col("_us"), "_id")).alias("_user"))
+    slot = lambda t: F.floor(t / (4 * width))
+    ask = base.filter("user = 'UNKNOWN'").select("id", "server", "share", "us", F.lit(None).cast("string").alias("user"), F.lit(1).alias("kind"), F.explode(asks).alias("key"))
+    hold = base.filter("user <> 'UNKNOWN'").select("id", "server", "share", "us", "user", F.lit(0).alias("kind"), F.explode(holds).alias("key"))
+    ask, hold = met_sides(ask, hold, ["server", "share", "key"])
+    hold = hold.withColumn("slot", F.explode(F.sequence(slot(F.col("us") - width), slot(F.col("us") + width))))
+    rows = dealt(ask.withColumn("slot", slot(F.col("us"))).unionByName(hold), 4 * df.count(), "server", "share", "key", "slot")
+    w = Window.partitionBy("server", "share", "key", "slot")
+    held = F.when(F.col("kind") == 0, F.struct("us", "id", "user"))
+    # of rows of one time the least id stands last
+    near = lambda order: F.last(held, ignorenulls=True).over(w.orderBy(order, "kind", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("id", "us", "kind", near(F.asc("us")).alias("_a"), near(F.desc("us")).alias("_b")).filter("kind = 1")
+    gap = lambda c: F.struct(F.abs(F.col("us") - F.col(f"{c}.us")).alias("gap"), (-F.col(f"{c}.us")).alias("us"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.user").alias("user"))
+    close = lambda c: F.when(F.abs(F.col("us") - F.col(f"{c}.us")) <= width, gap(c))
+    best = found.groupBy("id").agg(F.min(F.least(close("_a"), close("_b"))).alias("_best")).select("id", F.col("_best.user").alias("_user"))
     return df.join(best, "id", "left").select(*(F.coalesce("_user", "user").alias("user") if c == "user" else F.col(c) for c in df.columns))
 
 

@@ -1,7 +1,11 @@
 """Timeline consolidation, echoes, user resolution and path rebuild on small literal inputs."""
 
+import random
+import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from auditweft.operators import hydrate, timeline
 from auditweft.sources.schemas import EVENT
 
@@ -67,3 +71,36 @@ def test_paths_follow_renamed_folders(spark):
     assert got[4] == ("D:\\base\\papers", "D:\\base\\docs", "renamed")
     assert got[7][:2] == ("D:\\base\\papers\\c.txt", None) and got[8][0] == "D:\\base\\a.txt"
     assert got[9][0] == "X:\\own\\z.txt" and got[10][0] == "D:\\base\\"
+
+
+def test_unknown_users_equal_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        path = rng.choice(["d", "d\\a.txt", "d\\b.txt", "d\\sub\\c.txt", "e\\a.txt", "e", "d\\sub"])
+        previous = {"previous_path": rng.choice(["d\\a.txt", "e\\z\\y.txt"])} if rng.random() < 0.2 else {}
+        rows.append(event(i, "renamed", path, rng.randrange(0, 1200, 5), user=rng.choice(["UNKNOWN", "ana", "bo", "eve"]), share=rng.choice(["Dados", "RH"]), **previous))
+    df = spark.createDataFrame(rows, EVENT)
+    got = {r.id: r.user for r in timeline.resolve_unknown_users(df).collect()}
+    at = [dict(zip(FIELDS, r)) for r in rows]
+    for r in at:
+        r["paths"] = [p.lower() for p in (r["path"], r["previous_path"]) if p]
+    near = lambda p, q: p.startswith(q + "\\") or q.startswith(p + "\\") or p.rpartition("\\")[0] == q.rpartition("\\")[0]
+    for a in at:
+        found = [
+            (abs(a["timestamp_utc"] - b["timestamp_utc"]), START - b["timestamp_utc"], b["id"], b["user"]) for b in at
+            if b["user"] != "UNKNOWN" and b["share"] == a["share"] and abs(a["timestamp_utc"] - b["timestamp_utc"]) <= timedelta(seconds=60) and any(near(p, q) for p in a["paths"] for q in b["paths"])
+        ]
+        assert got[a["id"]] == (min(found)[3] if a["user"] == "UNKNOWN" and found else a["user"])
+
+
+def test_unknown_users_of_a_busy_folder_form_no_pairs(spark):
+    """20,000 unknown rows and as many known ones in one minute of one folder: 400 million pairs."""
+    n = F.col("id")
+    df = spark.range(40_000).select(
+        n.cast("string").alias("id"), F.timestamp_seconds(1_700_000_000 + n / 1000).alias("timestamp_utc"), F.lit("S").alias("server"), F.lit("D").alias("share"), F.concat(F.lit("\\\\S\\D\\d\\f"), n % 7).alias("path"),
+        F.lit(None).cast("string").alias("previous_path"), F.when(n % 2 == 0, "UNKNOWN").otherwise(F.concat(F.lit("u"), n)).alias("user"),
+    )
+    began = time.time()
+    assert timeline.resolve_unknown_users(df).filter(F.col("user") == F.concat(F.lit("u"), (F.col("id") + 1).cast("long"))).filter("id % 2 = 0").count() == 20_000
+    assert time.time() - began < 20
