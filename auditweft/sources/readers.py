@@ -93,10 +93,20 @@ def read_usn_csv(spark: SparkSession, path: str, server: str, share: str, volume
     ).filter(F.col("usn") > start_usn)
 
 
+# Fields of a security record, and a character that no XML document can hold.
+XML_FIELDS = ["ObjectName", "RelativeTargetName", "TargetFilename", "FileName", "FilePath", "Name", "ObjectType", "AccessMask", "AccessList", "SubjectDomainName", "SubjectUserName", "SubjectUserSid", "ProcessName"]
+XML_NEVER = "\uffff"
+
+
 def parse_security_xml(df: DataFrame, server: str, share: str) -> DataFrame:
-    """Security records (record_id, event_id, time_created, xml) as collected events; unreadable XML goes."""
-    d = lambda name: F.xpath_string("xml", F.lit(f'Event/EventData/Data[@Name="{name}"]'))
+    """Security records (record_id, event_id, time_created, xml) as collected events; unreadable XML goes.
+
+    A record is parsed once: one expression gives all fields, parted by a character that XML excludes.
+    """
     plain = df.filter(F.col("xml").rlike(r"(?s)^\s*<(?:\?xml[^>]*>\s*<)?Event[\s>].*</Event>\s*$")).withColumn("xml", F.regexp_replace("xml", r"\sxmlns=(\"[^\"]*\"|'[^']*')", ""))
+    fields = f', "{XML_NEVER}", '.join(f'Event/EventData/Data[@Name="{name}"]' for name in XML_FIELDS)
+    plain = plain.withColumn("_data", F.split(F.xpath_string("xml", F.lit(f"concat({fields})")), XML_NEVER, -1))
+    d = lambda name: F.get("_data", F.lit(XML_FIELDS.index(name)))
     path = decode.resolve_security_path(d("ObjectName"), *(d(n) for n in ("RelativeTargetName", "TargetFilename", "FileName", "FilePath", "Name")))
     kind = decode.security_object_type(d("ObjectType"))
     return plain.select(

@@ -118,3 +118,19 @@ def test_next_row_over_segments(spark, bits):
         own = [r[3] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])]
         want |= dict(zip(own, [*own[1:], None]))
     assert got == want
+
+
+def test_security_xml_is_parsed_once(spark):
+    data = lambda **kw: "".join(f'<Data Name="{k}">{v}</Data>' for k, v in kw.items())
+    event = lambda body: f'<Event xmlns="http://x"><EventData>{body}</EventData></Event>'
+    rows = [
+        (1, event(data(ObjectName="D:\\Dados\\a &amp; b.txt", ObjectType="File", AccessMask="0x10000", SubjectDomainName="E", SubjectUserName="x", SubjectUserSid="S-1", ProcessName="p.exe"))),
+        (2, event(data(ObjectName="", ObjectType="", AccessMask="0x2", SubjectUserName="y", FileName="D:\\Dados\\<![CDATA[c<d.doc]]>") + data(FileName="later"))),
+    ]
+    df = spark.createDataFrame([(i, 4663, x) for i, x in rows], "record_id long, event_id int, xml string").withColumn("time_created", F.lit("2024-01-01").cast("timestamp"))
+    out = readers.parse_security_xml(df, "FS01", "Dados")
+    # every further call would parse the whole record again
+    assert out._jdf.queryExecution().optimizedPlan().toString().count('Data[@Name="ObjectName"]') == 1
+    got = {r.record_id: (r.path, r.action, r.user, r.sid, r.process_name, r.extension) for r in out.collect()}
+    assert got[1] == ("D:\\Dados\\a & b.txt", "deleted", "E\\x", "S-1", "p.exe", ".txt")
+    assert got[2][0] == "D:\\Dados\\c<d.doc" and got[2][3:] == (None, None, ".doc")
