@@ -10,6 +10,7 @@ from ..functions.text import path_key, severity_rank
 from .hydrate import cut
 from .reports import limit_of
 from .rules import counted_action, raised_severity, reached, rule_applies, suspicious
+from .skew import dealt
 
 _MINUTE = 60_000_000
 
@@ -69,7 +70,9 @@ def _firings(moments: DataFrame, events: DataFrame | None, window_us: int) -> Da
     own = Window.partitionBy(*RULE, *WHO, "slice")
     so_far = own.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
     to_come = own.orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    run = asked.union(told).select(
+    # at most two ends for every point, and points of an event by rule only where the rule has hits
+    rows = 2 * (moments if events is None else events).count() + moments.count()
+    run = dealt(asked.union(told), rows, *RULE, *WHO, "slice").select(
         "*", F.sum("n").over(so_far).alias("c"), F.sum("m").over(so_far).alias("d"), F.max("hit_us").over(so_far).alias("last"), F.min("hit_us").over(to_come).alias("first")
     )
     end = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
@@ -95,7 +98,7 @@ def _unsuppressed(fired: DataFrame, dedup_us: int) -> DataFrame:
     own = Window.partitionBy("_key", "slice")
     ahead = own.orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, -1)
     behind = own.orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    seen = spots.select("*", F.max(at).over(ahead).alias("before"), F.min(at).over(behind).alias("after")).filter("own")
+    seen = dealt(spots, 4 * fired.count(), "_key", "slice").select("*", F.max(at).over(ahead).alias("before"), F.min(at).over(behind).alias("after")).filter("own")
     links = cut(seen.groupBy("_key", "us").agg(F.max(F.when(F.col("kind") == 0, F.col("before"))).alias("before"), F.max(F.when(F.col("kind") == 1, F.col("after"))).alias("to")))
     kept = links.filter(F.col("before").isNull() | (F.col("us") - F.col("before") > dedup_us)).select("_key", "us")
     jump = links.filter("to IS NOT NULL").select("_key", "us", "to")
