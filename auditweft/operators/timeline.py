@@ -152,6 +152,7 @@ def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     stands = stands.select("*", *(F.when(r, F.col("_us")).alias(f"_is_{n}") for n, r in roles.items()))
     stands = stands.withColumn("_slot", F.explode(F.sequence(slot(F.col("_us") - halo), slot(F.col("_us") + halo)))).withColumn("_home", F.col("_slot") == slot(F.col("_us")))
     stands = stands.filter(F.col("_home") | F.coalesce(*(F.col(f"_is_{n}") for n in roles)).isNotNull())
+    stands = dealt(stands, 4 * own.count(), "key", "kind", "_slot")
     w = Window.partitionBy("key", "kind", "_slot")
     stands = stands.withColumn("_n", F.dense_rank().over(w.orderBy("_us", "id")))
     before, after = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.asc("_n"), F.desc("_n")))

@@ -24,3 +24,12 @@ def test_trailing_windows_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(skew, "ROWS", 10)
     assert parts(alerts._firings(alerts._moments(e, r, True), e, 300_000_000), "slice") >= 60
     assert want and sorted(map(tuple, alerts.detect_alerts(e, r).collect())) == want
+
+
+def test_echoes_are_dealt_by_rows(spark, monkeypatch):
+    e = events(spark)
+    want = sorted(map(tuple, timeline.suppress_echoes(e).collect()))
+    monkeypatch.setattr(skew, "ROWS", 10)
+    out = timeline.suppress_echoes(e)
+    assert parts(out, "_slot") >= 120
+    assert want and sorted(map(tuple, out.collect())) == want
