@@ -52,7 +52,7 @@ def met_sides(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFra
 def dealt(df: DataFrame, rows: int, *on: str | Column) -> DataFrame:
     """Rows by key in as many partitions as ``rows`` of them need, so that a task's share doesn't grow with the input.
 
-    Repetitive rows shrink by a factor of fifty when they are shuffled; partitions merged by their shuffled
-    size would hold gigabytes once sorted.
+    Repetitive rows shrink much when they are shuffled, so that partitions merged by their shuffled size
+    hold far more once sorted.
     """
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / ROWS)), *on)
