@@ -19,8 +19,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Callable, Iterator
-from math import ceil
+from collections.abc import Callable, Generator, Iterator
+from math import isqrt
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,8 @@ _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _SPACE = re.compile(r"\s+")
 #: Trees folded at a time.
 GROUP = 64
-#: Like siblings in a row that have slots of their own; further ones share the last one's.
-RUN = 16
-#: Most pairs of children that are weighed by their subtrees, in one pair of lists and in one alignment; further
-#: ones weigh by label and equality alone.
-CELLS, ALL_CELLS = 250_000, 5_000_000
-#: Most pairs of children aligned at once; longer lists are cut in as many parts as needed.
-MOST_CELLS = 100_000_000
+#: Pairs of subtrees and cells of rows whose weights are remembered; others are weighed again.
+MEMO = 1 << 20
 #: Most bytes of wrappers sent to every executor at once.
 BROADCAST_BYTES = 32 << 20
 
@@ -163,8 +159,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
     if at < n:
         parts.append((page[at:], links > 0))
     flush()
-    same = shorten(root)
-    return root, [(same.get(b[0], b[0]), *b[1:]) for b in blocks] if same else blocks
+    return root, blocks
 
 
 def preorder(root: Node) -> list[Node]:
@@ -196,31 +191,6 @@ class Shapes:
             node.shape = self.known[key]
 
 
-def shorten(root: Node) -> dict[Node, Node]:
-    """Takes like siblings beyond RUN in a row out of the tree; gives the node that stands for each."""
-    every = preorder(root)
-    if all(len(node.kids) <= RUN for node in every):
-        return {}
-    Shapes().number(root)
-    out: dict[Node, Node] = {}
-    for node in reversed(every):
-        kept: list[Node] = []
-        run = 0
-        for kid in node.kids:
-            run = run + 1 if kept and kept[-1].shape == kid.shape else 1
-            if run <= RUN:
-                kept.append(kid)
-            else:
-                out.update(zip(preorder(kid), preorder(kept[-1])))
-        node.kids = kept
-    for node in out:  # the node that stands for one may itself have gone with its parent
-        end = node
-        while end in out:
-            end = out[end]
-        out[node] = end
-    return out
-
-
 def to_text(root: Node) -> str:
     """The tree in preorder, a line of depth and label for each node."""
     out, todo = [], [(0, root)]
@@ -249,46 +219,69 @@ def numbered(root: Node) -> Node:
     return root
 
 
-def matched(a: list[int], b: list[int], weights: Callable[[int], np.ndarray], equal: bool = True) -> tuple[int, list[tuple[int, int]]]:
-    """(weight, pairs of places) of the best order-preserving matching of two lists.
+Weighing = Generator[tuple[int, int], int, Any]
+
+
+def matched(n: int, m: int, weights: Callable[[int], Weighing]) -> Weighing:
+    """(weight, pairs of places) of the best order-preserving matching of lists of n and m items.
 
-    ``weights`` gives a place of ``a`` its weights with all places of ``b``. The rows of the recurrence
-    are array operations; what each step did is kept as bits.
+    ``weights`` gives a place of the first list its weights with all places of the other; pairs that have to
+    be weighed first are yielded. The rows of the recurrence are array operations. Only the first row of each
+    block of rows is kept; on the way back the block's steps are found again, as bits, so that memory grows
+    with m times the root of n.
     """
-    n, m = len(a), len(b)
-    last = np.zeros(m + 1, np.int64)
-    steps = []
-    for i in range(n):
-        w = weights(i)
+    size = max(64, isqrt(n))
+
+    def row(i: int, last: np.ndarray) -> Weighing:
+        w = yield from weights(i)
         diagonal = np.where(w > 0, last[:-1] + w, -1)
-        row = np.zeros(m + 1, np.int64)
-        np.maximum(last[1:], diagonal, out=row[1:])
-        np.maximum.accumulate(row, out=row)
-        steps.append((np.packbits(diagonal == row[1:]), np.packbits(row[:-1] == row[1:])))
-        last = row
-    pairs = []
+        out = np.zeros(m + 1, np.int64)
+        np.maximum(last[1:], diagonal, out=out[1:])
+        np.maximum.accumulate(out, out=out)
+        return out, diagonal
+
+    starts = [np.zeros(m + 1, np.int64)]
+    for k in range(size, n, size):
+        last = starts[-1]
+        for i in range(k - size, k):
+            last, _ = yield from row(i, last)
+        starts.append(last)
+    total, pairs = None, []
     i, j = n, m
     bit = lambda bits, k: bits[k >> 3] >> (7 - (k & 7)) & 1
     while i and j:
-        if bit(steps[i - 1][0], j - 1):
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif bit(steps[i - 1][1], j - 1):
-            j -= 1
-        else:
-            i -= 1
-    return int(last[-1]), pairs[::-1]
+        first = (i - 1) // size * size
+        last, steps = starts[first // size], []
+        for k in range(first, i):
+            last, diagonal = yield from row(k, last)
+            steps.append((np.packbits(diagonal == last[1:]), np.packbits(last[:-1] == last[1:])))
+        total = int(last[-1]) if total is None else total
+        while i > first and j:
+            up, left = steps[i - 1 - first]
+            if bit(up, j - 1):
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif bit(left, j - 1):
+                j -= 1
+            else:
+                i -= 1
+    return total or 0, pairs[::-1]
 
 
 class Matcher:
-    """Simple tree matching of subtrees, each pair of unlike ones weighed once, without recursion."""
+    """Simple tree matching of subtrees, each pair of unlike ones weighed once, without recursion.
+
+    Lists of any length and trees of any size are aligned by the same weights. Time grows with the pairs of
+    unlike subtrees, memory doesn't: beyond MEMO pairs the remembered weights start anew.
+    """
 
     def __init__(self, *roots: Node):
-        self.shapes, self.known, self.cells = Shapes(), {}, 0
+        self.shapes, self.known = Shapes(), {}
         for root in roots:
             self.shapes.number(root)
         labels: dict[str, int] = {}
         self.label = np.array([labels.setdefault(x, len(labels)) for x in self.shapes.labels])
+        self.inner = np.array([bool(k) for k in self.shapes.kids])
 
     def _middle(self, a, b) -> tuple[int, int, int]:
         """(equal children at the start, ends of the rest of both): like children at both ends match in some best matching."""
@@ -299,69 +292,70 @@ class Matcher:
             n, m = n - 1, m - 1
         return lo, n, m
 
-    def _rough(self, x: int, y: np.ndarray) -> np.ndarray:
-        return (self.label[x] == self.label[y]) * np.where(y == x, self.shapes.sizes[x], 1)
-
-    def _rows(self, a, b) -> Callable[[int], np.ndarray]:
-        """Weights of children by their subtrees, if the pairs aren't too many."""
+    def _rows(self, a, b) -> Callable[[int], Weighing]:
+        """Weights of children by their subtrees."""
         other = np.array(b, np.int64)
-        if len(a) * len(b) > CELLS or self.cells > ALL_CELLS:
-            return lambda i: self._rough(a[i], other)
+        label, inner = self.label[other], self.inner[other]
         made: dict[int, np.ndarray] = {}
 
-        def row(i: int) -> np.ndarray:
-            if a[i] not in made:
-                made[a[i]] = np.array([self.known.get((a[i], y), self.shapes.sizes[y] if y == a[i] else 0) for y in b], np.int64)
-            return made[a[i]]
+        def row(i: int) -> Weighing:
+            x = a[i]
+            if x in made:
+                return made[x]
+            alike = label == self.label[x]
+            w = alike * np.where(other == x, self.shapes.sizes[x], 1)
+            if self.inner[x]:  # a subtree without children matches by its root alone
+                places = np.flatnonzero(alike & inner & (other != x))
+                ys = other[places].tolist()
+                found = {}
+                for y in dict.fromkeys(ys):
+                    known = self.known.get((x, y))
+                    found[y] = (yield x, y) if known is None else known
+                w[places] = [found[y] for y in ys]
+            if len(made) * len(b) <= MEMO:
+                made[x] = w
+            return w
 
         return row
 
-    def weight(self, x: int, y: int) -> int:
-        """Size of the largest order-preserving matching of two subtrees whose roots match."""
-        todo = [(x, y)]
+    def _weighed(self, x: int, y: int) -> Weighing:
+        """Size of the largest order-preserving matching of two subtrees; 0 unless their roots match."""
+        if x == y or self.label[x] != self.label[y]:
+            return self.shapes.sizes[x] if x == y else 0
+        a, b = self.shapes.kids[x], self.shapes.kids[y]
+        lo, n, m = self._middle(a, b)
+        out = 1 + sum(self.shapes.sizes[k] for k in (*a[:lo], *a[n:]))
+        if n > lo and m > lo:
+            out += (yield from matched(n - lo, m - lo, self._rows(a[lo:n], b[lo:m])))[0]
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        self.known[x, y] = out
+        return out
+
+    def _run(self, work: Weighing):
+        """What ``work`` returns; the pairs that it yields are weighed first, on a stack of their own."""
+        todo, value = [work], None
         while todo:
-            x, y = pair = todo[-1]
-            if x == y or self.label[x] != self.label[y]:
-                todo.pop()
-                continue
-            if pair in self.known:
+            try:
+                pair = todo[-1].send(value)
+            except StopIteration as end:
                 todo.pop()
-                continue
-            a, b = self.shapes.kids[x], self.shapes.kids[y]
-            lo, n, m = self._middle(a, b)
-            u, v = a[lo:n], b[lo:m]
-            if len(u) * len(v) <= CELLS and self.cells <= ALL_CELLS:
-                need = [(i, j) for i in dict.fromkeys(u) for j in dict.fromkeys(v) if i != j and self.label[i] == self.label[j] and (i, j) not in self.known]
-                if need:
-                    todo += need
-                    continue
-            self.cells += len(u) * len(v)
-            ends = sum(self.shapes.sizes[k] for k in (*a[:lo], *a[n:]))
-            self.known[pair] = 1 + ends + (self._best(u, v)[0] if u and v else 0)
-            todo.pop()
-        return self.shapes.sizes[x] if x == y else self.known.get((x, y), 0)
-
-    def _best(self, u, v) -> tuple[int, list[tuple[int, int]]]:
-        parts = ceil(len(u) * len(v) / MOST_CELLS)
-        total, pairs = 0, []
-        for k in range(parts):
-            a, b = ([len(z) * (k + j) // parts for j in (0, 1)] for z in (u, v))
-            weight, some = matched(u[a[0] : a[1]], v[b[0] : b[1]], self._rows(u[a[0] : a[1]], v[b[0] : b[1]]))
-            total += weight
-            pairs += [(a[0] + i, b[0] + j) for i, j in some]
-        return total, pairs
+                value = end.value
+            else:
+                todo.append(self._weighed(*pair))
+                value = None
+        return value
+
+    def weight(self, x: int, y: int) -> int:
+        return self._run(self._weighed(x, y))
 
     def aligned(self, x: Node, y: Node) -> list[tuple[Node | None, Node | None]]:
         """Children of two matched nodes in order, paired where simple tree matching pairs them."""
-        self.weight(x.shape, y.shape)
         a, b = [k.shape for k in x.kids], [k.shape for k in y.kids]
         lo, n, m = self._middle(a, b)
         pairs = [(i, i) for i in range(lo)]
         if n > lo and m > lo:
-            for i in dict.fromkeys(a[lo:n]) if (n - lo) * (m - lo) <= CELLS else ():
-                for j in dict.fromkeys(b[lo:m]):
-                    self.weight(i, j)
-            pairs += [(lo + i, lo + j) for i, j in self._best(a[lo:n], b[lo:m])[1]]
+            pairs += [(lo + i, lo + j) for i, j in self._run(matched(n - lo, m - lo, self._rows(a[lo:n], b[lo:m])))[1]]
         pairs += [(n + k, m + k) for k in range(len(a) - n)]
         out: list[tuple[Node | None, Node | None]] = []
         i = j = 0

@@ -6,6 +6,7 @@ import re
 import time
 from functools import lru_cache
 
+import numpy as np
 from auditweft.llm import html_wrapper as w
 from pyspark.sql import functions as F
 
@@ -144,3 +145,30 @@ def test_names_only_settle_what_is_open(spark):
     rows = [(i, f"http://law.example/{i}", page.format(i, f"reader {i} writes more than the court does " * 9)) for i in range(8)]
     out = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {i: f"Ruling {i} of the court says at length that story {i} holds." for i in range(8)}
+
+
+def test_alignment_is_exact_at_any_size():
+    """Unlike subtrees are weighed in full however many there are, and each of many like siblings has its own slot."""
+    inside = lambda i: "<ul><li>l</li></ul>" * (i % 4) + "<ol></ol>" * (i % 3)
+    wide = lambda more: w.parse("".join(f"<div>{inside(i)}{more}</div>" for i in range(600)))[0]
+    assert w.match(wide("<nav></nav>"), wide("<form></form>")) == 1 + sum(1 + 2 * (i % 4) + i % 3 for i in range(600))
+    rows = w.parse("<div><i>x</i></div>" * 40)[0]
+    assert len(w.preorder(rows)) == 41
+
+
+def test_matching_in_blocks_of_rows_equals_plain_recurrence():
+    rng = random.Random(3)
+    for n, m in ((200, 5), (130, 130), (65, 300), (64, 3), (1, 80)):
+        weights = [[rng.choice((0, 0, 1, 2, 5)) for _ in range(m)] for _ in range(n)]
+
+        def row(i, weights=weights):
+            return np.array(weights[i])
+            yield
+
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weights[i][j])
+        total, pairs = w.Matcher(w.Node("x"))._run(w.matched(n, m, row))
+        assert total == best[n][m] == sum(weights[i][j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
