@@ -173,3 +173,12 @@ def out_us(spark, seconds):
 
 
 FIELD_AT = next(i for i, v in enumerate(event(0)) if isinstance(v, datetime))
+
+
+def test_state_is_asked_a_fixed_number_of_times_a_key():
+    p, asked = processor(), []
+    for name in ("containsKey", "getValue", "updateValue", "iterator", "exists", "put", "clear", "get"):
+        for state in (p.waiting, p.queue, p.last):
+            setattr(state, name, lambda *a, f=getattr(state, name), n=name: asked.append(n) or f(*a))
+    p.waiting.rows = [(t, t % 3, False) for t in range(3000)]
+    assert len(p._judge(("s", "u"), 4000)) > 3 and len(asked) <= 10
