@@ -512,12 +512,14 @@ def _scratch(spark, name: str) -> tuple[str, str]:
     return f"{base}/rows", f"{base}/checkpoint"
 
 
-def _stream(spark, *dfs):
-    """The rows as a stream, a batch for each frame: written to a shared folder and read from there in order."""
+def _played(spark, run, *dfs):
+    """What ``run`` gives of a stream after the last frame. Each frame is a batch, written by all its tasks and read by
+    as many; the stream ends after it and goes on from its checkpoint."""
     path, _ = _scratch(spark, "source")
     for df in dfs:
-        df.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(dfs[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.write.mode("append").parquet(path)
+        out = run(spark.readStream.schema(dfs[0].schema).parquet(path))
+    return out
 
 
 def _halves(df, at: str = "2024-01-16 00:00:00"):
@@ -530,15 +532,17 @@ def _halves(df, at: str = "2024-01-16 00:00:00"):
     audit("""SELECT us // 86400000000 * 86400000000 AS start_us, lower(server) AS server, lower("user") AS "user", action, count(*) AS event_count FROM audit GROUP BY ALL"""),
 )
 def stream_activity(spark, d):
-    live = jobs.stream_activity(_stream(spark, *_halves(audit_events(spark, d))), "1 day", "1 day", "0 seconds")
+    to = _scratch(spark, "activity")
     # the last window is still open when the input ends: complete mode gives it too
-    return jobs.run_complete(live, *_scratch(spark, "activity")).select(us("window_start", "start_us"), "server", "user", "action", "event_count")
+    run = lambda live: jobs.run_complete(jobs.stream_activity(live, "1 day", "1 day", "0 seconds"), *to)
+    return _played(spark, run, *_halves(audit_events(spark, d))).select(us("window_start", "start_us"), "server", "user", "action", "event_count")
 
 
 @query("stream_dedup", feed("SELECT CASE cursor_type WHEN 'usn' THEN 'usn:d::' || usn ELSE 'security:' || record_id END AS cursor_key FROM feed"))
 def stream_dedup(spark, d):
-    c = collected_events(spark, d)
-    return jobs.run_available(jobs.stream_dedup(_stream(spark, c.unionByName(c.filter("usn % 3 = 0 or record_id % 4 = 0"))), "60 days"), *_scratch(spark, "dedup")).select("cursor_key")
+    c, to = collected_events(spark, d), _scratch(spark, "dedup")
+    run = lambda live: jobs.run_available(jobs.stream_dedup(live, "60 days"), *to)
+    return _played(spark, run, c.unionByName(c.filter("usn % 3 = 0 or record_id % 4 = 0"))).select("cursor_key")
 
 
 @query(
@@ -550,7 +554,8 @@ def stream_late_rows(spark, d):
     """The third batch holds copies of early rows under new numbers: they come behind the watermark and go."""
     early, later = _halves(collected_events(spark, d))
     late = early.filter("timestamp_utc < '2024-01-15'").withColumns({"record_id": F.col("record_id") + 10**12, "usn": F.col("usn") + 10**12})
-    return jobs.run_available(jobs.stream_dedup(_stream(spark, early, later, late), "0 seconds"), *_scratch(spark, "late")).select("cursor_key")
+    to = _scratch(spark, "late")
+    return _played(spark, lambda live: jobs.run_available(jobs.stream_dedup(live, "0 seconds"), *to), early, later, late).select("cursor_key")
 
 
 @query("stream_events", audit("SELECT action, count(*) AS n FROM audit WHERE event_id % 11 <> 0 GROUP BY action"))
@@ -570,10 +575,14 @@ def stream_heartbeats(spark, d):
     path, checkpoint = _scratch(spark, "beats")
     early, later = _halves(heartbeats(spark, d).withColumnRenamed("last_heartbeat_utc", "timestamp_utc"))
     back = lambda df: df.withColumnRenamed("timestamp_utc", "last_heartbeat_utc")
-    live = _stream(spark, back(later), back(early))  # the second batch must not push newer ones out
-    q = jobs.stream_heartbeats(live, path, checkpoint)
-    q.awaitTermination()
-    return spark.read.schema(live.schema).parquet(jobs.newest_version(path, q)).select("agent_id", us("last_heartbeat_utc", "us"), "last_record_id")
+
+    def run(live):
+        q = jobs.stream_heartbeats(live, path, checkpoint)
+        q.awaitTermination()
+        return spark.read.schema(live.schema).parquet(jobs.newest_version(path, q))
+
+    # the second batch must not push newer ones out
+    return _played(spark, run, back(later), back(early)).select("agent_id", us("last_heartbeat_utc", "us"), "last_record_id")
 
 
 @query("stream_alerts", audit(_DETECT))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from auditweft.operators import alerts
+from auditweft.plans import more_queries
 from auditweft.streaming import jobs
 from pyspark.sql import functions as F
 from test_rules import START, event, frame, rule
@@ -182,3 +183,18 @@ def test_state_is_asked_a_fixed_number_of_times_a_key():
             setattr(state, name, lambda *a, f=getattr(state, name), n=name: asked.append(n) or f(*a))
     p.waiting.rows = [(t, t % 3, False) for t in range(3000)]
     assert len(p._judge(("s", "u"), 4000)) > 3 and len(asked) <= 10
+
+
+def test_each_batch_of_a_played_stream_is_read_by_many_tasks(spark, tmp_path):
+    frames = [spark.range(lo, lo + 1000, 1, 4) for lo in (0, 1000)]
+    seen = []
+
+    def put(batch, n):
+        seen.append((n, batch.count(), batch.agg(F.min("id")).first()[0], batch.select(F.input_file_name()).distinct().count()))
+
+    def run(live):
+        live.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return len(seen)
+
+    assert more_queries._played(spark, run, *frames) == 2
+    assert [s[1:] for s in seen] == [(1000, 0, 4), (1000, 1000, 4)]
