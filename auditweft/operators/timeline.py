@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -170,14 +170,15 @@ def suppress_echoes(df: DataFrame, scale: float = 1.0) -> DataFrame:
 
 def _sessions(pdfs: Iterator[pd.DataFrame]) -> Iterator[Iterator[dict]]:
     """Sorted rows of a partition, component by component."""
-    rows = (r for pdf in pdfs for r in pdf.to_dict("records"))
+    rows = (dict(zip(pdf.columns, r)) for pdf in pdfs for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
     return (group for _, group in groupby(rows, key=lambda r: r["_s"]))
 
 
 def _consolidator(window_us: int):
     """Greedy newest-first pass over the components of a partition; gives kept ids with final columns.
 
-    Only rows within the window around the current one are held.
+    Only rows within the window around the current one are held, and a row looks only at those at its paths and
+    in its folders.
     """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,47 +187,61 @@ def _consolidator(window_us: int):
         def explicit(c) -> bool:
             return bool(c["q"]) and c["action"] in turned and c["dot"] == c["qdot"]
 
-        def redundant(c, near, wide) -> bool:
+        def places(e) -> set:
+            return {("at", e["p"]), ("at", e["q"]), ("in", e["pp"])}
+
+        def redundant(c, index) -> bool:
             a, p = c["action"], c["p"]
-            others = [e for e in near if e["id"] != c["id"]]
-            far = [e for e in wide if e["id"] != c["id"]]
-            touches = lambda e: p in (e["p"], e["q"])
-            if c["prov"] and (a in created or any(e["pp"] == c["pp"] and not e["prov"] and e["action"] in turned | created | changed | {"deleted"} for e in far)):
+            far = lambda kind, key: (e for e in index.get((kind, key), ()) if e["id"] != c["id"])
+            others = lambda kind, key: (e for e in far(kind, key) if not e.get("used"))
+            if c["prov"] and (a in created or any(not e["prov"] and e["action"] in turned | created | changed | {"deleted"} for e in far("in", c["pp"]))):
                 return True
-            if a == "renamed" and c["qprov"] and any(e["action"] in created and e["p"] == p for e in far):
+            if a == "renamed" and c["qprov"] and any(e["action"] in created and e["p"] == p for e in far("at", p)):
                 return True
-            if (a == "deleted" or a in created) and any(e["action"] in turned | {"created"} and touches(e) for e in others):
+            if (a == "deleted" or a in created) and any(e["action"] in turned | {"created"} for e in others("at", p)):
                 return True
-            if not c["dot"] and (c["root"] or any(e["dot"] and e["pp"] == p for e in others)):
+            if not c["dot"] and (c["root"] or any(e["dot"] for e in others("in", p))):
                 return True
-            if a == "created_or_appended" and c["source"] == "windows-security-log" and any(e["user"] == c["user"] and e["action"] in {"deleted", "renamed"} | changed and e["pp"] == p for e in others):
+            if a == "created_or_appended" and c["source"] == "windows-security-log" and any(e["user"] == c["user"] and e["action"] in {"deleted", "renamed"} | changed for e in others("in", p)):
                 return True
-            if a in changed and c["source"] == "usn-journal" and c["user"] == "UNKNOWN" and any(e["p"] == p and e["source"] != "usn-journal" and e["action"] not in changed for e in others):
+            if a in changed and c["source"] == "usn-journal" and c["user"] == "UNKNOWN" and any(e["p"] == p and e["source"] != "usn-journal" and e["action"] not in changed for e in others("at", p)):
                 return True
             if a in changed and "usn-journal" in c["source"]:
-                for e in others:
+                for e in others("at", p):
                     later = e["action"] in changed and "usn-journal" in e["source"] and e["us"] > c["us"]
-                    if touches(e) and (e["action"] in turned | {"deleted"} or e["action"] in created and e["dot"] or later):
+                    if e["action"] in turned | {"deleted"} or e["action"] in created and e["dot"] or later:
                         return True
             return False
 
         def session(rows: Iterator[dict]) -> Iterator[tuple]:
             held: deque[dict] = deque()  # newest first
+            index: dict[tuple, deque[dict]] = {}  # the same rows by their paths and folders, in the same order
+
+            def hold(e: dict) -> None:
+                todo.append(e)
+                held.append(e)
+                for k in places(e):
+                    index.setdefault(k, deque()).append(e)
+
+            def release() -> None:
+                for k in places(held.popleft()):
+                    index[k].popleft()
+                    if not index[k]:
+                        del index[k]
+
             keys: dict[int, set] = {}  # by second
             ahead = next(rows, None)
             todo: deque[dict] = deque()
             while todo or ahead:
                 if not todo:
-                    todo.append(ahead)
-                    held.append(ahead)
+                    hold(ahead)
                     ahead = next(rows, None)
                 c = todo.popleft()
                 while ahead and ahead["us"] >= c["us"] - window_us:
-                    todo.append(ahead)
-                    held.append(ahead)
+                    hold(ahead)
                     ahead = next(rows, None)
                 while held[0]["us"] > c["us"] + window_us:
-                    held.popleft()
+                    release()
                 for second in [x for x in keys if x > c["us"] // _S]:
                     del keys[second]
                 if c.get("used"):
@@ -234,12 +249,10 @@ def _consolidator(window_us: int):
                 if c["noise"]:
                     c["used"] = True
                     continue
-                wide = [e for e in held if e["us"] >= c["us"] - window_us]
-                near = [e for e in wide if not e.get("used")]
                 own = keys.setdefault(c["us"] // _S, set())
                 if explicit(c):
                     ends = {c["p"], c["q"]}
-                    for e in near:
+                    for e in chain(*(index.get(("at", x), ()) for x in ends)):
                         same = (e["p"], e["q"]) == (c["p"], c["q"]) if e["action"] in turned else bool({e["p"], e["q"]} & ends)
                         if not e["noise"] and same:
                             e["used"] = True
@@ -248,17 +261,17 @@ def _consolidator(window_us: int):
                     yield c["id"], final, None if c["qprov"] else c["previous_path"], c["leaf"]
                     continue
                 c["used"] = True
-                if redundant(c, near, wide):
+                if redundant(c, index):
                     continue
                 key = (c["user"], c["src"], "changed" if c["action"] in changed else c["action"], c["p"], c["q"])
                 if key not in own:
                     own.add(key)
                     yield c["id"], c["action"], c["previous_path"], None if c["action"] == "accessed" else c["leaf"]
 
-        for rows in _sessions(pdfs):
-            found = session(rows)
-            while some := list(islice(found, 10_000)):
-                yield pd.DataFrame(some, columns=["id", "action", "previous_path", "display_target"])
+        # most components are small: frames hold rows of many
+        found = chain.from_iterable(map(session, _sessions(pdfs)))
+        while some := list(islice(found, 10_000)):
+            yield pd.DataFrame(some, columns=["id", "action", "previous_path", "display_target"])
 
     return run
 

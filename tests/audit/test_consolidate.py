@@ -3,6 +3,7 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 from auditweft.operators import timeline
 from auditweft.operators.components import components
 from auditweft.sources.schemas import EVENT
@@ -116,3 +117,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+
+
+def test_small_components_share_frames():
+    row = dict(user="u", source="usn-journal", action="deleted", previous_path=None, us=0, q="", pp="d:", qp="", dot=True, qdot=False, prov=False, qprov=False, noise=False, src="usn", root=False)
+    rows = pd.DataFrame([row | dict(id=str(i), p=f"d:\\f{i}.txt", leaf=f"f{i}.txt", _s=i) for i in range(3000)])
+    frames = list(timeline._consolidator(15_000_000)(iter([rows])))
+    assert len(frames) == 1 and len(frames[0]) == 3000
