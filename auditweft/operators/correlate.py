@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import classify_transition, is_blank, is_provisional, path_key, promote_object_type
 from .hydrate import cut
-from .skew import CELL, grid_join
+from .skew import CELL, grid_join, met_sides
 
 NOISE = ["changed", "modified", "created", "created_or_appended"]
 MARKERS = ["renamed_old", "renamed_new"]
@@ -28,10 +28,12 @@ def with_row(df: DataFrame) -> DataFrame:
     if "_row" in df.columns:
         return df
     parts = [F.lower("cursor_type"), F.lower("server"), F.lower("share"), F.lower("volume"), F.col("usn"), F.col("record_id"), F.col("timestamp_utc"), F.col("path"), F.col("action")]
-    return df.withColumn("_row", F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in parts)))).dropDuplicates(["_row"])
+    keyed = df.withColumn("_row", F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("\x00")) for c in parts))))
+    # repetitions are rare: sorted once behind the shuffle, not before it as well
+    return keyed.repartition("_row").dropDuplicates(["_row"])
 
 
-def _offers(part: Column, whole: Column, inside: str, around: str) -> Column:
+def _offers(part: Column, whole: Column, inside: str, around: str, leaves: bool) -> Column:
     """Keys by which a path can meet related ones, as an array of (tag, key), from its parts and its whole folders.
 
     Equal leaves meet under ``l``. A path y that lies within a path x holds x's folders whole between its
@@ -49,10 +51,10 @@ def _offers(part: Column, whole: Column, inside: str, around: str) -> Column:
     )
     pairs = F.transform(F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0))), lambda p, i: one(f"{around}2", F.concat(p, F.lit("\\"), F.try_element_at(whole, i + 2))))
     alone = F.transform(whole, lambda p: one(f"{around}1", p))
-    return F.concat(F.array(leaf, held, one(f"{around}0", F.lit(""))), pairs, alone)
+    return F.concat(F.array(*[leaf][: int(leaves)], held, one(f"{around}0", F.lit(""))), pairs, alone)
 
 
-def _offered(rows: DataFrame, path: Column, previous: Column, inside: str, around: str, wide: list[str]) -> DataFrame:
+def _offered(rows: DataFrame, path: Column, previous: Column, inside: str, around: str, wide: list[str], leaves: bool) -> DataFrame:
     """A row for each key that a row's path or previous path offers; ``_main`` says which of them it is.
 
     Of two related rows the one with fewer keys (tags in ``wide``) stands in three time slots, the other in one.
@@ -61,41 +63,47 @@ def _offered(rows: DataFrame, path: Column, previous: Column, inside: str, aroun
     both = rows.withColumn("_path", F.explode(F.array(F.struct(key(path).alias("x"), F.lit(True).alias("main")), F.struct(key(previous).alias("x"), F.lit(False).alias("main")))))
     both = both.filter("_path.x IS NOT NULL").withColumn("_part", F.split("_path.x", r"\\"))
     both = both.withColumn("_whole", F.slice("_part", 2, F.greatest(F.size("_part") - 2, F.lit(0))))
-    both = both.withColumn("_offer", F.explode(_offers(F.col("_part"), F.col("_whole"), inside, around)))
+    both = both.withColumn("_offer", F.explode(_offers(F.col("_part"), F.col("_whole"), inside, around, leaves)))
     both = both.select("*", F.col("_path.x").alias("_x"), F.col("_path.main").alias("_main"), F.col("_offer.tag").alias("_tag"), F.col("_offer.key").alias("_key")).drop("_path", "_offer", "_part", "_whole")
     slots = F.when(F.substring("_tag", 1, 1).isin(wide), F.sequence(F.col("_at") - 1, F.col("_at") + 1)).otherwise(F.array("_at"))
     return both.withColumn("_slot", F.explode(slots)).drop("_at")
 
 
-def match_sides(usn: DataFrame, security: DataFrame, window_s: int = 10) -> tuple[DataFrame, DataFrame]:
+def _is_known() -> Column:
+    return ~is_blank(F.col("path")) & ~is_blank(F.col("user")) & (F.upper("user") != "UNKNOWN")
+
+
+def _may_echo() -> Column:
+    return F.col("record_id").isNotNull() & F.coalesce(F.lower("action").isin(ECHOES), F.lit(False))
+
+
+def match_sides(usn: DataFrame, security: DataFrame, window_s: int = 10, leaves: bool = True) -> tuple[DataFrame, DataFrame]:
     """Journal and security rows by (_server, _slot, _tag, _key), the keys by which related ones meet.
 
     Paths are cleaned once a row.
     """
     width = max(1, window_s) * _S
-    known = ~is_blank(F.col("path")) & ~is_blank(F.col("user")) & (F.upper("user") != "UNKNOWN")
     slot = F.floor(F.unix_micros("timestamp_utc") / width)
-    echo = F.col("record_id").isNotNull() & F.coalesce(F.lower("action").isin(ECHOES), F.lit(False))
-    s = security.filter(known).select(
-        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_sus"), "record_id", echo.alias("_echo"), slot.alias("_at"),
+    s = security.filter(_is_known()).select(
+        F.col("_row").alias("_sec"), F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_sus"), "record_id", _may_echo().alias("_echo"), slot.alias("_at"),
     )
-    s = _offered(s, F.col("path"), F.col("previous_path"), "a", "b", ["l", "a"]).drop("path", "previous_path").withColumnsRenamed({"_x": "_y", "_main": "_smain"})
+    s = _offered(s, F.col("path"), F.col("previous_path"), "a", "b", ["l", "a"], leaves).drop("path", "previous_path").withColumnsRenamed({"_x": "_y", "_main": "_smain"})
     # a blank path of a journal row starts any path, once the rows are related by the other one
     blank = F.coalesce(path_key(F.col("path")) == "", F.lit(False)) | F.coalesce(path_key(F.col("previous_path")) == "", F.lit(False))
     u = usn.select("_row", F.lower("server").alias("_server"), "path", "previous_path", F.unix_micros("timestamp_utc").alias("_us"), slot.alias("_at"), blank.alias("_blank"))
-    u = _offered(u, F.col("path"), F.col("previous_path"), "b", "a", ["b"]).drop("path", "previous_path", "_main")
+    u = _offered(u, F.col("path"), F.col("previous_path"), "b", "a", ["b"], leaves).drop("path", "previous_path", "_main")
     return u, s
 
 
-def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10, cell: int = CELL) -> DataFrame:
+def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10, cell: int = CELL, leaves: bool = True) -> DataFrame:
     """(_row, _sec, record_id, score, distance, echo) of compatible pairs: same server, near in time, related paths.
 
     A pair stands once for each key it meets by; its score is the highest of these: 100 equal paths, 60
     same leaf, 30 one path holds the other, over path and previous path. ``echo`` marks a security row that
     repeats the journal row: one of its recorded actions at a path that starts the other or is started by
-    it. Rows meet only by equal keys, and keys with many rows in a slot are cut into a grid of cells.
+    it. Without ``leaves`` only paths that hold one another are looked for. Rows meet only by equal keys, and keys with many rows in a slot are cut into a grid of cells.
     """
-    u, s = match_sides(usn, security, window_s)
+    u, s = match_sides(usn, security, window_s, leaves)
     near = grid_join(u, s, ["_server", "_slot", "_tag", "_key"], ("_row", "_sec"), cell).withColumn("distance", F.abs(F.col("_us") - F.col("_sus")))
     x, y, tag = F.col("_x"), F.col("_y"), F.substring("_tag", 1, 1)
     held = (x != y) & F.when(tag == "a", x.contains(y)).otherwise(y.contains(x))
@@ -104,17 +112,79 @@ def match_pairs(usn: DataFrame, security: DataFrame, window_s: int = 10, cell: i
     return near.filter(F.col("distance") <= window_s * _S).select("_row", "_sec", "record_id", score.alias("score"), "distance", echo.alias("echo")).filter("score > 0")
 
 
+def _paths() -> Column:
+    """The cleaned path and previous path of a row, as an array without those that are blank."""
+    return F.array_compact(F.array(*(F.when(~is_blank(F.col(c)), path_key(F.col(c))) for c in ("path", "previous_path"))))
+
+
+def _nearest(asks: DataFrame, holds: DataFrame, width: int) -> DataFrame:
+    """Adds _a and _b, the last and the next row (us, rank, id) of ``holds`` with an ask's _server and _key, of rows of
+    one time that of least rank and id.
+
+    One sorted pass over slices of time with a window at either side: linear in rows however many share a key.
+    """
+    slot = lambda t: F.floor(t / (4 * width))
+    asks, holds = met_sides(asks, holds, ["_server", "_key"])
+    holds = holds.withColumn("_slot", F.explode(F.sequence(slot(F.col("us") - width), slot(F.col("us") + width)))).withColumn("_kind", F.lit(0))
+    rows = asks.withColumn("_slot", slot(F.col("us"))).withColumn("_kind", F.lit(1)).unionByName(holds, True)
+    w = Window.partitionBy("_server", "_key", "_slot")
+    held = F.when(F.col("_kind") == 0, F.struct("us", "rank", "id"))
+    near = lambda order: F.last(held, ignorenulls=True).over(w.orderBy(order, "_kind", F.desc("rank"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"_a": near(F.asc("us")), "_b": near(F.desc("us"))}).filter("_kind = 1")
+
+
+def best_by_leaf(usn: DataFrame, security: DataFrame, window_s: int = 10) -> DataFrame:
+    """(_row, _sec): the best match of each journal row that has one with an equal path or leaf, without forming pairs.
+
+    Of the rows under a path or leaf only the last one before a journal row and the next one can be the best.
+    """
+    width = max(1, window_s) * _S
+    keys = F.explode(F.array_distinct(F.flatten(F.transform(_paths(), lambda p: F.array(F.concat(F.lit("p"), p), F.concat(F.lit("l"), F.element_at(F.split(p, r"\\"), -1)))))))
+    both = [F.lower("server").alias("_server"), F.unix_micros("timestamp_utc").alias("us"), keys.alias("_key")]
+    held = security.filter(_is_known()).select(*both, F.coalesce("record_id", F.lit(1 << 62)).alias("rank"), F.col("_row").alias("id"))
+    found = _nearest(usn.select("_row", *both), held, width)
+    score = F.when(F.startswith(F.col("_key"), F.lit("p")), 100).otherwise(60)
+    gap = lambda c: F.abs(F.col("us") - F.col(f"{c}.us"))
+    match = lambda c: F.when(gap(c) <= window_s * _S, F.struct((-score).alias("score"), gap(c).alias("gap"), F.col(f"{c}.rank").alias("rank"), F.col(f"{c}.id").alias("id")))
+    return found.select("_row", F.least(match("_a"), match("_b")).alias("m")).filter("m IS NOT NULL").groupBy("_row").agg(F.min("m")["id"].alias("_sec"))
+
+
+def best_matches(usn: DataFrame, security: DataFrame, window_s: int = 10) -> DataFrame:
+    """(_row, _sec) of journal rows and their best match; pairs are formed only for rows without an equal path or leaf."""
+    found = cut(best_by_leaf(usn, security, window_s))
+    rest = usn.join(found, "_row", "left_anti")
+    return found.unionByName(_best(match_pairs(rest, security, window_s, leaves=False)))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    rank = F.struct(-F.col("score"), "distance", F.coalesce(F.col("record_id"), F.lit(1 << 62)), F.col("_sec").alias("_sec"))
+    return pairs.groupBy("_row").agg(F.min(rank)["_sec"].alias("_sec"))
+
+
+def echoes_by_path(usn: DataFrame, security: DataFrame, window_s: int = 10) -> DataFrame:
+    """(_row) of security rows that repeat a journal row at an equal path, or one above or below it, without forming pairs."""
+    width = max(1, window_s) * _S
+    split = lambda p: F.split(p, r"\\")
+    above = lambda x: F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda n: F.array_join(F.slice(x, F.lit(1), n), "\\"))).otherwise(F.array().cast("array<string>"))
+    tag = lambda t, values: F.transform(values, lambda x: F.concat(F.lit(t), x))
+    both = [F.lower("server").alias("_server"), F.unix_micros("timestamp_utc").alias("us")]
+    own = path_key(F.col("path"))
+    asks = security.filter(_is_known() & _may_echo()).select("_row", *both, F.explode(F.concat(tag("at:", F.array(own)), tag("at:", above(split(own))), tag("in:", F.array(own)))).alias("_key"))
+    parts = F.flatten(F.transform(_paths(), lambda p: above(split(p))))
+    holds = usn.select(*both, F.lit(0).alias("rank"), F.lit("").alias("id"), F.explode(F.array_distinct(F.concat(tag("at:", _paths()), tag("in:", parts)))).alias("_key"))
+    near = lambda c: F.coalesce(F.abs(F.col("us") - F.col(f"{c}.us")) <= window_s * _S, F.lit(False))
+    return _nearest(asks, holds, width).filter(near("_a") | near("_b")).select("_row").distinct()
+
+
 def correlate_feeds(usn: DataFrame, security: DataFrame, window_s: int = 10, pairs: DataFrame | None = None) -> DataFrame:
     """Journal rows enriched from their best security match; rows without one stay as they are.
 
     Best: highest score, then nearest in time, then lowest record id.
     """
     usn, security = with_row(usn), with_row(security)
-    pairs = match_pairs(usn, security, window_s) if pairs is None else pairs
+    best = best_matches(usn, security, window_s) if pairs is None else _best(pairs)
     fields = ["user", "sid", "source_host", "source_ip", "process_name", "action", "path", "record_id"]
     side = security.select(F.col("_row").alias("_sec"), F.struct(*fields).alias("m"))
-    rank = F.struct(-F.col("score"), "distance", F.coalesce(F.col("record_id"), F.lit(1 << 62)), F.col("_sec").alias("_sec"))
-    best = pairs.groupBy("_row").agg(F.min(rank)["_sec"].alias("_sec"))
     out = usn.join(best.join(side, "_sec").select("_row", "m"), "_row", "left")
     hit = F.col("m").isNotNull()
     changed = F.lower("action").isin("changed", "modified") & (F.lower("m.action") == "created_or_appended")
@@ -135,8 +205,13 @@ def correlate_feeds(usn: DataFrame, security: DataFrame, window_s: int = 10, pai
 def suppress_matched_security(usn: DataFrame, security: DataFrame, window_s: int = 10, pairs: DataFrame | None = None) -> DataFrame:
     """Security rows without those that repeat a journal row they matched (not only as its best)."""
     usn, security = with_row(usn), with_row(security)
-    pairs = match_pairs(usn, security, window_s) if pairs is None else pairs
-    return security.join(pairs.filter("echo").select("record_id").distinct(), "record_id", "left_anti").select(*security.columns)
+    if pairs is not None:
+        numbers = pairs.filter("echo").select("record_id")
+    else:  # pairs are formed only for rows without a journal row at an equal path, or one above or below it
+        found = cut(echoes_by_path(usn, security, window_s))
+        rest = security.filter(_may_echo()).join(found, "_row", "left_anti")
+        numbers = security.join(found, "_row", "left_semi").select("record_id").union(match_pairs(usn, rest, window_s).filter("echo").select("record_id"))
+    return security.join(numbers.distinct(), "record_id", "left_anti").select(*security.columns)
 
 
 FILE = ["_server", "_share", "_volume", "_file"]
@@ -308,8 +383,7 @@ def correlate(collected: DataFrame, window_s: int = 10, drop_security: bool = Fa
     usn = cut(apply_transitions(usn, transitions(usn, window_s), window_s))
     # a journal row may stand in two transitions, so its new row needs a key with the old path in it
     usn = usn.withColumn("_row", F.md5(F.concat_ws("\x1f", "_row", F.coalesce("previous_path", F.lit("")))))
-    pairs = cut(match_pairs(usn, security, window_s))
-    out = correlate_feeds(usn, security, window_s, pairs)
+    out = correlate_feeds(usn, security, window_s)
     if not drop_security:
-        out = out.unionByName(suppress_matched_security(usn, security, window_s, pairs))
+        out = out.unionByName(suppress_matched_security(usn, security, window_s))
     return finalize_actions(out).filter(~is_blank(F.col("path"))).drop("_row")

@@ -88,3 +88,31 @@ def test_grid_join_is_an_inner_join(spark):
     assert grid_join(left.limit(0), right, ["k"], ("l", "r")).count() == 0
 
 
+
+
+def test_best_matches_and_echoes_without_pairs(spark, monkeypatch):
+    """Random rows against all pairs; where paths are equal no pair is formed, however many rows share a window."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        more = dict(at=rng.randint(0, 150), server=rng.choice(["FS01", "FS02"]), previous_path=odd_path(rng) if rng.random() < 0.4 else None)
+        if i % 2:
+            rows.append(journal(i, odd_path(rng), rng.choice(["modified", "created"]), **more))
+        else:
+            rows.append(security(i, odd_path(rng), rng.choice(["modified", "deleted", "permission_changed"]), user=f"u{i}", **more))
+    df = correlate.with_row(spark.createDataFrame(rows, COLLECTED))
+    usn, sec = df.filter("cursor_type = 'usn'"), df.filter("cursor_type = 'security'")
+    all_rows = df.collect()
+    want, at = plainly(all_rows, 10), {r.usn if r.record_id is None else r.record_id: r.timestamp_utc for r in all_rows}
+    best = {u: min((-n, abs(at[u] - at[r]), r) for (v, r), (n, _) in want.items() if v == u)[2] for u, _ in want}
+    assert {r.usn: int(r.user[1:]) for r in correlate.correlate_feeds(usn, sec, 10).collect() if r.source == "usn-journal+security-log"} == best
+    gone = {r for (_, r), (_, echo) in want.items() if echo}
+    assert {r.record_id for r in correlate.suppress_matched_security(usn, sec, 10).collect()} == {r.record_id for r in sec.collect()} - gone
+
+    seen, plain = [], correlate.match_pairs
+    monkeypatch.setattr(correlate, "match_pairs", lambda *a, **b: seen.append(plain(*a, **b)) or seen[-1])
+    dense = [journal(i, "D:\\share\\dir\\f.txt", "modified", at=i % 10) for i in range(400)] + [security(1000 + i, "D:\\share\\dir\\f.txt", at=i % 10) for i in range(400)]
+    df = correlate.with_row(spark.createDataFrame(dense, COLLECTED))
+    usn, sec = df.filter("cursor_type = 'usn'"), df.filter("cursor_type = 'security'")
+    correlate.correlate_feeds(usn, sec, 10), correlate.suppress_matched_security(usn, sec, 10)
+    assert len(seen) == 2 and not any(p.count() for p in seen)
