@@ -32,7 +32,7 @@ def _sliced(rows: DataFrame, length: int, before: int, after: int) -> DataFrame:
 
 
 def _moments(events: DataFrame, rules: DataFrame, counted_only: bool) -> DataFrame:
-    """Per rule, server, user and time: n scoped events that the rule counts, m suspicious ones of them.
+    """Per rule, server, user and time: the scoped events, n of them that the rule counts, m suspicious ones of these.
 
     Times without a counted event have n = 0; they stay unless ``counted_only``.
     """
@@ -41,7 +41,7 @@ def _moments(events: DataFrame, rules: DataFrame, counted_only: bool) -> DataFra
     )
     if counted_only:
         scoped = scoped.filter("hit")
-    return cut(scoped.groupBy(*RULE, *WHO, "us").agg(F.count_if("hit").alias("n"), F.count_if(F.col("hit") & F.col("mark")).alias("m")))
+    return cut(scoped.groupBy(*RULE, *WHO, "us").agg(F.count("*").alias("scoped"), F.count_if("hit").alias("n"), F.count_if(F.col("hit") & F.col("mark")).alias("m")))
 
 
 def _firings(moments: DataFrame, events: DataFrame | None, window_us: int) -> DataFrame:
@@ -117,7 +117,11 @@ def simulate_rule(events: DataFrame, rules: DataFrame, window_min: int = 5) -> D
     server, user (keys), event_count, first_us, last_us. Permission changes give one firing per
     distinct time.
     """
-    fired = _firings(_moments(events, rules, False), None, window_min * _MINUTE)
+    return _simulated(_moments(events, rules, False), window_min)
+
+
+def _simulated(moments: DataFrame, window_min: int) -> DataFrame:
+    fired = _firings(moments, None, window_min * _MINUTE)
     single = F.col("r_rule") == "permission-change"
     fired = fired.filter(~single | F.col("hit"))
     return fired.select(
@@ -133,9 +137,9 @@ def simulate_rule(events: DataFrame, rules: DataFrame, window_min: int = 5) -> D
 
 def simulation_counts(events: DataFrame, rules: DataFrame, window_min: int = 5) -> DataFrame:
     """rule, evaluated (scoped events), matching (counted ones), alerts."""
-    scoped = rule_applies(events, rules)
-    a = scoped.groupBy(F.col("r_rule").alias("rule")).agg(F.count("*").alias("evaluated"), F.count_if(counted_action()).alias("matching"))
-    b = simulate_rule(events, rules, window_min).groupBy("rule").agg(F.count("*").alias("alerts"))
+    moments = _moments(events, rules, False)
+    a = moments.groupBy(F.col("r_rule").alias("rule")).agg(F.sum("scoped").alias("evaluated"), F.sum("n").alias("matching"))
+    b = _simulated(moments, window_min).groupBy("rule").agg(F.count("*").alias("alerts"))
     return a.join(b, "rule", "left").fillna(0, ["alerts"])
 
 

@@ -62,3 +62,11 @@ def test_long_runs_of_firings(spark):
     got = sorted((x["_key"], x["us"]) for x in alerts._unsuppressed(fired, 10 * 60 * US).collect())
     want = [("k", f[0]) for f in plain_kept([(60 * US * m,) for m in minutes], 10 * 60 * US)] + [("z", 5)]
     assert got == want
+
+
+def test_counts_of_a_simulation_scope_events_once(spark, monkeypatch):
+    scoped, seen = alerts.rule_applies, []
+    monkeypatch.setattr(alerts, "rule_applies", lambda *a: seen.append(1) or scoped(*a))
+    e = frame(spark, [event(i, i % 7) for i in range(40)])
+    got = alerts.simulation_counts(e, rule(spark), 5).collect()
+    assert len(seen) == 1 and [(r.evaluated, r.matching) for r in got] == [(40, 40)]
