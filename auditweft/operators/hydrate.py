@@ -27,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from files in the shared folder: lineage ends there, each row is made once, and readers take the columns they need."""
+    """The rows from files in the shared folder: lineage ends there, each row is made once, and readers take the columns they need.
+
+    Joins with them are shuffled and sorted. Repetitive rows take many times the size of their files, by
+    which Spark would take them for small and send them to all executors through the driver's memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def _known(rows: DataFrame, key: str, name: str) -> DataFrame:

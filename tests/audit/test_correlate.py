@@ -161,3 +161,17 @@ def test_four_names_one_after_another(run):
 def test_repeated_rows_count_once(run):
     twice = [journal(1, "D:\\d\\a.txt", "renamed_old", file_reference_id="7"), journal(2, "D:\\d\\b.txt", "renamed_new", file_reference_id="7", at=1)] * 2
     assert [(r.action, r.previous_path) for r in usn(run(*twice))] == [("renamed", "D:\\d\\a.txt")]
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Stored rows look small to Spark, as do rows made many by their keys: only counts by hash bucket are broadcast."""
+    plans, plain = [], correlate.cut
+    monkeypatch.setattr(correlate, "cut", lambda df: plans.append(df) or plain(df))
+    rows = [journal(i, f"D:\\d\\f{i % 5}.txt", ["renamed_old", "renamed_new", "changed"][i % 3], file_reference_id=str(i % 4), at=i) for i in range(30)]
+    rows += [security(100 + i, f"D:\\d\\f{i % 6}.txt", "modified", at=i) for i in range(30)]
+    plans.append(correlate.correlate(spark.createDataFrame(rows, COLLECTED)))
+    usn, sec = (plain(correlate.with_row(spark.createDataFrame(rows, COLLECTED)).filter(f"cursor_type = '{c}'")) for c in ("usn", "security"))
+    plans += [correlate.correlate_feeds(usn, sec), correlate.suppress_matched_security(usn, sec)]
+    joins = [line.strip(" :+-*") for p in plans for line in p._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert [x for x in joins if "Broadcast" in x and "_bucket" not in x] == []
+    assert sum("SortMergeJoin" in x for x in joins) > 20
